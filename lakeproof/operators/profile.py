@@ -98,25 +98,26 @@ def _long(row: DataFrame, plan) -> DataFrame:
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact distinct count of many columns in one shuffle of fixed-width digests.
 
-    ``count(DISTINCT a), count(DISTINCT b), ...`` makes Spark shuffle one wide row per column and
-    input row. Here a row becomes one ``(column number, digest)`` pair per column, reduced on the
-    map side. Values of up to 64 bits map one-to-one to their 64-bit hash; wider values (text,
-    decimals, nested) use two independent 64-bit hashes.
+    ``count(DISTINCT a), count(DISTINCT b), ...`` makes Spark shuffle one row as wide as all the
+    columns per column and input row. Here a row becomes one ``(column number, digest)`` pair per
+    column, reduced on the map side. Values of up to 64 bits map one-to-one to their 64-bit hash;
+    wider values (text, decimals, nested) use two independent 64-bit hashes.
     """
     narrow = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType,
               T.BooleanType)
-    cells = []
+    digests, names = [], []
     for i, name in enumerate(cols):
         dtype, c = df.schema[name].dataType, quoted(name)
         if isinstance(dtype, (T.MapType, T.VariantType)):
             c = F.to_json(c)
-        second = (F.lit(0).cast("long") if isinstance(dtype, narrow) else F.xxhash64(F.lit("second"), c))
-        cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("h"),
-                                                    second.alias("g"))))
-    return (df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
-            .groupBy("i", "h", "g").agg(F.lit(1).alias("one"))
+        second = F.lit(0).cast("long") if isinstance(dtype, narrow) else F.xxhash64(F.lit("second"), c)
+        digests += [F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}"), second.alias(f"g{i}")]
+        names.append(f"(h{i}, g{i}) as `{i}`")
+    pairs = df.sparkSession.sql(f"select i, h, g from {{digests}} unpivot ((h, g) for i in ({', '.join(names)}))",
+                                digests=df.select(*digests))
+    return (pairs.where("h is not null").groupBy("i", "h", "g").agg(F.lit(1).alias("one"))
             .groupBy("i").agg(F.count("one").alias("n"))
-            .select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column"),
+            .select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i").cast("int") + 1).alias("column"),
                     F.col("n")))
 
 

@@ -1,2 +1,2 @@
-from . import proof  # noqa: F401
+from . import proof, quality  # noqa: F401
 from .base import QUERIES, SQL, table  # noqa: F401

@@ -220,7 +220,7 @@ def _(t):
 
 # A column catalogue that grows with part: every part is a column of the table named by its brand.
 PART_TYPES = """CASE p_type WHEN 'ECONOMY' THEN 'int' WHEN 'STANDARD' THEN 'string' ELSE 'decimal(' || (p_size % 18 + 1) || ',0)' END"""
-PART_COLUMNS = f"""cols AS (SELECT p_brand AS "table", replace(p_name, ' ', '_') || '_' || p_size AS col_name,
+PART_COLUMNS = f"""cols AS (SELECT p_brand AS "table", replace(p_name, ' ', '_') AS col_name,
   {PART_TYPES} AS col_type, p_type FROM part)"""
 
 
@@ -228,8 +228,7 @@ def part_columns(part: DataFrame) -> DataFrame:
     kind = (F.when(F.col("p_type") == "ECONOMY", "int").when(F.col("p_type") == "STANDARD", "string")
             .otherwise(F.concat(F.lit("decimal("), (F.col("p_size") % 18 + 1).cast("string"), F.lit(",0)"))))
     return part.select(F.col("p_brand").alias("table"),
-                       F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_size").cast("string")).alias("col_name"),
-                       kind.alias("col_type"), "p_type")
+                       F.translate("p_name", " ", "_").alias("col_name"), kind.alias("col_type"), "p_type")
 
 
 @query("schema_parity", f"""WITH {PART_COLUMNS},
@@ -292,7 +291,7 @@ def _(t):
 @query("suggest_key", """WITH c AS (
   SELECT 'gold.dim_' || replace(p_name, ' ', '_') AS t, CASE WHEN p_size < 5 THEN 'ID' WHEN p_size < 10
     THEN replace(p_name, ' ', '_') || '_id' ELSE p_type END AS col_name FROM part),
-d AS (SELECT DISTINCT 'dim_' || replace(p_name, ' ', '_') AS b FROM part WHERE p_retailprice > 1080)
+d AS (SELECT DISTINCT 'dim_' || replace(p_name, ' ', '_') AS b FROM part WHERE p_retailprice > 980)
 SELECT t AS "table", CASE WHEN bool_or(b IS NOT NULL) THEN 'part_key'
     WHEN bool_or(col_name = substr(t, 10) || '_id') THEN max(col_name) FILTER (WHERE col_name = substr(t, 10) || '_id')
     WHEN bool_or(col_name = 'ID') THEN 'ID' ELSE '' END AS key,
@@ -305,7 +304,7 @@ def _(t):
     name = (F.when(F.col("p_size") < 5, "ID").when(F.col("p_size") < 10, F.concat(base, F.lit("_id")))
             .otherwise(F.col("p_type")))
     cols = t.part.select(F.concat(F.lit("gold.dim_"), base).alias("table"), name.alias("col_name"))
-    rels = t.part.where("p_retailprice > 1080").select(
+    rels = t.part.where("p_retailprice > 980").select(
         F.concat(F.lit("x.dim_"), base).alias("pk_table"), F.array(F.lit("part_key")).alias("pk_columns"))
     return reconcile.suggest_key(cols, rels).withColumn("key", F.coalesce(F.array_join("key", ","), F.lit("")))
 
