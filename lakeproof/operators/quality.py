@@ -144,7 +144,8 @@ def _base(c) -> Column:
 
 def build_test_specs(rels: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
     """Tests from declared relationships ``(pk_table, pk_columns, fk_table, fk_columns)`` and contracts
-    ``(table, col_name, col_type)``: rows ``(model, kind, columns, parent, parent_columns)``.
+    ``(table, col_name, col_type)``: rows ``(model, kind, columns, parent, parent_columns)``. A contract
+    gives one row per expected column, so a table with very many columns never becomes one value.
     """
     usable = rels.select(_base("pk_table").alias("pk"), "pk_columns", _base("fk_table").alias("fk"), "fk_columns")
     grain = usable.where(F.size("pk_columns") > 0).groupBy("pk").agg(F.min("pk_columns").alias("cols"))
@@ -162,10 +163,10 @@ def build_test_specs(rels: DataFrame, contracts: DataFrame | None = None) -> Dat
                         none.alias("parent"), no_cols.alias("parent_columns")))
     out = uniques.unionByName(required).unionByName(parents)
     if contracts is not None:
-        expected = contracts.select(_base("table").alias("model"), "col_name").groupBy("model").agg(
-            F.array_sort(F.collect_set("col_name")).alias("columns"))
-        out = out.unionByName(expected.select("model", F.lit("contract").alias("kind"), "columns",
-                                              none.alias("parent"), no_cols.alias("parent_columns")))
+        expected = contracts.select(_base("table").alias("model"), F.lit("contract").alias("kind"),
+                                    F.array(F.lower("col_name")).alias("columns"), none.alias("parent"),
+                                    no_cols.alias("parent_columns")).distinct()
+        out = out.unionByName(expected)
     return out
 
 

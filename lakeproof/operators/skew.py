@@ -69,17 +69,20 @@ def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], *,
             .select(*df.columns, *[pick[v].alias(f"{prefix}{v}") for v in values]))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row_id", start: int = 1) -> DataFrame:
-    """Consecutive numbers in the given order, without a one-partition window.
+def numbered(df: DataFrame, order: list[str], name: str = "row_id", start: int = 1, within: list[str] = ()) -> DataFrame:
+    """Consecutive numbers in the given order, over the whole frame or within each key.
 
-    Rows are range-partitioned once and written to the checkpoint folder; each partition numbers
-    its own rows and adds the row count of the partitions before it (one row per partition).
+    Rows are range-partitioned by key and order once and written to the checkpoint folder (sampled
+    ranges may differ between two evaluations). A range partition numbers its own rows and adds the
+    rows of the same key in earlier partitions, so neither the frame nor a hot key meets in one task.
     """
-    fixed = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return (fixed.join(F.broadcast(offsets), "_part")
-            .withColumn(name, (local + F.col("_before") + F.lit(start - 1)).cast("long"))
-            .drop("_part", "_before"))
+    keys = list(within)
+    fixed = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = fixed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")
+    offsets = sizes.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                           (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    on = [F.col("_part") == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return (fixed.withColumn("_local", local).join(offsets, on)
+            .select(*df.columns, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("long").alias(name)))

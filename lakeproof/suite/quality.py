@@ -102,7 +102,7 @@ SELECT pk AS model, CASE len(pk_cols) WHEN 1 THEN 'unique' ELSE 'unique_combo' E
   array_to_string(pk_cols, ',') AS columns, '' AS parent, '' AS parent_columns FROM u
 UNION ALL SELECT m, 'not_null', c, '', '' FROM nn
 UNION ALL SELECT fk, 'relationships', array_to_string(fk_cols, ','), pk, array_to_string(pk_cols, ',') FROM rels
-UNION ALL SELECT lower("table"), 'contract', string_agg(DISTINCT col_name, ',' ORDER BY col_name), '', '' FROM cols GROUP BY 1""")
+UNION ALL SELECT DISTINCT lower("table"), 'contract', col_name, '', '' FROM cols""")
 def _(t):
     specs = quality.build_test_specs(part_relationships(t.part), part_columns(t.part))
     text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
