@@ -36,19 +36,22 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*[quoted(k) for k in keys]).agg(F.max_by(row, rank).alias("_row")).select("_row.*")
 
 
-def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], *, following: bool,
-              prefix: str, chunks: int = 256) -> DataFrame:
+def order_cuts(df: DataFrame, order: str, chunks: int = 256) -> Column | None:
+    """Values of an order column that cut its rows into chunks of about equal size."""
+    shares = [i / chunks for i in range(1, chunks)]
+    bounds = df.agg(F.percentile_approx(order, shares, 20 * chunks).cast("array<string>")).first()[0]
+    return F.array(*[F.lit(b).cast(df.schema[order].dataType) for b in dict.fromkeys(bounds)]) if bounds else None
+
+
+def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], cuts: Column | None, *, following: bool,
+              prefix: str) -> DataFrame:
     """Values of the previous (or following) row of the same key, for a unique ``(keys, order)``.
 
-    A plain lag/lead sorts a whole key in one task. Here the order column is cut into equal-count
-    chunks, the window runs inside ``(keys, chunk)``, and a row at a chunk edge takes its
-    neighbour from the edge rows of the nearest chunk (at most ``chunks`` rows per key). NULL
-    order values form the first chunk.
+    A plain lag/lead sorts a whole key in one task. Here the window runs inside ``(keys, chunk)`` with
+    chunks from ``order_cuts``, and a row at a chunk edge takes its neighbour from the edge rows of
+    the nearest chunk (one row per key and chunk). NULL order values form the first chunk. The frame
+    is read twice: pass one that is cheap to read.
     """
-    dtype = df.schema[order].dataType
-    shares = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(order, shares, 20 * chunks).cast("array<string>")).first()[0]
-    cuts = F.array(*[F.lit(b).cast(dtype) for b in dict.fromkeys(bounds)]) if bounds else None
     chunk = (F.lit(0) if cuts is None
              else F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col(order)))))
     tagged = df.withColumn("_chunk", chunk)

@@ -1,2 +1,2 @@
-from . import landing, proof, quality  # noqa: F401
+from . import landing, merge, proof, quality  # noqa: F401
 from .base import QUERIES, SQL, table  # noqa: F401
