@@ -36,37 +36,37 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*[quoted(k) for k in keys]).agg(F.max_by(row, rank).alias("_row")).select("_row.*")
 
 
-def order_cuts(df: DataFrame, order: str, chunks: int = 256) -> Column | None:
-    """Values of an order column that cut its rows into chunks of about equal size."""
-    shares = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(order, shares, 20 * chunks).cast("array<string>")).first()[0]
-    return F.array(*[F.lit(b).cast(df.schema[order].dataType) for b in dict.fromkeys(bounds)]) if bounds else None
+PART = "_part"
 
 
-def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], cuts: Column | None, *, following: bool,
-              prefix: str) -> DataFrame:
+def range_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The frame range-partitioned by key and order, with the partition number as column ``_part``.
+
+    A hot key is spread over as many partitions as its rows need. The result is written to the
+    checkpoint folder: sampled ranges may differ between two evaluations.
+    """
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()))
+
+
+def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], *, following: bool, prefix: str) -> DataFrame:
     """Values of the previous (or following) row of the same key, for a unique ``(keys, order)``.
 
-    A plain lag/lead sorts a whole key in one task. Here the window runs inside ``(keys, chunk)`` with
-    chunks from ``order_cuts``, and a row at a chunk edge takes its neighbour from the edge rows of
-    the nearest chunk (one row per key and chunk). NULL order values form the first chunk. The frame
-    is read twice: pass one that is cheap to read.
+    ``df`` comes from ``range_parts``. A plain lag/lead sorts a whole key in one task; here the window
+    runs inside ``(partition, key)``, and a row at a partition edge takes its neighbour from the edge
+    rows of that key in the nearest partition (one row per key and partition).
     """
-    chunk = (F.lit(0) if cuts is None
-             else F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col(order)))))
-    tagged = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(order).asc_nulls_first())
+    inside = Window.partitionBy(PART, *keys).orderBy(F.col(order).asc_nulls_first())
     step = F.lead if following else F.lag
     carried = F.struct(*[F.col(v) for v in values])
-    near = tagged.withColumn("_near", step(carried).over(inside))
+    near = df.withColumn("_near", step(carried).over(inside))
 
     edge_of = F.min_by if following else F.max_by
-    edges = (tagged.groupBy(*keys, "_chunk")
+    edges = (df.groupBy(PART, *keys)
              .agg(edge_of(carried, F.struct(order)).alias("_edge"))
-             .withColumn("_near_edge", step("_edge").over(Window.partitionBy(*keys).orderBy("_chunk")))
-             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                     F.col("_chunk").alias("_c"), "_near_edge"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_chunk") == F.col("_c")]
+             .withColumn("_near_edge", step("_edge").over(Window.partitionBy(*keys).orderBy(PART)))
+             .where(F.col("_near_edge").isNotNull())
+             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(PART).alias("_p"), "_near_edge"))
+    on = [F.col(PART) == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     pick = F.coalesce("_near", "_near_edge")
     return (near.join(edges, on, "left")
             .select(*df.columns, *[pick[v].alias(f"{prefix}{v}") for v in values]))
@@ -75,17 +75,16 @@ def neighbour(df: DataFrame, keys: list[str], order: str, values: list[str], cut
 def numbered(df: DataFrame, order: list[str], name: str = "row_id", start: int = 1, within: list[str] = ()) -> DataFrame:
     """Consecutive numbers in the given order, over the whole frame or within each key.
 
-    Rows are range-partitioned by key and order once and written to the checkpoint folder (sampled
-    ranges may differ between two evaluations). A range partition numbers its own rows and adds the
-    rows of the same key in earlier partitions, so neither the frame nor a hot key meets in one task.
+    A range partition numbers its own rows and adds the rows of the same key in earlier partitions,
+    so neither the frame nor a hot key meets in one task.
     """
     keys = list(within)
-    fixed = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = fixed.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")
-    offsets = sizes.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+    fixed = range_parts(df, keys, order)
+    sizes = fixed.groupBy(PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(PART) if keys else Window.orderBy(PART)
+    offsets = sizes.select(F.col(PART).alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                            (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
-    on = [F.col("_part") == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    local = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order))
+    on = [F.col(PART) == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     return (fixed.withColumn("_local", local).join(offsets, on)
             .select(*df.columns, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("long").alias(name)))

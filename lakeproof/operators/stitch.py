@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .skew import neighbour, newest_per_key, order_cuts, quoted
+from .skew import neighbour, newest_per_key, quoted, range_parts
 
 KINDS = ("full", "append", "upsert", "delete_flag", "roll_out", "scd2")
 
@@ -77,14 +76,13 @@ def attribute_hash(df: DataFrame, keys: list[str], order_key: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
-def stitch_scd2(target: DataFrame | None, batch: DataFrame, keys: list[str], order_key: str,
-                chunks: int = 256) -> DataFrame:
+def stitch_scd2(target: DataFrame | None, batch: DataFrame, keys: list[str], order_key: str) -> DataFrame:
     """History with ``valid_from``, ``valid_to`` (NULL while open) and ``is_current``.
 
     Keys the batch touches get their versions rebuilt from history and batch together, so late rows
     and repeated batches come out right; a version equal to the one before it is no new version.
-    Other keys pass through unread by the rebuild. A key with very many versions is split by time. The
-    versions to rebuild are written to the checkpoint folder, as the rebuild reads them several times.
+    Other keys pass through unread by the rebuild. The versions to rebuild are range-partitioned by
+    key and time in the checkpoint folder, so a key with very many versions is spread over tasks.
     """
     names = batch.columns
     versions = batch.select(*names, F.lit(1).alias("_from_batch"))
@@ -95,11 +93,10 @@ def stitch_scd2(target: DataFrame | None, batch: DataFrame, keys: list[str], ord
         history = target.join(touched, _on(keys), "left_semi")
         versions = versions.unionByName(history.select(*names, F.lit(0).alias("_from_batch")))
     single = newest_per_key(versions, [*keys, order_key], ["_from_batch"]).drop("_from_batch")
-    hashed = cut_lineage(single.withColumn("_hash", attribute_hash(single, keys, order_key)))
-    cuts = order_cuts(hashed, order_key, chunks)
-    seen = neighbour(hashed, keys, order_key, ["_hash"], cuts, following=False, prefix="_before")
+    hashed = range_parts(single.withColumn("_hash", attribute_hash(single, keys, order_key)), keys, [order_key])
+    seen = neighbour(hashed, keys, order_key, ["_hash"], following=False, prefix="_before")
     real = seen.where(~F.col("_hash").eqNullSafe(F.col("_before_hash"))).drop("_hash", "_before_hash")
-    timed = neighbour(real.withColumn("_at", quoted(order_key)), keys, order_key, ["_at"], cuts, following=True,
+    timed = neighbour(real.withColumn("_at", quoted(order_key)), keys, order_key, ["_at"], following=True,
                       prefix="_next")
     rebuilt = timed.select(*[quoted(c) for c in names], quoted(order_key).alias("valid_from"),
                            F.col("_next_at").alias("valid_to"), F.col("_next_at").isNull().alias("is_current"))
