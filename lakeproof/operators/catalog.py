@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col, base_name
-from .lineage import sql_tables  # noqa: F401  (part of this module's public face)
+from ..session import cut_lineage
 
 # Known control tables, the names they go by and the columns that give them away.
 CONTROL_TABLES = {
@@ -171,7 +171,7 @@ def classify_control_table(columns: DataFrame) -> DataFrame:
             .select("table", F.explode(F.try_element_at(lookup, F.col("c"))).alias("i"))
             .groupBy("table", "i").agg(F.count(F.lit(1)).alias("n")).where("n >= 3"))
     best = hits.groupBy("table").agg(F.max_by("i", F.struct("n", -F.col("i"))).alias("i"))
-    named = F.element_at(F.array(*[F.lit(c) for c in order]), F.col("i") + 1)
+    named = F.get(F.array(*[F.lit(c) for c in order]), F.col("i"))
     return (columns.select("table").distinct().withColumn("_name", by_name).join(best, "table", "left")
             .select("table", F.coalesce("_name", named).alias("canonical"),
                     F.when(F.col("_name").isNotNull(), "name").when(F.col("i").isNotNull(), "columns").alias("matched_by"))
@@ -324,7 +324,8 @@ def ops_graph(jobs: DataFrame, cells: DataFrame, catalog: DataFrame) -> OpsGraph
     table ``cells`` (see config_cells) and ``catalog(full_name, system)``.
 
     An edge needs evidence: a config value that equals a catalogue table by base name or names a job.
-    Tables that only a config row knows become ``ref:`` nodes.
+    Tables that only a config row knows become ``ref:`` nodes. The matched rows and the edges, which
+    several parts of the result read, are written to the checkpoint folder once.
     """
     job_id = F.concat(F.lit("job:"), word_name("legacy_name"))
     named = jobs.withColumn("legacy_name", F.coalesce("legacy_name", "key")).withColumn("id", job_id)
@@ -348,8 +349,8 @@ def ops_graph(jobs: DataFrame, cells: DataFrame, catalog: DataFrame) -> OpsGraph
     ruled = filled.join(roles, ["table", "col"])
     rows = ruled.groupBy("table", "canonical", "row_id").agg(
         *[F.max(F.when(F.col("role") == r, F.col("value"))).alias(r) for r in ROLE_COLUMNS])
-    match = contains_match_job(filled.select("value"), named.select(F.col("legacy_name").alias("job"))).select(
-        "value", F.concat(F.lit("job:"), word_name("job")).alias("job"))
+    match = cut_lineage(contains_match_job(filled.select("value"), named.select(F.col("legacy_name").alias("job"))).select(
+        "value", F.concat(F.lit("job:"), word_name("job")).alias("job")))
 
     def with_node(df, col, fallback):
         found = df.withColumn("base", word_name(col)).join(by_base, "base", "left").drop("base")
@@ -357,7 +358,7 @@ def ops_graph(jobs: DataFrame, cells: DataFrame, catalog: DataFrame) -> OpsGraph
         return found.withColumn(f"{col}_node", F.coalesce("node", made) if fallback else F.col("node")).drop("node")
 
     data_rows = with_node(with_node(with_node(rows, "source", True), "target", True), "replica", False)
-    data_rows = data_rows.join(match.withColumnRenamed("value", "interface"), "interface", "left")
+    data_rows = cut_lineage(data_rows.join(match.withColumnRenamed("value", "interface"), "interface", "left"))
     linked = data_rows.where("source_node is not null and target_node is not null")
     through = F.when(F.col("job").isNotNull(), F.array(
         F.struct(F.col("source_node").alias("src"), F.col("job").alias("dst"), F.lit("").alias("label")),
@@ -371,7 +372,7 @@ def ops_graph(jobs: DataFrame, cells: DataFrame, catalog: DataFrame) -> OpsGraph
     control = filled.select("table", "canonical", "value").distinct().join(match, "value").select(
         F.col("job").alias("src"), F.concat(F.lit("ctl:"), word_name("table")).alias("dst"), F.lit("control").alias("kind"),
         F.when(ledger, "writes").otherwise("reads").alias("label"))
-    edges = execution.unionByName(data).unionByName(replicate).unionByName(control).distinct()
+    edges = cut_lineage(execution.unionByName(data).unionByName(replicate).unionByName(control).distinct())
 
     control_nodes = cells.select(F.concat(F.lit("ctl:"), word_name("table")).alias("id"), F.col("table").alias("label"),
                                  F.lit("control").alias("type")).distinct()

@@ -62,6 +62,12 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def _once(df: DataFrame, keep: list[str], cols: dict[str, Column]) -> DataFrame:
+    """Add columns as the output of a generator, which the optimizer neither inlines nor pushes filters
+    through: an expression used several times later is still evaluated once per row."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def _pairs(text: Column, pattern: str) -> Column:
     return F.transform(_all(text, pattern, 0), lambda m: norm_name(F.concat(
         F.regexp_extract(m, pattern, 1), F.lit("."), F.regexp_extract(m, pattern, 2))))
@@ -102,17 +108,15 @@ def extract_io(scripts: DataFrame, name: str = "name", text: str = "text") -> Da
     """
     src = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    base = scripts.select(
-        F.col(name).alias("name"), src.alias("t"),
-        F.transform(_all(src, READ_TABLE), lambda n: norm_name(n)).alias("r_table"),
-        F.transform(_all(src, LOAD_PATH), lambda p: F.lower(F.trim(p))).alias("r_path"),
-        _pairs(src, CATALOG_READ).alias("r_catalog"), _pairs(src, CATALOG_SINK).alias("w_catalog"),
-        F.transform(_all(src, SAVE_TABLE), lambda n: norm_name(n)).alias("w_table"),
-        F.transform(_all(src, SAVE_PATH), lambda p: F.lower(F.trim(p))).alias("w_path"),
-        _in_context(src, DBTABLE, 240).alias("db"), _in_context(src, S3_LITERAL, 80).alias("s3"),
-        _all(src, SQL_BLOCK).alias("sql"),
-        F.transform(_all(src, FILE_TABLE_MAP), lambda n: norm_name(n)).alias("mapped"),
-        src.rlike(WRITE_CALL).alias("has_write"), src.rlike(FILE_READ).alias("file_read"))
+    base = _once(scripts.withColumnRenamed(name, "name"), ["name"], {
+        "r_table": F.transform(_all(src, READ_TABLE), lambda n: norm_name(n)),
+        "r_path": F.transform(_all(src, LOAD_PATH), lambda p: F.lower(F.trim(p))),
+        "r_catalog": _pairs(src, CATALOG_READ), "w_catalog": _pairs(src, CATALOG_SINK),
+        "w_table": F.transform(_all(src, SAVE_TABLE), lambda n: norm_name(n)),
+        "w_path": F.transform(_all(src, SAVE_PATH), lambda p: F.lower(F.trim(p))),
+        "db": _in_context(src, DBTABLE, 240), "s3": _in_context(src, S3_LITERAL, 80), "sql": _all(src, SQL_BLOCK),
+        "mapped": F.transform(_all(src, FILE_TABLE_MAP), lambda n: norm_name(n)),
+        "has_write": src.rlike(WRITE_CALL), "file_read": src.rlike(FILE_READ)})
 
     def db(x):
         return norm_name(F.regexp_extract(x["m"], DBTABLE, 1))
@@ -132,7 +136,7 @@ def extract_io(scripts: DataFrame, name: str = "name", text: str = "text") -> Da
     def of_role(role):
         return F.transform(F.filter("s3c", lambda x: x["role"] == role), lambda x: x["target"])
 
-    cases = base.withColumns({
+    cases = _once(base, ["name", "r_table", "r_path", "r_catalog", "w_catalog", "w_table", "w_path", "file_read"], {
         "s3c": F.transform("s3", s3_case),
         "db_w": F.transform(F.filter("db", writing), db),
         "db_r": F.transform(F.filter("db", lambda x: ~writing(x)), db),
@@ -143,17 +147,16 @@ def extract_io(scripts: DataFrame, name: str = "name", text: str = "text") -> Da
     reads = F.concat("r_table", "r_path", "r_catalog", "db_r", "sql_r", of_role("read"))
     writes = F.concat("w_catalog", "w_table", "w_path", "db_w", "sql_w", "mapped",
                       F.when(F.size("mapped") == 0, out_paths).otherwise(none))
-    named = cases.withColumns({
+    named = _once(cases, ["name", "file_read"], {
         "all_reads": F.array_distinct(F.filter(reads, lambda x: x != "")),
-        "all_writes": F.array_distinct(F.filter(writes, lambda x: x != "")), "outs": F.size(out_paths) > 0,
-        "templated": F.exists("s3c", lambda x: x["role"] == "template")})
+        "all_writes": F.array_distinct(F.filter(writes, lambda x: x != "")),
+        "outside": (F.size(out_paths) > 0) | F.exists("s3c", lambda x: x["role"] == "template")})
     plain_w = F.filter("all_writes", lambda x: ~x.rlike(r"[{}]"))
     plain_r = F.array_except(F.filter("all_reads", lambda x: ~x.rlike(r"[{}]")), plain_w)
     braced = F.exists(F.concat("all_reads", "all_writes"), lambda x: x.rlike(r"[{}]"))
-    return (named.withColumns({"reads": F.array_sort(plain_r), "writes": F.array_sort(plain_w)})
-            .select("name", "reads", "writes",
-                    (F.col("file_read") | F.col("outs") | F.col("templated") | braced
-                     | F.exists("reads", lambda r: is_path(r))).alias("external")))
+    return _once(named, ["name"], {
+        "reads": F.array_sort(plain_r), "writes": F.array_sort(plain_w),
+        "external": F.col("file_read") | F.col("outside") | braced | F.exists(plain_r, lambda r: is_path(r))})
 
 
 def io_rows(io: DataFrame) -> DataFrame:
@@ -252,22 +255,21 @@ def build_lineage(catalog: DataFrame, scripts: DataFrame | None = None, views: D
     definitions ``views(full_name, sql)`` and declared keys ``rels(fk_table, pk_table)``.
 
     References nobody knows become nodes of their own (``ref:``): silver if some job writes them,
-    else source.
+    else source. The extracted references are written to the checkpoint folder, so every script is
+    parsed once.
     """
     spark = catalog.sparkSession
     none = small_frame(spark, [], "owner string, ref string, role string, label string")
-    uses, jobs = none, None
+    uses = none
     if scripts is not None:
         io = extract_io(scripts)
         uses = uses.unionByName(io_rows(io).select(F.concat(F.lit("job:"), norm_name("name")).alias("owner"), "ref", "role",
                                                    F.lit("").alias("label")))
-        jobs = io.where("size(reads) + size(writes) > 0").select(
-            F.concat(F.lit("job:"), norm_name("name")).alias("id"), F.col("name").alias("label"),
-            F.lit("job").alias("type"), F.lit("lake").alias("system")).dropDuplicates(["id"])
     if views is not None:
         deps = views.select(F.concat(F.lit("warehouse:"), norm_name("full_name")).alias("owner"),
                             F.explode(sql_tables("sql")).alias("ref"), F.lit("read").alias("role"), F.lit("view").alias("label"))
         uses = uses.unionByName(deps)
+    uses = cut_lineage(uses)
     ids = catalog.groupBy("full_name").agg(F.max(F.concat("system", F.lit(":"), norm_name("full_name"))).alias("known"))
     resolved = resolve_reference(uses.select("ref"), catalog).join(ids, "full_name", "left").select(
         "ref", F.coalesce("known", F.concat(F.lit("ref:"), F.when(is_path("ref"), F.col("ref")).otherwise(norm_name("ref")))).alias("node"))
@@ -280,8 +282,11 @@ def build_lineage(catalog: DataFrame, scripts: DataFrame | None = None, views: D
            .select("id", F.substring("id", 5, 1 << 30).alias("label"),
                    F.when(F.col("written"), "silver").otherwise("source").alias("type"), F.lit("").alias("system")))
     nodes = catalog_nodes(catalog).unionByName(new)
-    if jobs is not None:
-        nodes = nodes.unionByName(jobs)
+    if scripts is not None:
+        jobs = scripts.select(F.concat(F.lit("job:"), norm_name("name")).alias("id"), F.col("name").alias("label"),
+                              F.lit("job").alias("type"), F.lit("lake").alias("system")).dropDuplicates(["id"])
+        busy = uses.where("label = ''").select(F.col("owner").alias("id")).distinct()
+        nodes = nodes.unionByName(jobs.join(busy, "id", "left_semi"))
     if views is not None:
         undeclared = views.select(F.concat(F.lit("warehouse:"), norm_name("full_name")).alias("id"),
                                   F.col("full_name").alias("label"), F.lit("gold").alias("type"), F.lit("warehouse").alias("system"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .skew import neighbour, newest_per_key, quoted, range_parts
 
 KINDS = ("full", "append", "upsert", "delete_flag", "roll_out", "scd2")
@@ -41,9 +42,10 @@ def stitch_upsert(target: DataFrame, batch: DataFrame, keys: list[str], order_ke
     """The newest row of every key wins, other target rows stay; on a tie the batch wins.
 
     The target (one row per key) is only filtered against the batch's keys: while those fit a
-    broadcast, Spark never shuffles it.
+    broadcast, Spark never shuffles it. The reduced batch is written to the checkpoint folder, as
+    several joins read it.
     """
-    best = newest_per_key(batch, keys, [order_key] if order_key else [])
+    best = cut_lineage(newest_per_key(batch, keys, [order_key] if order_key else []))
     if order_key is None:
         return target.join(_renamed(best, keys), _on(keys), "left_anti").unionByName(best)
     theirs, ours = quoted(order_key), F.col(f"_b_{order_key}")
@@ -59,7 +61,7 @@ def stitch_upsert(target: DataFrame, batch: DataFrame, keys: list[str], order_ke
 def stitch_delete_flag(target: DataFrame, snapshot: DataFrame, keys: list[str], order_key: str | None = None,
                        flag: str = "is_deleted") -> DataFrame:
     """The batch is a full snapshot: its newest row per key is live, keys it lacks are flagged Y."""
-    best = newest_per_key(snapshot, keys, [order_key] if order_key else [])
+    best = cut_lineage(newest_per_key(snapshot, keys, [order_key] if order_key else []))
     gone = target.drop(flag).join(_renamed(best, keys), _on(keys), "left_anti")
     return best.withColumn(flag, F.lit("N")).unionByName(gone.withColumn(flag, F.lit("Y")))
 
