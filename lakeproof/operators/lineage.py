@@ -229,14 +229,27 @@ def catalog_nodes(catalog: DataFrame) -> DataFrame:
                           F.col("full_name").alias("label"), kind.alias("type"), "system").dropDuplicates(["id"])
 
 
-def name_match_edges(catalog: DataFrame) -> DataFrame:
-    """Lake table to warehouse tables of the same base name: load from bronze, else copy."""
+def name_match_edges(catalog: DataFrame, max_pairs: int = 1000) -> DataFrame:
+    """Lake table to warehouse tables of the same base name: load from bronze, else copy.
+
+    A base name with more than ``max_pairs`` such pairs is linked through one node ``name:<base>``
+    instead: every lake table leads to it (load or copy) and it leads to every warehouse table
+    (same_name). Reachability is the same and the edges grow with the tables, not with the pairs.
+    """
     lake = catalog.where("system = 'lake'").select(
         base_name("full_name").alias("base"), F.concat(F.lit("lake:"), norm_name("full_name")).alias("src"),
-        F.when(catalog_layer("full_name") == "bronze", "load").otherwise("copy").alias("label"))
+        F.when(catalog_layer("full_name") == "bronze", "load").otherwise("copy").alias("label")).distinct()
     warehouse = catalog.where("system = 'warehouse'").select(
-        base_name("full_name").alias("base"), F.concat(F.lit("warehouse:"), norm_name("full_name")).alias("dst"))
-    return lake.distinct().join(warehouse.distinct(), "base").select("src", "dst", "label")
+        base_name("full_name").alias("base"), F.concat(F.lit("warehouse:"), norm_name("full_name")).alias("dst")).distinct()
+    n = F.count(F.lit(1))
+    sizes = lake.groupBy("base").agg(n.alias("a")).join(warehouse.groupBy("base").agg(n.alias("b")), "base")
+    direct = sizes.where(F.col("a") * F.col("b") <= max_pairs).select("base")
+    through = sizes.where(F.col("a") * F.col("b") > max_pairs).select("base")
+    pairs = lake.join(direct, "base", "left_semi").join(warehouse, "base").select("src", "dst", "label")
+    hub = F.concat(F.lit("name:"), F.col("base"))
+    into = lake.join(through, "base", "left_semi").select("src", hub.alias("dst"), "label")
+    out = warehouse.join(through, "base", "left_semi").select(hub.alias("src"), "dst", F.lit("same_name").alias("label"))
+    return pairs.unionByName(into).unionByName(out)
 
 
 def fk_edges(rels: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -291,7 +304,11 @@ def build_lineage(catalog: DataFrame, scripts: DataFrame | None = None, views: D
         undeclared = views.select(F.concat(F.lit("warehouse:"), norm_name("full_name")).alias("id"),
                                   F.col("full_name").alias("label"), F.lit("gold").alias("type"), F.lit("warehouse").alias("system"))
         nodes = nodes.unionByName(undeclared.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti"))
-    edges = edges.unionByName(name_match_edges(catalog))
+    same = name_match_edges(catalog)
+    hubs = same.where("label = 'same_name'").select(
+        F.col("src").alias("id"), F.substring("src", 6, 1 << 30).alias("label"), F.lit("name").alias("type"), F.lit("").alias("system"))
+    nodes = nodes.unionByName(hubs.distinct())
+    edges = edges.unionByName(same)
     if rels is not None:
         edges = edges.unionByName(fk_edges(rels, catalog))
     return Graph(nodes, edges.distinct())
@@ -399,14 +416,22 @@ def node_layer(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("layer", F.when(lifted, "gold").otherwise(default))
 
 
+def layer_tables(catalog: DataFrame) -> DataFrame:
+    """Base names of the lake tables of every layer: ``(layer, table)``."""
+    return catalog.where("system = 'lake'").select(catalog_layer("full_name").alias("layer"),
+                                                   base_name("full_name").alias("table")).distinct()
+
+
 def job_outputs(io: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Lake tables at each job's output layer: the layer it writes, or the one above what it reads."""
+    """Output layer of each job and how many lake tables it holds: ``(name, layer, tables)``.
+
+    The layer is the one the job writes, or the one above what it reads. All tables of that layer are
+    its outputs: look them up in ``layer_tables`` by layer; jobs times tables is never spelled out.
+    """
     def layers(col):
         return F.transform(F.filter(col, lambda p: is_path(p)), lambda p: canonical_layer(p))
     w, r = layers("writes"), layers("reads")
     out = (F.when(F.array_contains(w, "gold"), "gold").when(F.array_contains(w, "silver"), "silver")
            .when(F.array_contains(r, "silver"), "gold").when(F.array_contains(r, "bronze"), "silver"))
-    jobs = io.select("name", out.alias("layer")).where("layer is not null")
-    tables = catalog.where("system = 'lake'").select(catalog_layer("full_name").alias("layer"),
-                                                     base_name("full_name").alias("table")).distinct()
-    return jobs.join(tables, "layer").select("name", "layer", "table")
+    counts = layer_tables(catalog).groupBy("layer").agg(F.count(F.lit(1)).alias("tables"))
+    return io.select("name", out.alias("layer")).join(counts, "layer").select("name", "layer", "tables")

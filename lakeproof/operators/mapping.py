@@ -180,7 +180,8 @@ def infer_mapping(headers: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(0).alias("ord"))
 
     longer = names.select("object", F.explode(_boundary_prefixes(F.col("name"))).alias("low"), "name", "header", "ord"
-                          ).where("low <> name")
+                          ).where("low <> name").groupBy("object", "low").agg(F.min(F.struct("ord", "header")).alias("h")
+                                                                             ).select("object", "low", "h.header", "h.ord")
     shorter = wanted.select("object", "target", "low", F.explode(_boundary_prefixes(low)).alias("name")).where("low <> name")
     by_prefix = (wanted.join(longer, ["object", "low"]).select("object", "target", "header", "ord")
                  .unionByName(shorter.join(names, ["object", "name"]).select("object", "target", "header", "ord"))

@@ -123,6 +123,13 @@ def rels_of(part):
     return part.select(F.concat(F.lit("RAW_DB."), n).alias("fk_table"), F.concat(F.lit('dwh."public".dim_'), n).alias("pk_table"))
 
 
+@query("name_match_hubs", f"""WITH {CATALOG}, {NAME_MATCH}, b AS (SELECT split_part(src, '.', -1) AS base FROM nm GROUP BY 1 HAVING COUNT(*) > 12)
+SELECT src, dst, label FROM nm WHERE split_part(src, '.', -1) NOT IN (SELECT base FROM b)
+UNION SELECT src, 'name:' || base, label FROM nm JOIN b ON split_part(src, '.', -1) = base UNION SELECT 'name:' || base, dst, 'same_name' FROM nm JOIN b ON split_part(src, '.', -1) = base""")
+def _(t):
+    return lineage.name_match_edges(catalog_of(t.part), max_pairs=12)
+
+
 @query("fk_edges", f"WITH {CATALOG}, {FK} SELECT * FROM fk")
 def _(t):
     return lineage.fk_edges(rels_of(t.part), catalog_of(t.part))
@@ -167,13 +174,20 @@ def _(t):
     return lineage.node_layer(nodes).select("id", "layer")
 
 
-@query("job_outputs", f"""WITH {IO}, {CATALOG}, o AS (SELECT name, CASE p_type WHEN 'STANDARD' THEN 'silver' WHEN 'LARGE' THEN 'gold' END AS layer FROM io),
-l AS (SELECT DISTINCT CASE WHEN p_size < 16 THEN 'bronze' ELSE 'gold' END AS layer, split_part(lower(full_name), '.', -1) AS "table" FROM cat WHERE system = 'lake')
-SELECT name, layer, "table" FROM o JOIN l USING (layer)""")
+LAYERS = """l AS (SELECT DISTINCT CASE WHEN p_size < 16 THEN 'bronze' ELSE 'gold' END AS layer, split_part(lower(full_name), '.', -1) AS "table" FROM cat WHERE system = 'lake')"""
+
+
+@query("job_outputs", f"""WITH {IO}, {CATALOG}, o AS (SELECT name, CASE p_type WHEN 'STANDARD' THEN 'silver' WHEN 'LARGE' THEN 'gold' END AS layer FROM io), {LAYERS}
+SELECT name, layer, COUNT(*) AS tables FROM o JOIN l USING (layer) GROUP BY ALL""")
 def _(t):
     return lineage.job_outputs(lineage.extract_io(scripts_of(t.part)), catalog_of(t.part))
 
 
+@query("layer_tables", f"""WITH {CATALOG}, {LAYERS} SELECT layer, "table" FROM l""")
+def _(t):
+    return lineage.layer_tables(catalog_of(t.part))
+
+
 # ---- closure and order over the tables' own key links ----------------------------------------
 
 TREE = """e AS (SELECT DISTINCT 'l' || l_orderkey || '/' || l_linenumber AS src, 'o' || l_orderkey AS dst FROM lineitem

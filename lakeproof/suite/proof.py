@@ -220,7 +220,7 @@ def _(t):
 
 # A column catalogue that grows with part: every part is a column of the table named by its brand.
 PART_TYPES = """CASE p_type WHEN 'ECONOMY' THEN 'int' WHEN 'STANDARD' THEN 'string' ELSE 'decimal(' || (p_size % 18 + 1) || ',0)' END"""
-PART_COLUMNS = f"""cols AS (SELECT p_brand AS "table", replace(p_name, ' ', '_') AS col_name,
+PART_COLUMNS = f"""cols AS (SELECT p_brand AS "table", replace(p_name, ' ', '_') || '_' || p_size % 7 AS col_name,
   {PART_TYPES} AS col_type, p_type FROM part)"""
 
 
@@ -228,7 +228,8 @@ def part_columns(part: DataFrame) -> DataFrame:
     kind = (F.when(F.col("p_type") == "ECONOMY", "int").when(F.col("p_type") == "STANDARD", "string")
             .otherwise(F.concat(F.lit("decimal("), (F.col("p_size") % 18 + 1).cast("string"), F.lit(",0)"))))
     return part.select(F.col("p_brand").alias("table"),
-                       F.translate("p_name", " ", "_").alias("col_name"), kind.alias("col_type"), "p_type")
+                       F.concat(F.translate("p_name", " ", "_"), F.lit("_"), (F.col("p_size") % 7).cast("string")).alias("col_name"),
+                       kind.alias("col_type"), "p_type")
 
 
 @query("schema_parity", f"""WITH {PART_COLUMNS},
