@@ -190,7 +190,8 @@ def resolve_reference(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     tables = catalog.select(norm_name("full_name").alias("norm"), "full_name").groupBy("norm").agg(
         F.min("full_name").alias("full_name"))
-    wanted = refs.select("ref").distinct().withColumn("norm", F.when(is_path("ref"), F.col("ref")).otherwise(norm_name("ref")))
+    norm = F.when(is_path("ref"), F.col("ref")).otherwise(norm_name("ref"))
+    wanted = cut_lineage(refs.select("ref").distinct().withColumn("norm", norm))  # read by three joins
     exact = wanted.join(tables, "norm").select("ref", "full_name")
     open_refs = wanted.join(tables.select("norm"), "norm", "left_anti")
 
@@ -320,7 +321,7 @@ def upstream_closure(edges: DataFrame, targets: DataFrame, max_depth: int | None
     One frontier per round, each written to the checkpoint folder, until no new node appears; cycles
     end by themselves. A depth limit that cuts something off is an error, not a shorter result.
     """
-    links = edges.select("src", "dst").distinct()
+    links = edges.select("src", "dst")
     frontier = cut_lineage(targets.select("id").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while True:
@@ -344,28 +345,27 @@ def closure_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
 def topo_levels(edges: DataFrame) -> DataFrame:
     """Execution level of every node: 0 without predecessors, else one more than the deepest one.
 
-    Rounds peel off the nodes with no open predecessor. What is left when a round finds none sits on
-    or behind a cycle: level NULL, ``cyclic`` true.
+    Each round takes the edges that leave the nodes just placed; their ends are placed next if no
+    open edge leads to them any more. Only edges and newly placed nodes are written to the checkpoint
+    folder. Edges still open when a round places nothing lie on or behind a cycle: their ends get
+    level NULL and ``cyclic`` true.
     """
-    open_edges = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
-    loops = edges.where("src = dst").select(F.col("src").alias("id"))
-    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    left = cut_lineage(nodes.join(loops, "id", "left_anti"))
-    stuck = nodes.join(loops, "id", "left_semi")
-    level, done = 0, []
-    while True:
-        ready = cut_lineage(left.join(open_edges.select(F.col("dst").alias("id")), "id", "left_anti")
-                            .join(stuck.select("id"), "id", "left_anti"))
-        if ready.isEmpty():
-            break
-        done.append(ready.select("id", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
-        left = cut_lineage(left.join(ready, "id", "left_anti"))
-        open_edges = cut_lineage(open_edges.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"))
+    open_edges = cut_lineage(edges.select("src", "dst").distinct())
+    heads = open_edges.select(F.col("dst").alias("id"))
+    ready = cut_lineage(open_edges.select(F.col("src").alias("id")).distinct().join(heads, "id", "left_anti"))
+    level, placed = 0, []
+    while not ready.isEmpty():
+        placed.append(ready.select("id", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
+        leaving = ready.withColumnRenamed("id", "src")
+        ends = open_edges.join(leaving, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        open_edges = cut_lineage(open_edges.join(leaving, "src", "left_anti"))
+        ready = cut_lineage(ends.join(open_edges.select(F.col("dst").alias("id")), "id", "left_anti"))
         level += 1
-    rest = left.unionByName(stuck).distinct().select("id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
-    for part in done:
-        rest = rest.unionByName(part)
-    return rest
+    stuck = open_edges.select(F.col("src").alias("id")).unionByName(open_edges.select(F.col("dst").alias("id"))).distinct()
+    out = stuck.select("id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
+    for part in placed:
+        out = out.unionByName(part)
+    return out
 
 
 # ---- jobs -----------------------------------------------------------------------------------
