@@ -339,7 +339,7 @@ def closure_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
     """The edges with both ends inside a closure."""
     ids = closure.select("id")
     return (edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-            .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+            .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns))
 
 
 def topo_levels(edges: DataFrame) -> DataFrame:
