@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, table_exists
+from ..sources.writers import write_partitioned
 from .skew import neighbour, newest_per_key, quoted, range_parts
 
 KINDS = ("full", "append", "upsert", "delete_flag", "roll_out", "scd2")
@@ -58,6 +59,31 @@ def stitch_upsert(target: DataFrame, batch: DataFrame, keys: list[str], order_ke
     return kept.unionByName(fresh)
 
 
+def upsert_partitions(table: str, batch: DataFrame, keys: list[str], order_key: str, by: list[str]) -> None:
+    """Upsert into a partitioned table, reading and rewriting only the partitions the batch touches.
+
+    The partition columns must be part of the key, so that no row moves between partitions. The
+    touched values prune the partitions read, the write replaces just those, and running it again
+    changes nothing.
+    """
+    if not {b.lower() for b in by} <= {k.lower() for k in keys}:
+        raise ValueError("the partition columns must be key columns")
+    spark = batch.sparkSession
+    if not table_exists(spark, table):
+        write_partitioned(newest_per_key(batch, keys, [order_key]), table, by)
+        return
+    target = spark.table(table)
+    touched = cut_lineage(batch.select(*by).distinct())
+    part = target
+    for column in by:  # as many values as partitions touched, which the write's commit lists anyway
+        values = [r[0] for r in touched.select(column).distinct().collect()]
+        known = [v for v in values if v is not None]
+        hit = quoted(column).isin(known) if known else F.lit(False)
+        part = part.where(hit | quoted(column).isNull() if len(known) < len(values) else hit)
+    part = part.join(_renamed(touched, by), _on(by), "left_semi").select(*target.columns)
+    write_partitioned(stitch_upsert(part, batch.select(*target.columns), keys, order_key), table, by)
+
+
 def stitch_delete_flag(target: DataFrame, snapshot: DataFrame, keys: list[str], order_key: str | None = None,
                        flag: str = "is_deleted") -> DataFrame:
     """The batch is a full snapshot: its newest row per key is live, keys it lacks are flagged Y."""

@@ -95,7 +95,7 @@ def expand_archives(spark: SparkSession, path: str, out: str, glob: str = "*.zip
     """
     out = _as_uri(out)
     archives = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-                .load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")))
+                .load(path).select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:///"), "^s3[an]://", "s3://").alias("path")))
     manifest = f"{out}/_manifest"
     (archives.repartition("path").mapInPandas(_extract_archives(out), "archive string, member string, path string, bytes long")
      .write.mode("overwrite").parquet(manifest))

@@ -60,6 +60,17 @@ def _(t):
     return out.select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"))
 
 
+@query("upsert_partitions", f"""WITH {BATCH}, c AS (SELECT * FROM b WHERE o_orderstatus <> 'P'), u AS (SELECT *, 1 AS f FROM c UNION ALL SELECT *, 0 FROM orders)
+SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderkey, o_orderstatus ORDER BY o_orderdate DESC, f DESC) AS rn FROM u) WHERE rn = 1""")
+def _(t):
+    name = f"orders_{uuid.uuid4().hex[:8]}"
+    writers.write_partitioned(t.orders, name, ["o_orderstatus"], scratch_path(t.spark, name))
+    for _ in range(2):
+        stitch.upsert_partitions(name, order_batch(t.orders).where("o_orderstatus <> 'P'"), ["o_orderkey", "o_orderstatus"], "o_orderdate", ["o_orderstatus"])
+    return t.spark.table(name).select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"))
+
+
 @query("stitch_delete_flag", f"""WITH {BATCH}, n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC) AS rn FROM b)
 SELECT o_orderkey, o_totalprice, 'N' AS is_deleted FROM n WHERE rn = 1
 UNION ALL SELECT o_orderkey, o_totalprice, 'Y' FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)""")
