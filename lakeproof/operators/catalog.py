@@ -48,6 +48,12 @@ ROLE_COLUMNS = {
 }
 LEDGER_WORDS = ("batch", "log", "ingestion", "audit")
 
+# Layer by catalogue name, and by a name only a config row knows; first match wins.
+OPS_LAYERS = {"gold": r"gold|publish|mart|_dim|\.dim|_fct|\.fct|fact", "silver": "silver|curated|cleansed|conform",
+              "bronze": "bronze|raw|landing|stage|staging"}
+CONFIG_NAME_LAYERS = {"source": r"\.(xlsx|xls|csv|json|parquet)$|landing", "bronze": r"^raw[_.]|/raw|_raw|bronze",
+                      "silver": "^stg_|staging|curated|silver", "gold": "^(dim|fct|fact|mart|pub)_|gold|publish"}
+
 # Table words and driver columns of config-driven scripts, and words that are no tables.
 CONFIG_TABLE = (r"(?i)\b(\w*(?:configuration|config_master|ingestion_log|file_process_log|batch_process|control_table|"
                 r"metadata_table|_replicate|_manifest)\w*|\w+_config|\w+_control)\b")
@@ -304,19 +310,19 @@ def _role_columns(cells: DataFrame) -> DataFrame:
             .groupBy("table", "role").agg(F.min(F.struct("rank", "col")).alias("b")).select("table", "role", F.col("b.col").alias("col")))
 
 
+def _first_layer(name: Column, patterns: dict[str, str], fallback) -> Column:
+    low, out = F.lower(name), None
+    for layer, pattern in patterns.items():
+        out = F.when(low.rlike(pattern), layer) if out is None else out.when(low.rlike(pattern), layer)
+    return out.otherwise(fallback)
+
+
 def _ops_layer(name: Column) -> Column:
-    low = F.lower(name)
-    return (F.when(low.rlike(r"gold|publish|mart|_dim|\.dim|_fct|\.fct|fact"), "gold")
-            .when(low.rlike("silver|curated|cleansed|conform"), "silver")
-            .when(low.rlike("bronze|raw|landing|stage|staging"), "bronze").otherwise("silver"))
+    return _first_layer(name, OPS_LAYERS, "silver")
 
 
 def _named_layer(name: Column, fallback) -> Column:
-    low = F.lower(name)
-    return (F.when(low.rlike(r"\.(xlsx|xls|csv|json|parquet)$|landing"), "source")
-            .when(low.rlike(r"^raw[_.]|/raw|_raw|bronze"), "bronze")
-            .when(low.rlike("^stg_|staging|curated|silver"), "silver")
-            .when(low.rlike("^(dim|fct|fact|mart|pub)_|gold|publish"), "gold").otherwise(fallback))
+    return _first_layer(name, CONFIG_NAME_LAYERS, fallback)
 
 
 def ops_graph(jobs: DataFrame, cells: DataFrame, catalog: DataFrame) -> OpsGraph:

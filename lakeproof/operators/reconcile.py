@@ -307,28 +307,34 @@ def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[s
     NULL equals NULL, in keys too.
     """
     names = [c for c in (cols or src.columns) if c.lower() not in {k.lower() for k in key}]
+    tols = {k.lower(): v for k, v in (col_tol or {}).items()}
+
+    def near(c):
+        return tols.get(c.lower(), tol) if is_numeric(src.schema[c].dataType) else 0
+
+    def compared(df, c):
+        if near(c):
+            return quoted(c).cast("double")
+        return F.xxhash64(F.to_json(quoted(c)) if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else quoted(c))
 
     def tagged(df, sign):
-        return df.select(*[quoted(k) for k in key], *[quoted(c) for c in names], F.lit(sign).alias("_sign"))
+        return df.select(*[quoted(k) for k in key], F.lit(sign).cast("long").alias("_sign"),
+                         *[compared(df, c).alias(f"_v{i}") for i, c in enumerate(names)])
 
     rows = tagged(src, 1).unionByName(tagged(cand, -1))
-    wide = T.DecimalType(38, 0)
-    tols = {k.lower(): v for k, v in (col_tol or {}).items()}
     aggs, changed = [], []
     for i, c in enumerate(names):
-        dtype, t = rows.schema[c].dataType, tols.get(c.lower(), tol)
-        if t and is_numeric(dtype):
-            value = quoted(c).cast("double")
-            aggs += [F.sum(F.when(F.col("_sign") > 0, value)).alias(f"_s{i}"),
-                     F.sum(F.when(F.col("_sign") < 0, value)).alias(f"_c{i}"),
-                     F.sum(F.when(quoted(c).isNull(), F.col("_sign")).otherwise(0)).alias(f"_n{i}")]
+        v, t = F.col(f"_v{i}"), near(c)
+        if t:
+            aggs += [F.sum(F.when(F.col("_sign") > 0, v)).alias(f"_s{i}"), F.sum(F.when(F.col("_sign") < 0, v)).alias(f"_c{i}"),
+                     F.sum(F.when(v.isNull(), F.col("_sign")).otherwise(0)).alias(f"_n{i}")]
             s, d = F.col(f"_s{i}"), F.col(f"_c{i}")
             same = ((F.col(f"_n{i}") == 0) & (s.eqNullSafe(d) | F.coalesce(
                 F.abs(s - d) <= F.lit(float(t)) * F.greatest(F.lit(1.0), F.abs(s), F.abs(d)), F.lit(False))))
-        else:
-            value = F.to_json(quoted(c)) if isinstance(dtype, (T.MapType, T.VariantType)) else quoted(c)
-            aggs.append(F.sum(F.xxhash64(value).cast(wide) * F.col("_sign").cast(T.DecimalType(1, 0))).alias(f"_h{i}"))
-            same = F.col(f"_h{i}") == 0
+        else:  # 22 + 21 + 21 bits of the hash: plain long sums that stay exact for 10^12 rows of one key
+            parts = (v.bitwiseAND(0x3FFFFF), F.shiftright(v, 22).bitwiseAND(0x1FFFFF), F.shiftrightunsigned(v, 43))
+            aggs += [F.sum(F.col("_sign") * part).alias(f"_h{i}_{j}") for j, part in enumerate(parts)]
+            same = (F.col(f"_h{i}_0") == 0) & (F.col(f"_h{i}_1") == 0) & (F.col(f"_h{i}_2") == 0)
         changed.append(F.when(~same, F.lit(c)))
     grouped = rows.groupBy(*[quoted(k) for k in key]).agg(
         F.count_if(F.col("_sign") > 0).alias("source_rows"), F.count_if(F.col("_sign") < 0).alias("candidate_rows"),

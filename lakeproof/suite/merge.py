@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger, measures, quality, reconcile, stitch
 from ..session import scratch_path
 from ..sources import writers
-from .base import query
+from .base import SQL, query
 from .proof import REBUILT, STRAY, rebuilt_orders, stray_orders
 from .quality import order_specs
 
@@ -100,6 +100,14 @@ def _(t):
     return out.select("user_id", "event_type", text("valid_from"), text("valid_to"), "is_current")
 
 
+@query("stitch_scd2_hot_keys", SQL["stitch_scd2"])
+def _(t):
+    # every user with more than 60 versions takes the path of the hot keys
+    out = stitch.stitch_scd2(None, t.events.select("user_id", "ts", "event_type"), ["user_id"], "ts", split_over=60)
+    text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c)
+    return out.select("user_id", "event_type", text("valid_from"), text("valid_to"), "is_current")
+
+
 @query("replace_table", """SELECT o_orderstatus, COUNT(*) AS rows FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")
 def _(t):
     name = f"swap_{uuid.uuid4().hex[:8]}"

@@ -116,14 +116,14 @@ def test_operations_graph(spark):
                 [("query_configuration", "query_configuration", "interface string, source_tablename string, target_tablename string, sql_query string",
                   [("raw_to_curated", "raw_account", "account", "select 1"), ("curated_to_publish", "account", "dim_account", "select 2")]),
                  ("parent_batch_process", "parent_batch_process", "parent_batch_id string, source_system string", [("b1", "raw_to_curated")])],
-                ["medaffairs_silver.account", "medaffairs_gold.dim_account", "medaffairs_silver.orphan_tbl"])
+                ["crm_silver.account", "crm_gold.dim_account", "crm_silver.orphan_tbl"])
     edges = {(r["src"], r["dst"], r["kind"], r["label"]) for r in graph.edges.collect()}
     assert sum(k == "execution" for _, _, k, _ in edges) == 3
     assert {("tbl:account", "job:curated_to_publish", "data", ""), ("job:curated_to_publish", "tbl:dim_account", "data", ""),
             ("job:raw_to_curated", "ctl:parent_batch_process", "control", "writes"),
             ("job:raw_to_curated", "ctl:query_configuration", "control", "reads")} <= edges
     health = {(r["kind"], r["detail"]) for r in graph.health.collect()}
-    assert ("orphan_table", "medaffairs_silver.orphan_tbl") in health and ("missing_table", "raw_account") in health
+    assert ("orphan_table", "crm_silver.orphan_tbl") in health and ("missing_table", "raw_account") in health
     assert ("job_no_logic", "load_confiq") in health
 
 

@@ -42,7 +42,7 @@ def test_date_helpers_at_month_ends(spark):
 
 def test_landing_csv(spark, tmp_path):
     (tmp_path / "commercial").mkdir()
-    (tmp_path / "commercial" / "acc_1.csv").write_text("ID,NAME,ACCOUNT_TYPE,DATA_SRC_NM\nACC-9001,Reference Clinic,HCO,reference_cdl\nACC-9002,Dr Reference,HCP,reference_cdl\n")
+    (tmp_path / "commercial" / "acc_1.csv").write_text("ID,NAME,ACCOUNT_TYPE,DATA_SRC_NM\nACC-9001,Harbor Clinic,HCO,crm_feed\nACC-9002,Dr Harbor,HCP,crm_feed\n")
     (tmp_path / "commercial" / "skip.txt").write_text("x")
     df = files.read_landing(spark, str(tmp_path), "csv", "acc_*.csv")
     assert rows(df, "ID", "_source_file_name") == [("ACC-9001", "acc_1.csv"), ("ACC-9002", "acc_1.csv")]

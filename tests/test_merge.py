@@ -34,12 +34,13 @@ def test_late_rows_rebuild_the_history_of_their_key(spark):
     assert rows(history, "k", "v", "valid_from", "valid_to", "is_current") == versions(feed + late)
 
 
-def test_history_equals_brute_force_on_ordered_batches(spark):
+@pytest.mark.parametrize("split_over", [100, 1_000_000])
+def test_history_equals_brute_force_on_ordered_batches(spark, split_over):
     rng = random.Random(4)
     feed = sorted({(1 if rng.random() < 0.5 else rng.randint(2, 6), ts, rng.randint(0, 1)) for ts in range(800)}, key=lambda r: r[1])
     history = None
     for a, b in ((0, 300), (250, 600), (600, 800), (600, 800)):
-        history = stitch.stitch_scd2(history, spark.createDataFrame(feed[a:b], "k int, ts int, v int"), ["k"], "ts")
+        history = stitch.stitch_scd2(history, spark.createDataFrame(feed[a:b], "k int, ts int, v int"), ["k"], "ts", split_over)
     assert rows(history, "k", "v", "valid_from", "valid_to", "is_current") == versions(feed)
 
 
