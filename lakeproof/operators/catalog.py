@@ -99,9 +99,9 @@ def precheck_targets(planned: DataFrame, existing: DataFrame) -> DataFrame:
 def ensure_unique_names(tables: DataFrame) -> DataFrame:
     """Landing name of ``tables(schema, name)``: the base name, schema-qualified where schemas share it."""
     based = tables.withColumn("_base", base_name("name"))
-    shared = based.groupBy("_base").agg(F.count(F.lit(1)).alias("_n"))
+    shared = based.groupBy(F.col("_base").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     target = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("schema", F.lit("_"), "_base"))
-    return based.join(shared, "_base").select(*tables.columns, target.alias("target"))
+    return based.join(shared, F.col("_base").eqNullSafe(F.col("_b"))).select(*tables.columns, target.alias("target"))
 
 
 # ---- duplicates -----------------------------------------------------------------------------

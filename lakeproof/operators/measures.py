@@ -97,9 +97,11 @@ def failure_rollup(df: DataFrame, col: str, by: list[str], limit: int = 20) -> D
     lines = entries.select(*by, "pos", text.alias("text"))
     totals = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("failures"))
     first = lines.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("text", "pos"))).where(F.col("_n") <= limit)
-    shown = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_l"))
+    shown = first.groupBy(*[F.col(c).alias(f"_s_{c}") for c in by]).agg(
+        F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_l"))
     body = F.array_join(F.transform("_l", lambda x: F.concat(F.lit("- "), x["text"])), "\n")
-    return totals.join(shown, by).select(*by, "failures", body.alias("message"))
+    same_group = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by]
+    return totals.join(shown, same_group).select(*by, "failures", body.alias("message"))
 
 
 def recipient_list(df: DataFrame, col: str) -> DataFrame:

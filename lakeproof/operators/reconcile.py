@@ -309,19 +309,25 @@ def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[s
     names = [c for c in (cols or src.columns) if c.lower() not in {k.lower() for k in key}]
     tols = {k.lower(): v for k, v in (col_tol or {}).items()}
 
+    def aligned(c):
+        """Text for columns that are not both numbers or of one type; the union widens numbers itself."""
+        a, b = src.schema[c].dataType, cand.select(quoted(c)).schema[0].dataType
+        return quoted(c) if a == b or (is_numeric(a) and is_numeric(b)) else quoted(c).cast("string").alias(c)
+
+    def tagged(df, sign):
+        return df.select(*[aligned(c) for c in [*key, *names]], F.lit(sign).cast("long").alias("_sign"))
+
+    both = tagged(src, 1).unionByName(tagged(cand, -1))
+
     def near(c):
-        return tols.get(c.lower(), tol) if is_numeric(src.schema[c].dataType) else 0
+        return tols.get(c.lower(), tol) if is_numeric(both.schema[c].dataType) else 0
 
-    def compared(df, c):
+    def compared(c):
         if near(c):
             return quoted(c).cast("double")
-        return F.xxhash64(F.to_json(quoted(c)) if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) else quoted(c))
-
-    def tagged(df, sign):
-        return df.select(*[quoted(k) for k in key], F.lit(sign).cast("long").alias("_sign"),
-                         *[compared(df, c).alias(f"_v{i}") for i, c in enumerate(names)])
+        return F.xxhash64(F.to_json(quoted(c)) if isinstance(both.schema[c].dataType, (T.MapType, T.VariantType)) else quoted(c))
 
-    rows = tagged(src, 1).unionByName(tagged(cand, -1))
+    rows = both.select(*[quoted(k) for k in key], "_sign", *[compared(c).alias(f"_v{i}") for i, c in enumerate(names)])
     aggs, changed = [], []
     for i, c in enumerate(names):
         v, t = F.col(f"_v{i}"), near(c)

@@ -115,6 +115,13 @@ def test_reconcile_rows_against_brute_force(spark):
     assert got == expected
 
 
+def test_rows_compare_across_types(spark):
+    a = spark.sql("select 1 as k, 5 as n, '7' as s, cast(2.50 as decimal(5,2)) as d union all select 2, 6, 'x', null")
+    b = spark.sql("select 1L as K, 5L as n, 7 as s, 2.5D as d union all select 2L, 6L, 8, null")
+    got = rec.reconcile_rows(a, b, ["k"])
+    assert rows(got, "k", "status", "changed_columns") == [(2, "changed", ["s"])]
+
+
 def test_containment_ignores_incomplete_keys(spark):
     child = spark.createDataFrame([(1, 1), (1, 2), (None, 9), (3, None), (3, 3), (3, 3)], "a int, b int")
     parent = spark.createDataFrame([(1, 1), (1, 1)], "x int, y int")
