@@ -14,7 +14,7 @@ from ..functions.scalar import as_col
 from ..functions.types import is_numeric
 from ..session import small_frame
 from . import profile
-from .profile import TABLE, tolerance_of
+from .profile import TABLE
 from .skew import quoted
 
 # Statement separators, comment starts and verbs a row filter must not contain.

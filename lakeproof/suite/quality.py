@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile, quality
+from ..operators import quality
 from .base import query
 from .proof import PART_COLUMNS, part_columns, stray_orders, STRAY
 
