@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, quality, secrets, sharding, token_counts, toxicity
+from . import bpe, decontaminate, linededup, quality, secrets, sharding, simhash, token_counts, toxicity
 from .common import training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~training_row()).alias("held_out"), "score", "predicted")
 
 
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +106,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "line_no", F.col("first_key").alias("class_doc_id"),
+                        F.col("first_line").alias("class_line_no"), "kept")
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
