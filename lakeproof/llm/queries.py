@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, linededup, quality, secrets, sharding, simhash, token_counts, toxicity
+from . import bpe, decontaminate, linededup, quality, secrets, sharding, simhash, token_counts, topk, toxicity
 from .common import training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+OP4_SQL = """
+with ints as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::double) as v from embeddings
+              where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score
+           from ints q, ints d where q.vec_id % 20 = 0 and q.vec_id <> d.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""
+
+
+@query("op4_exact_top_k", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 FOLDED = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 OP5_SQL = f"""
