@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ SET_BYTES = 32 << 20
 SEEDS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 FILTER_BITS = 22
 
+FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
 #: Bytes of text in lower case where a word goes on, a space elsewhere (letters, digits and all of non-ASCII).
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -80,14 +83,14 @@ class Windows:
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """Distinct ``words`` (binary) of all items with the sorted ``items`` (as strings; null ids give no name)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, text in zip(batch["item"], batch["text"]):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = list(dict.fromkeys(windows_of(words_of(text), window)))
-                yield pd.DataFrame({"item": [item] * len(found), "words": found})
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())], ["item", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), text_of().alias("text"))
-    return (rows.mapInPandas(cut, "item string, words binary")
+    return (rows.mapInArrow(cut, "item string, words binary")
             .groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
@@ -136,17 +139,18 @@ def merged(spans: list[int]) -> list[int]:
 
 
 def scanner(held, result: str):
-    @F.pandas_udf(result)
-    def scan(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(result)
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = Windows(held.value)
         for texts, earlier in batches:
             rows = []
-            for text, spans, items in zip(texts, earlier["spans"], earlier["items"]):
+            for text, before in zip(texts.to_pylist(), earlier.to_pylist()):
                 words = words_of(text)
-                new, names = known.scan(words)
-                spans = merged(new + ([] if spans is None else list(spans)))
-                rows.append((len(words), spans, sorted(names.union([] if items is None else items))))
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                spans, names = known.scan(words)
+                if before is not None:
+                    spans, names = spans + before["spans"], names.union(before["items"])
+                rows.append({"n_words": len(words), "spans": merged(spans), "items": sorted(names)})
+            yield pa.array(rows, FOUND)
 
     return scan
 
