@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,13 @@ from ..session import cut_lineage, small_frame
 NAME = r"([a-zA-Z_][\w$]*(?:\.[a-zA-Z_\"`][\w$\"`]*){0,2})"
 
 # The script idioms that name a table or path (Java regular expressions).
-FROM_JOIN = r"(?i)\b(?:from|join)\s+" + NAME
+SQL_NOISE = r"--[^\n]*|/\*(?s:.*?)\*/|'(?:[^']|'')*'"
+FROM_INSIDE_CALL = r"(?i)(\b(?:extract|trim|substring|overlay)\s*\([^()]*?)\bfrom\b"
+DISTINCT_FROM = r"(?i)\bis\s+(?:not\s+)?distinct\s+from\b"
+SQL_PART = r"(?:[a-zA-Z_][\w$]*+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
+SQL_NAME = SQL_PART + r"(?:\s*\.\s*" + SQL_PART + r")*+"
+FROM_LIST = (r"(?i)\b(?:from|join)\s+(" + SQL_NAME + r"(?!\s*\()(?:(?:\s+(?:as\s+)?[a-zA-Z_]\w*+)?\s*,\s*" + SQL_NAME + r"(?!\s*\())*)")
+QUOTED_COMMA = r"(?<=[\"`\[][^\"`\[\],]{0,100}),(?=[^\"`\[\],]{0,100}[\"`\]]\s*(?:[.,]|$))"
 CTE_NAME = r"(?i)([a-zA-Z_][\w$]*)\s+as\s*\("
 CATALOG_READ = r"(?is)database\s*=\s*['\"]([^'\"]+)['\"][^)]*?table_name\s*=\s*['\"]([^'\"]+)['\"]"
 CATALOG_SINK = r"(?is)catalogDatabase\s*=\s*['\"]([^'\"]+)['\"][^)]*?catalogTableName\s*=\s*['\"]([^'\"]+)['\"]"
@@ -88,9 +95,16 @@ def _in_context(text: Column, pattern: str, width: int) -> Column:
 
 
 def sql_tables(c) -> Column:
-    """FROM and JOIN targets of a statement in order of first use, without its own CTE names."""
-    sql = F.coalesce(as_col(c), F.lit(""))
-    named = F.filter(F.transform(_all(sql, FROM_JOIN), lambda n: norm_name(n)), lambda n: n != "")
+    """FROM and JOIN targets of a statement in order of first use, without its own CTE names.
+
+    Names may be quoted, and a FROM may list several. Comments and string literals are blanked first;
+    the FROM of EXTRACT, TRIM and the like and of IS DISTINCT FROM names no table, nor does a function.
+    """
+    sql = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), SQL_NOISE, " ")
+    sql = F.regexp_replace(F.regexp_replace(sql, FROM_INSIDE_CALL, "$1 "), DISTINCT_FROM, " ")
+    lists = F.transform(_all(sql, FROM_LIST), lambda x: F.transform(
+        F.split(F.regexp_replace(x, QUOTED_COMMA, "_"), ","), lambda n: norm_name(F.regexp_extract(n, "^\\s*(" + SQL_NAME + ")", 1))))
+    named = F.filter(F.flatten(lists), lambda n: (n != "") & ~n.isin("lateral", "unnest", "select", "values", "table"))
     ctes = F.when(sql.rlike(r"(?i)\bwith\b"), F.transform(_all(sql, CTE_NAME), lambda n: norm_name(n))).otherwise(
         F.array().cast("array<string>"))
     return F.array_except(F.array_distinct(named), ctes)
@@ -168,13 +182,6 @@ def io_rows(io: DataFrame) -> DataFrame:
 
 # ---- name resolution ------------------------------------------------------------------------
 
-def _subsets(parts: Column) -> Column:
-    """All subsets of a sorted array, each as one text with its size."""
-    start = F.array(F.struct(F.lit("").alias("s"), F.lit(0).alias("k")))
-    return F.aggregate(parts, start, lambda acc, p: F.concat(acc, F.transform(
-        acc, lambda x: F.struct(F.concat(x["s"], F.lit("/"), p).alias("s"), (x["k"] + 1).alias("k")))))
-
-
 def _other_parts(norm: Column) -> Column:
     parts = F.split(norm, r"\.")
     return F.array_sort(F.array_except(F.array_distinct(parts), F.slice(parts, -1, 1)))
@@ -184,26 +191,28 @@ def resolve_reference(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Known table of every reference: ``refs(ref)`` against ``catalog(full_name)`` → ``(ref, full_name)``.
 
     The exact name wins; else the only table of that base name; else the table that shares strictly
-    more name parts than any other; else NULL. Tables are counted per base name and set of parts
-    first, and a reference looks up the few subsets of its own parts, so references and tables of one
-    popular base name never meet pair by pair.
+    more name parts than any other; else NULL. References and tables are first reduced to their base
+    name and set of other parts; two sets meet only where they share a part of one base name, and the
+    parts shared are counted. The work is linear in the parts of a name, however many it has.
     """
     tables = catalog.select(norm_name("full_name").alias("norm"), "full_name").groupBy("norm").agg(
         F.min("full_name").alias("full_name"))
     norm = F.when(is_path("ref"), F.col("ref")).otherwise(norm_name("ref"))
     wanted = cut_lineage(refs.select("ref").distinct().withColumn("norm", norm))  # read by three joins
     exact = wanted.join(tables, "norm").select("ref", "full_name")
-    open_refs = wanted.join(tables.select("norm"), "norm", "left_anti")
-
-    keyed = tables.withColumn("base", F.substring_index("norm", ".", -1))
-    lookup = (keyed.select("base", "full_name", F.inline(_subsets(_other_parts(F.col("norm")))))
-              .groupBy("base", "s", "k").agg(F.count(F.lit(1)).alias("n"), F.min("full_name").alias("full_name")))
-    asked = open_refs.select("ref", F.substring_index("norm", ".", -1).alias("base"),
-                             F.inline(_subsets(_other_parts(F.col("norm")))))
-    levels = (asked.join(lookup, ["base", "s", "k"]).groupBy("ref", "k")
-              .agg(F.sum("n").alias("n"), F.min("full_name").alias("full_name")))
-    best = levels.groupBy("ref").agg(F.max(F.struct("k", "n", "full_name")).alias("b")).where("b.n = 1")
-    found = exact.unionByName(best.select("ref", F.col("b.full_name").alias("full_name")))
+    open_refs = (wanted.join(tables.select("norm"), "norm", "left_anti")
+                 .select("ref", F.substring_index("norm", ".", -1).alias("base"), _other_parts(F.col("norm")).alias("asked")))
+    sets = cut_lineage(tables.groupBy(F.substring_index("norm", ".", -1).alias("base"), _other_parts(F.col("norm")).alias("parts"))
+                       .agg(F.count(F.lit(1)).alias("n"), F.min("full_name").alias("full_name")))
+    alone = sets.groupBy("base").agg(F.sum("n").alias("n"), F.min("full_name").alias("full_name"))
+    asked = open_refs.select("base", "asked").distinct()
+    shared = (asked.select("base", "asked", F.explode("asked").alias("part"))
+              .join(sets.select("base", "parts", "n", "full_name", F.explode("parts").alias("part")), ["base", "part"])
+              .groupBy("base", "asked", "parts").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("full_name").alias("full_name")))
+    levels = (shared.groupBy("base", "asked", "k").agg(F.sum("n").alias("n"), F.min("full_name").alias("full_name"))
+              .unionByName(asked.join(alone, "base").select("base", "asked", F.lit(0).cast("long").alias("k"), "n", "full_name")))
+    best = levels.groupBy("base", "asked").agg(F.max(F.struct("k", "n", "full_name")).alias("b")).where("b.n = 1")
+    found = exact.unionByName(open_refs.join(best, ["base", "asked"]).select("ref", F.col("b.full_name").alias("full_name")))
     return wanted.select("ref").join(found, "ref", "left")
 
 
@@ -230,27 +239,22 @@ def catalog_nodes(catalog: DataFrame) -> DataFrame:
                           F.col("full_name").alias("label"), kind.alias("type"), "system").dropDuplicates(["id"])
 
 
-def name_match_edges(catalog: DataFrame, max_pairs: int = 1000) -> DataFrame:
-    """Lake table to warehouse tables of the same base name: load from bronze, else copy.
+def name_match_edges(catalog: DataFrame) -> DataFrame:
+    """Lake tables to the warehouse tables of the same base name, through one node ``name:<base>``.
 
-    A base name with more than ``max_pairs`` such pairs is linked through one node ``name:<base>``
-    instead: every lake table leads to it (load or copy) and it leads to every warehouse table
-    (same_name). Reachability is the same and the edges grow with the tables, not with the pairs.
+    Every lake table of a name that both sides have leads to the node (load from bronze, else copy), and
+    the node leads to every warehouse table (same_name): edges grow with the tables, not with the pairs.
     """
+    hub = F.concat(F.lit("name:"), F.col("base"))
     lake = catalog.where("system = 'lake'").select(
         base_name("full_name").alias("base"), F.concat(F.lit("lake:"), norm_name("full_name")).alias("src"),
         F.when(catalog_layer("full_name") == "bronze", "load").otherwise("copy").alias("label")).distinct()
     warehouse = catalog.where("system = 'warehouse'").select(
         base_name("full_name").alias("base"), F.concat(F.lit("warehouse:"), norm_name("full_name")).alias("dst")).distinct()
-    n = F.count(F.lit(1))
-    sizes = lake.groupBy("base").agg(n.alias("a")).join(warehouse.groupBy("base").agg(n.alias("b")), "base")
-    direct = sizes.where(F.col("a") * F.col("b") <= max_pairs).select("base")
-    through = sizes.where(F.col("a") * F.col("b") > max_pairs).select("base")
-    pairs = lake.join(direct, "base", "left_semi").join(warehouse, "base").select("src", "dst", "label")
-    hub = F.concat(F.lit("name:"), F.col("base"))
-    into = lake.join(through, "base", "left_semi").select("src", hub.alias("dst"), "label")
-    out = warehouse.join(through, "base", "left_semi").select(hub.alias("src"), "dst", F.lit("same_name").alias("label"))
-    return pairs.unionByName(into).unionByName(out)
+    shared = lake.select("base").distinct().join(warehouse.select("base").distinct(), "base")
+    into = lake.join(shared, "base", "left_semi").select("src", hub.alias("dst"), "label")
+    out = warehouse.join(shared, "base", "left_semi").select(hub.alias("src"), "dst", F.lit("same_name").alias("label"))
+    return into.unionByName(out)
 
 
 def fk_edges(rels: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -318,10 +322,10 @@ def build_lineage(catalog: DataFrame, scripts: DataFrame | None = None, views: D
 def upstream_closure(edges: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ancestors of the target nodes ``targets(id)`` with their distance: ``(id, depth)``.
 
-    One frontier per round, each written to the checkpoint folder, until no new node appears; cycles
-    end by themselves. A depth limit that cuts something off is an error, not a shorter result.
+    The distinct edges are written down once; one frontier per round follows, each written to the
+    checkpoint folder, until no new node appears; cycles end by themselves. A depth limit that cuts something off is an error, not a shorter result.
     """
-    links = edges.select("src", "dst")
+    links = cut_lineage(edges.select("src", "dst").distinct())
     frontier = cut_lineage(targets.select("id").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while True:
@@ -342,27 +346,36 @@ def closure_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
             .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns))
 
 
+#: Rounds of levels after which the counts of freed edges are summed up.
+COMPACT_ROUNDS = 8
+
+
 def topo_levels(edges: DataFrame) -> DataFrame:
     """Execution level of every node: 0 without predecessors, else one more than the deepest one.
 
-    Each round takes the edges that leave the nodes just placed; their ends are placed next if no
-    open edge leads to them any more. Only edges and newly placed nodes are written to the checkpoint
-    folder. Edges still open when a round places nothing lie on or behind a cycle: their ends get
-    level NULL and ``cyclic`` true.
+    The edges and the in-degree of every node are written once. Each round counts the edges that leave
+    the nodes just placed by their ends; an end is placed next when all its edges are accounted for.
+    Only these counts and the newly placed nodes are written, and the counts are summed up every few
+    rounds. Nodes that are never placed lie on or behind a cycle: level NULL, ``cyclic`` true.
     """
-    open_edges = cut_lineage(edges.select("src", "dst").distinct())
-    heads = open_edges.select(F.col("dst").alias("id"))
-    ready = cut_lineage(open_edges.select(F.col("src").alias("id")).distinct().join(heads, "id", "left_anti"))
-    level, placed = 0, []
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    degree = cut_lineage(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree")))
+    ready = cut_lineage(links.select(F.col("src").alias("id")).distinct().join(degree, "id", "left_anti"))
+    level, placed, freed = 0, [], None
     while not ready.isEmpty():
         placed.append(ready.select("id", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
-        leaving = ready.withColumnRenamed("id", "src")
-        ends = open_edges.join(leaving, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        open_edges = cut_lineage(open_edges.join(leaving, "src", "left_anti"))
-        ready = cut_lineage(ends.join(open_edges.select(F.col("dst").alias("id")), "id", "left_anti"))
+        step = cut_lineage(links.join(ready.withColumnRenamed("id", "src"), "src")
+                           .groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+        freed = step if freed is None else freed.unionByName(step)
+        if level % COMPACT_ROUNDS == COMPACT_ROUNDS - 1:
+            freed = cut_lineage(freed.groupBy("id").agg(F.sum("n").alias("n")))
+        total = freed.join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+        ready = cut_lineage(total.join(degree, "id").where("n = degree").select("id"))
         level += 1
-    stuck = open_edges.select(F.col("src").alias("id")).unionByName(open_edges.select(F.col("dst").alias("id"))).distinct()
-    out = stuck.select("id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
+    everyone = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
+    if placed:
+        everyone = everyone.join(reduce(DataFrame.unionByName, [p.select("id") for p in placed]), "id", "left_anti")
+    out = everyone.select("id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
     for part in placed:
         out = out.unionByName(part)
     return out

@@ -59,6 +59,14 @@ def _number(c: Column, dtype: T.DataType, scale: int | None) -> Column:
     return c.cast(T.DecimalType(19, 0))
 
 
+def _sum_of_squares(n: Column) -> Column:
+    """Exact as long as decimals hold it; in floating point where a square or the sum leaves their range."""
+    square = F.try_multiply(n, n)
+    exact = F.when(F.count(square) == F.count(n), F.try_sum(square))
+    wide = n.cast("double")
+    return F.coalesce(_text(exact), _text(F.sum(wide * wide)))
+
+
 def _measure_row(df: DataFrame, cols: list[str], key: list[str], approx: float | None,
                  scale: int | None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """All metrics but the exact distinct counts, in one pass and one row."""
@@ -86,7 +94,7 @@ def _measure_row(df: DataFrame, cols: list[str], key: list[str], approx: float |
         if is_numeric(dtype):
             n = _number(c, dtype, scale)
             add(name, "sum", F.sum(n))
-            add(name, "sumsq", F.sum(n * n))
+            add(name, "sumsq", _sum_of_squares(n))
     return df.agg(*aggs), plan
 
 
@@ -95,30 +103,37 @@ def _long(row: DataFrame, plan) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.col(a).alias("value")) for c, m, a in plan])))
 
 
-def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Exact distinct count of many columns in one shuffle of fixed-width digests.
+def distinct_counts(df: DataFrame, cols: list[str], key: list[str] = ()) -> DataFrame:
+    """Exact distinct count ``n`` of many columns, and how many values are ``repeated``, in one shuffle of digests.
 
     ``count(DISTINCT a), count(DISTINCT b), ...`` makes Spark shuffle one row as wide as all the
     columns per column and input row. Here a row becomes one ``(column number, digest)`` pair per
     column, reduced on the map side. Values of up to 64 bits map one-to-one to their 64-bit hash;
-    wider values (text, decimals, nested) use two independent 64-bit hashes.
+    wider values (text, decimals, nested) use two independent 64-bit hashes. The whole ``key`` (with
+    NULLs told apart) counts as one more column, listed as ``*``.
     """
     narrow = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType,
               T.BooleanType)
     digests, names = [], []
+
+    def shown(name: str) -> Column:
+        c = quoted(name)
+        return F.to_json(c) if isinstance(df.schema[name].dataType, (T.MapType, T.VariantType)) else c
+
     for i, name in enumerate(cols):
-        dtype, c = df.schema[name].dataType, quoted(name)
-        if isinstance(dtype, (T.MapType, T.VariantType)):
-            c = F.to_json(c)
-        second = F.lit(0).cast("long") if isinstance(dtype, narrow) else F.xxhash64(F.lit("second"), c)
+        c = shown(name)
+        second = F.lit(0).cast("long") if isinstance(df.schema[name].dataType, narrow) else F.xxhash64(F.lit("second"), c)
         digests += [F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}"), second.alias(f"g{i}")]
-        names.append(f"(h{i}, g{i}) as `{i}`")
+    if key:
+        parts = [x for k in key for x in (shown(k), quoted(k).isNull())]
+        digests += [F.xxhash64(*parts).alias(f"h{len(cols)}"), F.xxhash64(F.lit("second"), *parts).alias(f"g{len(cols)}")]
+    labels = [*cols, *([TABLE] if key else [])]
+    names = [f"(h{i}, g{i}) as `{i}`" for i in range(len(labels))]
     pairs = df.sparkSession.sql(f"select i, h, g from {{digests}} unpivot ((h, g) for i in ({', '.join(names)}))",
                                 digests=df.select(*digests))
-    return (pairs.where("h is not null").groupBy("i", "h", "g").agg(F.lit(1).alias("one"))
-            .groupBy("i").agg(F.count("one").alias("n"))
-            .select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i").cast("int") + 1).alias("column"),
-                    F.col("n")))
+    return (pairs.where("h is not null").groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("copies"))
+            .groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("copies") > 1).alias("repeated"))
+            .select(F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("i").cast("int") + 1).alias("column"), "n", "repeated"))
 
 
 def column_fingerprint(df: DataFrame, cols: list[str] | None = None, approx: float | None = None,
@@ -127,16 +142,20 @@ def column_fingerprint(df: DataFrame, cols: list[str] | None = None, approx: flo
 
     ``approx`` replaces exact distinct counts by sketches with that relative deviation (one pass,
     no shuffle of values). ``scale`` sums floating-point columns as decimals of that scale, which
-    makes the sums independent of row order. Table metrics are listed under column ``*``.
+    makes the sums independent of row order. Table metrics are listed under column ``*``; with a ``key``
+    they include its NULLs and duplicates. The table is read twice: for the aggregates and for the digests.
     """
     cols = list(cols) if cols is not None else df.columns
     row, plan = _measure_row(df, cols, list(key), approx, scale)
     out = _long(row, plan)
-    if approx is None and cols:
-        zero = small_frame(df.sparkSession, [(c, 0) for c in cols], "column string, n long")
-        counts = distinct_counts(df, cols).unionByName(zero).groupBy("column").agg(F.sum("n").alias("n"))
-        out = out.unionByName(counts.select("column", F.lit("distinct").alias("metric"),
-                                            _text(F.col("n")).alias("value")))
+    labels = [*(cols if approx is None else ()), *([TABLE] if key else [])]
+    if labels:
+        zero = small_frame(df.sparkSession, [(c, 0, 0) for c in labels], "column string, n long, repeated long")
+        counts = (distinct_counts(df, labels[:-1] if key else labels, list(key)).unionByName(zero)
+                  .groupBy("column").agg(F.sum("n").alias("n"), F.sum("repeated").alias("repeated")))
+        is_key = F.col("column") == TABLE
+        out = out.unionByName(counts.select("column", F.when(is_key, "duplicate_keys").otherwise("distinct").alias("metric"),
+                                            _text(F.when(is_key, F.col("repeated")).otherwise(F.col("n"))).alias("value")))
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -237,28 +238,45 @@ def _spec_test(spec: dict, tables: dict[str, DataFrame]) -> DataFrame:
     return _fixed(spark, spec, "skipped", None, 0, f"unknown test kind {kind}")
 
 
-def run_tests(spark: SparkSession, specs: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
+def run_tests(spark: SparkSession, specs: list[dict], tables: dict[str, DataFrame], parallel: int = 4) -> DataFrame:
     """Run all specs: one result row each ``(model, kind, columns, status, passed, violations, detail)``.
 
-    The row tests of a table share one scan. A spec that cannot be planned (missing column, bad
-    expression) becomes an error row and the other specs still run.
+    The row tests of a table share one scan. A spec that fails, in planning (missing column, bad
+    expression) or at run time (a value that cannot be cast), becomes an error row with its message and
+    the other specs still run: if a shared scan fails, its specs are run one by one.
     """
-    frames, by_model = [], {}
+    rows, by_model, alone = [], {}, []
+
+    def error_row(spec: dict, message: str) -> tuple:
+        return spec["model"], spec["kind"], ",".join(spec.get("columns", ())), "error", False, 0, message
+
     for spec in specs:
         target = resolve_model(spec["model"], tables)
         if target is None:
-            frames.append(_fixed(spark, spec, "error", False, 0, "model is not deployed"))
-            continue
+            rows.append(error_row(spec, "model is not deployed"))
+        elif spec["kind"] in ROW_TESTS:
+            by_model.setdefault(target, []).append(spec)
+        else:
+            alone.append(spec)
+
+    def one(spec: dict) -> list[tuple]:
         try:
             if spec["kind"] in ROW_TESTS:
-                tables[target].where(ROW_TESTS[spec["kind"]](spec)).schema  # plans the predicate alone
-                by_model.setdefault(target, []).append(spec)
-            else:
-                frames.append(_spec_test(spec, tables))
+                return [tuple(r) for r in _row_tests(tables[resolve_model(spec["model"], tables)], [spec]).collect()]
+            return [tuple(r) for r in _spec_test(spec, tables).collect()]
         except Exception as error:
-            frames.append(_fixed(spark, spec, "error", False, 0, str(error)[:200]))
-    frames += [_row_tests(tables[name], group) for name, group in by_model.items()]
-    return reduce(DataFrame.unionByName, frames)
+            return [error_row(spec, str(error))]
+
+    def group(name: str) -> list[tuple]:
+        try:
+            return [tuple(r) for r in _row_tests(tables[name], by_model[name]).collect()]
+        except Exception:
+            return [row for spec in by_model[name] for row in one(spec)]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for found in [*pool.map(group, by_model), *pool.map(one, alone)]:
+            rows += found
+    return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 # ---- rule tables ----------------------------------------------------------------------------

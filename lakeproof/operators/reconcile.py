@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,10 +108,6 @@ def _checks(spark: SparkSession, pair: str, src: DataFrame, cand: DataFrame, key
     def side(df, names):
         part = slice_filter(df, where).select(*[quoted(names[c]).alias(c) for c in dict.fromkeys([*cols, *key])])
         fp = profile.column_fingerprint(part, cols, approx=approx, scale=scale, key=key)
-        if key:
-            dup = profile.duplicate_keys(part, key)
-            fp = fp.unionByName(dup.select(F.lit(TABLE).alias("column"), F.lit("duplicate_keys").alias("metric"),
-                                           F.col("duplicate_keys").cast("string").alias("value")))
         sums = F.col("metric").isin("sum", "sumsq") & ~F.col("column").isin(*both_numeric) if both_numeric \
             else F.col("metric").isin("sum", "sumsq")
         return fp.where(~sums)
@@ -153,42 +149,56 @@ def reconcile(src: DataFrame, cand: DataFrame, key=None, exclude=(), tol: float
               scale: int | None = None) -> Verdict:
     """Compare two versions of a table: schema, types, row count, key integrity, column fingerprints.
 
-    Each side is read by three jobs (one aggregate for all counts, sums and extremes; one shuffle
-    for distinct counts; one for duplicate keys). Without a key the key checks are left out.
+    Each side is read twice (one aggregate for all counts, sums and extremes; one shuffle of digests
+    for distinct counts and duplicate keys), when this is called: the verdict holds the few rows that
+    came out. Without a key the key checks are left out.
     """
-    return Verdict(_short_circuit(_checks(src.sparkSession, pair, src, cand, key, exclude, tol, col_tol, row_tol,
-                                          where, approx, scale)))
+    return _verdict(src.sparkSession, _measured_rows(_checks(src.sparkSession, pair, src, cand, key, exclude, tol, col_tol, row_tol,
+                                                             where, approx, scale)))
+
+
+def _measured_rows(checks: DataFrame) -> list[tuple]:
+    """Run the checks of a pair; a handful of rows per column, whatever the size of the tables."""
+    return [tuple(r) for r in checks.select(*CHECK_COLUMNS).collect()]
+
+
+def _verdict(spark: SparkSession, rows: list[tuple]) -> Verdict:
+    return Verdict(_short_circuit(spark.createDataFrame(rows, CHECK_SCHEMA)))
+
+
+def _pair_rows(spark: SparkSession, p: dict, defaults: dict) -> list[tuple]:
+    src, cand, name = p["source"], p["candidate"], p["name"]
+    exclude = [*p.get("exclude", ()), *[c for c in cand.columns if exclude_reason_of(c)]]
+    key = p.get("key")
+    key = [k.strip() for k in key.split(",")] if isinstance(key, str) else key
+    key = key or suggested_key_of(cand.columns, name)
+    rows = _measured_rows(_checks(spark, name, src, cand, key, exclude, p.get("tol", defaults["tol"]),
+                                  {**(defaults["col_tol"] or {}), **p.get("col_tol", {})}, p.get("row_tol", defaults["row_tol"]),
+                                  p.get("where"), defaults["approx"], defaults["scale"]))
+    for fk in p.get("containment", ()):
+        orphans = check_containment(cand, fk["parent"], list(zip(fk["child_columns"], fk["parent_columns"]))).first()["orphans"]
+        rows.append((name, "containment", ",".join(fk["child_columns"]), "orphans", "0", str(orphans), orphans == 0,
+                     "rows without a parent" if orphans else None))
+    return rows
 
 
 def reconcile_many(spark: SparkSession, pairs: list[dict], tol: float = 1e-6, row_tol: float = 0.0,
-                   col_tol: dict | None = None, approx: float | None = None, scale: int | None = None) -> Verdict:
+                   col_tol: dict | None = None, approx: float | None = None, scale: int | None = None, parallel: int = 4) -> Verdict:
     """Reconcile a list of pairs ``{name, source, candidate, key?, exclude?, where?, tol?, row_tol?,
     col_tol?, containment?: [{child_columns, parent, parent_columns}]}``; request-level settings are
-    the defaults. Columns that differ by design are left out of the comparison by name.
+    the defaults. Columns that differ by design are left out of the comparison by name. A pair that
+    fails, in planning or at run time, becomes a failed row with its message; the others report.
     """
-    frames = []
-    for p in pairs:
-        src, cand, name = p["source"], p["candidate"], p["name"]
+    defaults = {"tol": tol, "row_tol": row_tol, "col_tol": col_tol, "approx": approx, "scale": scale}
+
+    def run(p: dict) -> list[tuple]:
         try:
-            exclude = [*p.get("exclude", ()), *[c for c in cand.columns if exclude_reason_of(c)]]
-            key = p.get("key")
-            key = [k.strip() for k in key.split(",")] if isinstance(key, str) else key
-            key = key or suggested_key_of(cand.columns, name)
-            frames.append(_checks(spark, name, src, cand, key, exclude, p.get("tol", tol),
-                                  {**(col_tol or {}), **p.get("col_tol", {})}, p.get("row_tol", row_tol),
-                                  p.get("where"), approx, scale))
-            for fk in p.get("containment", ()):
-                found = check_containment(cand, fk["parent"], list(zip(fk["child_columns"], fk["parent_columns"])))
-                frames.append(found.select(
-                    F.lit(name).alias("pair"), F.lit("containment").alias("check"),
-                    F.lit(",".join(fk["child_columns"])).alias("column"), F.lit("orphans").alias("metric"),
-                    F.lit("0").alias("source"), F.col("orphans").cast("string").alias("candidate"),
-                    (F.col("orphans") == 0).alias("match"),
-                    F.when(F.col("orphans") > 0, "rows without a parent").alias("detail")))
-        except Exception as error:  # a pair that cannot be planned is a failed pair, not a failed run
-            frames.append(small_frame(
-                spark, [(name, "error", None, "error", None, None, False, str(error)[:200])], CHECK_SCHEMA))
-    return Verdict(_short_circuit(reduce(DataFrame.unionByName, frames)))
+            return _pair_rows(spark, p, defaults)
+        except Exception as error:
+            return [(p["name"], "error", None, "error", None, None, False, str(error))]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return _verdict(spark, [row for rows in pool.map(run, pairs) for row in rows])
 
 
 # ---- key and exclusion suggestions ----------------------------------------------------------
@@ -303,7 +313,8 @@ def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[s
 
     One aggregate over the union of both sides, no join: repeated keys cannot fan out and a hot key
     is reduced on the map side. A column is compared through the sum of its 64-bit value hashes
-    (source positive, candidate negative); number columns with a tolerance through their sums.
+    (source positive, candidate negative); number columns with a tolerance through sum, sum of squares,
+    minimum and maximum of the key's rows on either side.
     NULL equals NULL, in keys too.
     """
     names = [c for c in (cols or src.columns) if c.lower() not in {k.lower() for k in key}]
@@ -332,11 +343,14 @@ def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[s
     for i, c in enumerate(names):
         v, t = F.col(f"_v{i}"), near(c)
         if t:
-            aggs += [F.sum(F.when(F.col("_sign") > 0, v)).alias(f"_s{i}"), F.sum(F.when(F.col("_sign") < 0, v)).alias(f"_c{i}"),
-                     F.sum(F.when(v.isNull(), F.col("_sign")).otherwise(0)).alias(f"_n{i}")]
-            s, d = F.col(f"_s{i}"), F.col(f"_c{i}")
-            same = ((F.col(f"_n{i}") == 0) & (s.eqNullSafe(d) | F.coalesce(
-                F.abs(s - d) <= F.lit(float(t)) * F.greatest(F.lit(1.0), F.abs(s), F.abs(d)), F.lit(False))))
+            # sum, sum of squares and extremes: a drift that cancels out within a repeated key shows in the last three
+            aggs.append(F.sum(F.when(v.isNull(), F.col("_sign")).otherwise(0)).alias(f"_n{i}"))
+            same = F.col(f"_n{i}") == 0
+            for what, measure, room in (("s", F.sum, t), ("q", lambda x: F.sum(x * x), 2 * t), ("l", F.min, t), ("u", F.max, t)):
+                aggs += [measure(F.when(F.col("_sign") == sign, v)).alias(f"_{what}{i}_{side}") for side, sign in (("a", 1), ("b", -1))]
+                x, y = F.col(f"_{what}{i}_a"), F.col(f"_{what}{i}_b")
+                same = same & (x.eqNullSafe(y) | F.coalesce(
+                    F.abs(x - y) <= F.lit(float(room)) * F.greatest(F.lit(1.0), F.abs(x), F.abs(y)), F.lit(False)))
         else:  # 22 + 21 + 21 bits of the hash: plain long sums that stay exact for 10^12 rows of one key
             parts = (v.bitwiseAND(0x3FFFFF), F.shiftright(v, 22).bitwiseAND(0x1FFFFF), F.shiftrightunsigned(v, 43))
             aggs += [F.sum(F.col("_sign") * part).alias(f"_h{i}_{j}") for j, part in enumerate(parts)]

@@ -6,7 +6,7 @@ The lake's tables are plain files without MERGE, so every mode is a DataFrame; w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, table_exists
@@ -105,35 +105,30 @@ def attribute_digest(df: DataFrame, keys: list[str], order_key: str) -> Column:
     return F.struct(F.xxhash64(F.lit(0), *cells).alias("h"), F.xxhash64(F.lit(1), *cells).alias("g"))
 
 
-def _intervals(real: DataFrame, names: list[str], order_key: str) -> DataFrame:
-    return real.select(*[quoted(c) for c in names], quoted(order_key).alias("valid_from"), F.col("_next_at").alias("valid_to"),
-                       F.col("_next_at").isNull().alias("is_current"))
+def _history(versions: DataFrame, keys: list[str], order_key: str, names: list[str]) -> DataFrame:
+    """Change points with the time of the next one, and the confirmations between them.
 
-
-def _history(versions: DataFrame, keys: list[str], order_key: str) -> DataFrame:
-    """Change points with the time of the next one; both windows share one shuffle and one sort."""
-    w = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(quoted(order_key).asc_nulls_first())
-    real = versions.withColumn("_before", F.lag("_digest").over(w)).where(~F.col("_digest").eqNullSafe(F.col("_before")))
-    return real.withColumn("_next_at", F.lead(quoted(order_key)).over(w))
-
-
-def _history_of_hot_keys(versions: DataFrame, keys: list[str], order_key: str) -> DataFrame:
-    """The same for keys with too many versions for one task: spread by key and time."""
+    Rows are spread by key and time, so that a key with any number of versions takes as many tasks as
+    it needs; only partition edges are stitched.
+    """
     parts = range_parts(versions, keys, [order_key])
     seen = neighbour(parts, keys, order_key, ["_digest"], following=False, prefix="_before")
-    real = seen.where(~F.col("_digest").eqNullSafe(F.col("_before_digest"))).withColumn("_at", quoted(order_key))
-    return neighbour(real, keys, order_key, ["_at"], following=True, prefix="_next")
-
-
-def stitch_scd2(target: DataFrame | None, batch: DataFrame, keys: list[str], order_key: str,
-                split_over: int = 1_000_000) -> DataFrame:
-    """History with ``valid_from``, ``valid_to`` (NULL while open) and ``is_current``.
-
-    Keys the batch touches get their versions rebuilt from history and batch together, so late rows
-    and repeated batches come out right; a version equal to the one before it is no new version.
-    Other keys pass through unread by the rebuild. Keys with more than ``split_over`` versions are
-    rebuilt apart, spread over tasks by key and time. The versions are written to the checkpoint
-    folder first, as they are counted and then read.
+    marked = cut_lineage(seen.withColumn("_change", ~F.col("_digest").eqNullSafe(F.col("_before_digest"))))
+    real = neighbour(marked.where("_change").withColumn("_at", quoted(order_key)), keys, order_key, ["_at"], following=True, prefix="_next")
+    own = [*[quoted(c) for c in names], quoted(order_key).alias("valid_from")]
+    points = real.select(*own, F.col("_next_at").alias("valid_to"), F.col("_next_at").isNull().alias("is_current"), F.lit(True).alias("is_version"))
+    repeats = marked.where("not _change").select(
+        *own, F.lit(None).cast(points.schema["valid_to"].dataType).alias("valid_to"), F.lit(False).alias("is_current"), F.lit(False).alias("is_version"))
+    return points.unionByName(repeats)
+
+
+def stitch_scd2(target: DataFrame | None, batch: DataFrame, keys: list[str], order_key: str) -> DataFrame:
+    """History with ``valid_from``, ``valid_to`` (NULL while open), ``is_current`` and ``is_version``.
+
+    A row equal to the one before it is no version but a confirmation (``is_version`` false): it stays
+    in the history, because a late row may fall between the two and make it a version again. So every
+    split of a feed into batches, in any order and with repeats, gives the same history. Keys the
+    batch touches are rebuilt from history and batch together; other keys pass through.
     """
     names = batch.columns
     versions = batch.select(*names, F.lit(1).alias("_from_batch"))
@@ -144,15 +139,7 @@ def stitch_scd2(target: DataFrame | None, batch: DataFrame, keys: list[str], ord
         history = target.join(touched, _on(keys), "left_semi")
         versions = versions.unionByName(history.select(*names, F.lit(0).alias("_from_batch")))
     single = newest_per_key(versions, [*keys, order_key], ["_from_batch"]).drop("_from_batch")
-    single = cut_lineage(single.withColumn("_digest", attribute_digest(single, keys, order_key)))
-    hot = cut_lineage(single.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-                      .where(F.col("_n") > split_over).select(*[quoted(k).alias(f"_b_{k}") for k in keys]))
-    if hot.isEmpty():
-        rebuilt = _intervals(_history(single, keys, order_key), names, order_key)
-    else:
-        cold = _history(single.join(hot, _on(keys), "left_anti"), keys, order_key)
-        spread = _history_of_hot_keys(single.join(hot, _on(keys), "left_semi"), keys, order_key)
-        rebuilt = _intervals(cold, names, order_key).unionByName(_intervals(spread, names, order_key))
+    rebuilt = _history(single.withColumn("_digest", attribute_digest(single, keys, order_key)), keys, order_key, names)
     return rebuilt if rest is None else rest.unionByName(rebuilt)
 
 

@@ -6,7 +6,7 @@ import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import first_filled
@@ -24,10 +24,6 @@ ORDER_COLUMNS = ("execution_order", "step_number", "sequence", "seq_no", "run_or
 ACTIVE_WORDS = ("y", "yes", "true", "1", "a", "active", "t")
 GOLD_PREFIX = r"(?i)^(dim|dimension|fact|fct|mart|agg|aggregate|rpt|report|kpi|summary|metrics?)_"
 
-# What a foreign-key column carries around the name of its parent.
-CUSTOM_FIELD_SUFFIX = r"(_[a-z0-9]+)?__c$"
-KEY_SUFFIX = r"_(id|key|fk|sk)$"
-
 # Runtime tokens of a configured query that stand for names, not for values.
 NAME_TOKENS = ("raw_filename", "curated_db", "curated_tbl_name")
 
@@ -59,26 +55,59 @@ def active_queries(cfg: DataFrame) -> DataFrame:
                       ).orderBy("ord", "name")
 
 
-def bind_template(sql: str) -> str:
+TOKEN = r"\{(\w+)\}"
+LITERAL = r"'(?:[^']|'')*'"
+OPERAND = rf"(?:{LITERAL}|\{{\w+\}})"
+FILTER = re.compile(rf"([\w.`\"]+)\s*(<=>|<>|!=|>=|<=|=|>|<|\bnot\s+in\b|\bin\b|\bnot\s+like\b|\blike\b)\s*"
+                    rf"({OPERAND}|\(\s*{OPERAND}(?:\s*,\s*{OPERAND})*\s*\))", re.I)
+
+
+def _spelled(text: str, columns: dict[str, str]) -> str:
+    """Tokens as parameter markers, names or columns; a literal around tokens becomes a concatenation."""
+
+    def marker(name: str) -> str:
+        return f"`{columns[name]}`" if name in columns else f":{name}"
+
+    def operand(m: re.Match) -> str:
+        part = m.group()
+        if part[0] == "{":
+            return f"IDENTIFIER(:{part[1:-1]})" if part[1:-1] in NAME_TOKENS else marker(part[1:-1])
+        pieces = re.split(TOKEN, part[1:-1])
+        cells = [marker(x) if i % 2 else f"'{x}'" for i, x in enumerate(pieces) if i % 2 or x]
+        return part if len(pieces) == 1 else cells[0] if len(cells) == 1 else f"concat({', '.join(cells)})"
+
+    return re.sub(rf"{LITERAL}|{TOKEN}", operand, text)
+
+
+def bind_template(sql: str, columns: dict[str, str] | None = None) -> str:
     """A configured query with its runtime tokens as parameter markers.
 
-    A filter on a token keeps all rows when the parameter is NULL, which is the full refresh of the
-    same query. Name tokens become identifiers.
+    A filter on a token (a comparison, IN or LIKE) keeps all rows when the parameter is NULL, which is
+    the full refresh of the same query. Tokens inside a longer literal are concatenated with the rest
+    of it. Name tokens become identifiers, tokens listed in ``columns`` columns of the input.
     """
+    columns = columns or {}
+
+    def filtered(m: re.Match) -> str:
+        tokens = list(dict.fromkeys(t for t in re.findall(TOKEN, m.group(3)) if t not in NAME_TOKENS and t not in columns))
+        whole = f"{m.group(1)} {m.group(2)} {_spelled(m.group(3), columns)}"
+        return f"({' OR '.join(f':{t} IS NULL' for t in tokens)} OR {whole})" if tokens else m.group()
+
     text = re.sub(r"\{curated_db\}\s*\.\s*\{curated_tbl_name\}", "IDENTIFIER(:curated_db || '.' || :curated_tbl_name)", sql)
-    for name in NAME_TOKENS:
-        text = re.sub(r"\{%s\}" % name, f"IDENTIFIER(:{name})", text)
-    text = re.sub(r"([\w.`]+)\s*=\s*'?\{(\w+)\}'?", r"(:\2 IS NULL OR \1 = :\2)", text)
-    return re.sub(r"'?\{(\w+)\}'?", r":\1", text)
+    return _spelled(FILTER.sub(filtered, text), columns)
 
 
 def _markers(sql: str) -> set[str]:
-    return set(re.findall(r"(?<!:):([A-Za-z_]\w*)", re.sub(r"'[^']*'", "", sql)))
+    return set(re.findall(r"(?<!:):([A-Za-z_]\w*)", re.sub(LITERAL, "", sql)))
+
 
+def run_config_query(spark: SparkSession, sql: str, params: dict, raw: DataFrame | None = None,
+                     columns: dict[str, str] | None = None) -> DataFrame:
+    """Run a configured query with values bound as parameters; ``raw`` stands in for {raw_filename}.
 
-def run_config_query(spark: SparkSession, sql: str, params: dict, raw: DataFrame | None = None) -> DataFrame:
-    """Run a configured query with values bound as parameters; ``raw`` stands in for {raw_filename}."""
-    bound = bind_template(sql)
+    ``columns`` names the columns of ``raw`` that hold what a token means for each row (its file, say).
+    """
+    bound = bind_template(sql, columns)
     args = {k: params.get(k) for k in _markers(bound)}
     if raw is not None:
         args["raw_filename"] = f"raw_{uuid.uuid4().hex}"
@@ -141,7 +170,7 @@ def build_models(spark: SparkSession, models: list[dict], schemas: dict[str, str
                 replace_table(df, target)
             return name, target, "created", "created"
         except Exception as error:
-            return name, target, "failed", str(error)[:200]
+            return name, target, "failed", str(error)
 
     for schema in sorted({target_of(n).split(".")[0] for n in by_name}):
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
@@ -171,52 +200,3 @@ def incremental_model(spark: SparkSession, fn, table: str, keys: list[str], wate
     current = spark.table(table)
     since = current.agg(F.max(watermark)).first()[0]
     replace_table(stitch_upsert(current, fn(spark, since), keys, watermark), table)
-
-
-# ---- sample data ----------------------------------------------------------------------------
-
-def parent_of(col: str, tables: list[str]) -> str | None:
-    """The table a foreign-key-looking column points at, by name."""
-    low = col.lower()
-    entity = re.sub(KEY_SUFFIX, "", re.sub(CUSTOM_FIELD_SUFFIX, "", low)).rstrip("0123456789").strip("_")
-    spelled = {entity, f"{entity}s"} - {"", "s", low}
-    return next((t for t in tables if t in spelled or (entity and t != low and t.rstrip("s") == entity)), None)
-
-
-def seed_value(table: str, col: str, n: Column, tables: list[str], literals: dict[str, str] | None = None) -> Column:
-    """Sample value of a column in row ``n``: audit constants, a link to row n of the parent, decode
-    literals, dates, numbers and flags by name, else ``<col>_<n>``."""
-    c, text = col.lower(), n.cast("string")
-    month = F.lpad(F.pmod(n, F.lit(9)) + 1, 2, "0")
-    parent = parent_of(c, tables)
-    if c in ("_source_file", "_batch_id", "_load_ts"):
-        return F.lit({"_source_file": f"s3://raw/{table}/2024-01.csv", "_batch_id": "BATCH_2024_01",
-                      "_load_ts": "2024-01-15 02:00:00"}[c])
-    if parent:
-        return F.concat(F.lit(f"{parent}_"), text)
-    if c == "id":
-        return F.concat(F.lit(f"{table}_"), text)
-    if c in (literals or {}):
-        return F.lit(literals[c])
-    if "time" in c:
-        return F.concat(F.lit("2024-"), month, F.lit("-15 10:00:00"))
-    if "date" in c:
-        return F.concat(F.lit("2024-"), month, F.lit("-15"))
-    if "amount" in c:
-        return (n + 100).cast("string")
-    if any(k in c for k in ("priority", "order", "duration", "qty")):
-        return text
-    if c.startswith(("is_", "has_")) or c.endswith("_flag"):
-        return F.when(n % 2 == 1, "1").otherwise("0")
-    return F.concat(F.lit(f"{col}_"), text)
-
-
-def seed_table(numbers: DataFrame, table: str, cols: list[str], tables: list[str], literals: dict[str, str] | None = None) -> DataFrame:
-    """Sample rows of one table, one per row number ``n`` of the given frame."""
-    return numbers.select(*[seed_value(table, c, F.col("n"), tables, literals).alias(c) for c in cols])
-
-
-def seed_dataset(spark: SparkSession, spec: dict[str, list[str]], rows: int, literals: dict | None = None) -> dict[str, DataFrame]:
-    """Key-consistent sample tables of any size: row n of a child links to row n of its parent."""
-    numbers = spark.range(1, rows + 1).withColumnRenamed("id", "n")
-    return {t: seed_table(numbers, t, cols, list(spec), literals) for t, cols in spec.items()}

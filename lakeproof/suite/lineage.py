@@ -53,11 +53,29 @@ def _(t):
 UNION ALL SELECT p_partkey, 'lake.' || replace(p_name, ' ', '_') FROM part WHERE p_type <> 'PROMO'""")
 def _(t):
     n, brand = F.translate("p_name", " ", "_"), F.concat(F.substring("p_brand", 1, 5), F.col("p_size").cast("string"))
-    sql = F.concat(F.lit('WITH base AS (SELECT * FROM "raw".'), brand, F.lit(") select * from base b"), F.when(
+    sql = F.concat(F.lit('WITH base AS (SELECT * FROM "RAW".'), brand, F.lit(") select * from base b"), F.when(
         F.col("p_type") != "PROMO", F.concat(F.lit(" left join lake."), n, F.lit(" x on x.id = b.id join raw."), brand)).otherwise(""))
-    # the FROM pattern starts at a letter, so the quoted schema is written without its quotes
-    rows = t.part.select(F.col("p_partkey").alias("name"), F.replace(sql, F.lit('"raw"'), F.lit("RAW")).alias("sql"))
-    return lineage.extract_sql_tables(rows)
+    return lineage.extract_sql_tables(t.part.select(F.col("p_partkey").alias("name"), sql.alias("sql")))
+
+
+@query("extract_sql_tables_quoted", """SELECT p_partkey AS name, unnest(['raw.public.' || lower(p_brand[1:5]), 'db.t' || p_size, 'a.b', 'c.' || replace(p_name, ' ', '_')]) AS "table" FROM part""")
+def _(t):
+    # view text as warehouses give it out: quoted names, comments, literals, lists, FROM inside calls
+    sql = F.concat(F.lit("/* from no.comment */ select extract(day from ts), trim(both ' ' from x), 'from no.literal' -- join no.remark\nfrom \"RAW\".\"PUBLIC\".\""),
+                   F.substring("p_brand", 1, 5), F.lit('" r, `db`.`t'), F.col("p_size").cast("string"),
+                   F.lit("` as t2, a.b join c."), F.translate("p_name", " ", "_"), F.lit(" on r.x is not distinct from a.x, lateral flatten(r.y), unnest(r.z)"))
+    return lineage.extract_sql_tables(t.part.select(F.col("p_partkey").alias("name"), sql.alias("sql")))
+
+
+@query("resolve_long_reference", """SELECT o_orderkey AS id, 'w' || o_orderkey % 7 || '.t' AS full_name FROM orders""")
+def _(t):
+    # references of some sixty parts, as sub-selects have them, that share one part with one table
+    filler = ".".join(f"x{i}" for i in range(60))
+    ref = F.concat(F.lit(filler + ".w"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".k"), F.col("o_orderkey").cast("string"), F.lit(".t"))
+    tables = t.orders.select(F.concat(F.lit("w"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".t")).alias("full_name")).distinct()
+    refs = t.orders.select("o_orderkey", ref.alias("ref"))
+    found = lineage.resolve_reference(refs.select("ref"), tables)
+    return refs.join(found, "ref").select(F.col("o_orderkey").alias("id"), "full_name")
 
 
 @query("classify_jobs", f"""WITH {IO} SELECT name, CASE p_type WHEN 'SMALL' THEN 'publish' WHEN 'STANDARD' THEN 'transformation' WHEN 'LARGE' THEN 'transformation'
@@ -102,10 +120,12 @@ def _(t):
     return lineage.resolve_reference(lineage.io_rows(io), catalog_of(t.part)).fillna("")
 
 
-NAME_MATCH = """nm AS (SELECT DISTINCT 'lake:' || lower(a.full_name) AS src, 'warehouse:' || lower(b.full_name) AS dst, CASE WHEN a.p_size < 8 THEN 'load' ELSE 'copy' END AS label
-  FROM cat a JOIN cat b ON a.system = 'lake' AND b.system = 'warehouse' AND split_part(lower(a.full_name), '.', -1) = split_part(lower(b.full_name), '.', -1))"""
 # The lake schema decides the layer: raw_db is bronze, crm_gold gold, and "lake" (of LAKE.curated) says nothing, so bronze.
-NAME_MATCH = NAME_MATCH.replace("a.p_size < 8", "a.p_size < 16")
+NAME_MATCH = """named AS (SELECT DISTINCT system, system || ':' || lower(full_name) AS node, split_part(lower(full_name), '.', -1) AS base,
+    CASE WHEN p_size < 16 THEN 'load' ELSE 'copy' END AS label FROM cat WHERE system IN ('lake', 'warehouse')),
+both_sides AS (SELECT base FROM named GROUP BY 1 HAVING COUNT(DISTINCT system) = 2),
+nm AS (SELECT DISTINCT node AS src, 'name:' || base AS dst, label FROM named WHERE system = 'lake' AND base IN (FROM both_sides)
+  UNION SELECT 'name:' || base, node, 'same_name' FROM named WHERE system = 'warehouse' AND base IN (FROM both_sides))"""
 
 
 @query("name_match_edges", f"WITH {CATALOG}, {NAME_MATCH} SELECT * FROM nm")
@@ -123,13 +143,6 @@ def rels_of(part):
     return part.select(F.concat(F.lit("RAW_DB."), n).alias("fk_table"), F.concat(F.lit('dwh."public".dim_'), n).alias("pk_table"))
 
 
-@query("name_match_hubs", f"""WITH {CATALOG}, {NAME_MATCH}, b AS (SELECT split_part(src, '.', -1) AS base FROM nm GROUP BY 1 HAVING COUNT(*) > 12)
-SELECT src, dst, label FROM nm WHERE split_part(src, '.', -1) NOT IN (SELECT base FROM b)
-UNION SELECT src, 'name:' || base, label FROM nm JOIN b ON split_part(src, '.', -1) = base UNION SELECT 'name:' || base, dst, 'same_name' FROM nm JOIN b ON split_part(src, '.', -1) = base""")
-def _(t):
-    return lineage.name_match_edges(catalog_of(t.part), max_pairs=12)
-
-
 @query("fk_edges", f"WITH {CATALOG}, {FK} SELECT * FROM fk")
 def _(t):
     return lineage.fk_edges(rels_of(t.part), catalog_of(t.part))
@@ -160,7 +173,7 @@ def _(t):
     return graph_of(t).edges
 
 
-@query("lineage_nodes", f"""WITH {LINEAGE} SELECT DISTINCT system || ':' || lower(full_name) AS id FROM cat UNION SELECT 'job:' || name FROM io UNION SELECT node FROM linked""")
+@query("lineage_nodes", f"""WITH {LINEAGE} SELECT DISTINCT system || ':' || lower(full_name) AS id FROM cat UNION SELECT 'job:' || name FROM io UNION SELECT node FROM linked UNION SELECT 'name:' || base FROM both_sides""")
 def _(t):
     return graph_of(t).nodes.select("id")
 

@@ -97,15 +97,18 @@ def _(t):
     first = stitch.stitch_scd2(None, feed.where("ts < '2024-01-15'"), ["user_id"], "ts")
     out = stitch.stitch(first, feed.where("ts >= '2024-01-10'"), "scd2", ["user_id"], "ts")
     text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c)
-    return out.select("user_id", "event_type", text("valid_from"), text("valid_to"), "is_current")
+    return out.where("is_version").select("user_id", "event_type", text("valid_from"), text("valid_to"), "is_current")
 
 
-@query("stitch_scd2_hot_keys", SQL["stitch_scd2"])
+@query("stitch_scd2_late", SQL["stitch_scd2"])
 def _(t):
-    # every user with more than 60 versions takes the path of the hot keys
-    out = stitch.stitch_scd2(None, t.events.select("user_id", "ts", "event_type"), ["user_id"], "ts", split_over=60)
+    # three batches by a hash of the row, so that every batch has rows earlier than what is there
+    feed = t.events.select("user_id", "ts", "event_type")
+    history = None
+    for i in (2, 0, 1):
+        history = stitch.stitch_scd2(history, feed.where(F.pmod(F.xxhash64("user_id", "ts"), F.lit(3)) == i), ["user_id"], "ts")
     text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c)
-    return out.select("user_id", "event_type", text("valid_from"), text("valid_to"), "is_current")
+    return history.where("is_version").select("user_id", "event_type", text("valid_from"), text("valid_to"), "is_current")
 
 
 @query("replace_table", """SELECT o_orderstatus, COUNT(*) AS rows FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")

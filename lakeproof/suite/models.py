@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ledger
 from ..plans import medallion, models, suggest
 from ..session import scratch_path
 from ..sources import files
@@ -78,13 +80,6 @@ def _(t):
     return t.spark.table(name).groupBy("user_id").agg(F.max("kinds").alias("kinds"), F.count(F.lit(1)).alias("versions"))
 
 
-@query("seed_dataset", """SELECT 'call_' || c_custkey AS id, 'account_' || c_custkey AS account_vod__c, '2024-0' || (c_custkey % 9 + 1) || '-15' AS call_date, CAST(c_custkey + 100 AS VARCHAR) AS amount,
-  CASE WHEN c_custkey % 2 = 1 THEN '1' ELSE '0' END AS is_parent, 'MSL' AS owner_role, 'topic_' || c_custkey AS topic, 'BATCH_2024_01' AS _batch_id FROM customer""")
-def _(t):
-    cols = ["id", "account_vod__c", "call_date", "amount", "is_parent", "owner_role", "topic", "_batch_id"]
-    return models.seed_table(t.customer.select(F.col("c_custkey").alias("n")), "call", cols, ["account", "call"], {"owner_role": "MSL"})
-
-
 @query("suggest_types_catalog", """WITH c AS (SELECT p_brand AS "table", p_partkey AS ord, p_type, p_size, CASE p_type WHEN 'ECONOMY' THEN 'order date' WHEN 'STANDARD' THEN 'part code' WHEN 'PROMO' THEN 'is_open'
     WHEN 'SMALL' THEN 'net amount' WHEN 'MEDIUM' THEN 'ratio' ELSE 'blob' END AS col_name FROM part)
 SELECT ord, CASE p_type WHEN 'ECONOMY' THEN 'DATE_LIKE' WHEN 'STANDARD' THEN 'KEY_LIKE' WHEN 'PROMO' THEN 'FLAG_LIKE' WHEN 'LARGE' THEN 'UNKNOWN' ELSE 'NUMERIC_LIKE' END AS category,
@@ -126,22 +121,90 @@ def _(t):
     return suggest.validate_mapping(rows)
 
 
-@query("run_batch", """SELECT data_src_nm, COUNT(*) AS rows, COUNT(DISTINCT account_id) AS accounts, 'Completed' AS process_status FROM (
-  SELECT 'crm' AS data_src_nm, c_custkey AS account_id FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1""")
+# Three batches of orders of two sources, by year of the order; the second batch runs twice.
+LOADS = ("1", 1995, 1997), ("2", 1996, 1998), ("3", 1997, 1999)
+MODES = {"full": {}, "append": {}, "upsert": {"keys": ("o_custkey",), "order_key": "o_orderdate"},
+         "delete_flag": {"keys": ("o_custkey",), "order_key": "o_orderdate"},
+         "roll_out": {"load_key": "load_no", "window": ("2", "3")}, "scd2": {"keys": ("o_custkey",), "order_key": "o_orderdate"}}
+
+
+def batches_of(t, mode, config):
+    """Run the batches of both sources through the lake; returns the published table and the two ledgers."""
+    suffix = uuid.uuid4().hex[:8]
+    names = {n: f"{n}_{mode}_{suffix}" for n in ("cur", "pub", "bat", "aud")}
+    newest = Window.partitionBy("o_custkey", "o_orderdate").orderBy(F.desc("o_orderkey"))
+    year = F.year("o_orderdate")
+    rows = (t.orders.withColumn("rn", F.row_number().over(newest)).where("rn = 1").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+            .withColumn("part", F.concat(F.lit("y"), year.cast("string"))))
+    for batch, first, last in LOADS:
+        for source, side in (("crm", F.col("o_custkey") % 2 == 0), ("erp", F.col("o_custkey") % 2 == 1)):
+            path = scratch_path(t.spark, f"landed-{batch}-{source}")
+            files.land_files(rows.where(side & year.between(first, last)), path, "csv", by="part")
+            obj = medallion.SourceObject(
+                "orders", path, "*.csv", names["cur"], names["pub"], stitching=mode, **config,
+                curated_query="""select cast(o_orderkey as bigint) as o_orderkey, cast(o_custkey as bigint) as o_custkey, cast(o_orderdate as date) as o_orderdate,
+                  o_orderstatus, 'load-{batch_id}' as load_tag, '{file_name}' as _source_file, batch_id, cast({file_id} as string) as pt_file_id from {raw_filename}""",
+                publish_query="""select o_orderkey, o_custkey, o_orderdate, o_orderstatus, substr(load_tag, 6, 1) as load_no, 'own-' || pt_file_id as file_tag
+                  from {curated_db}.{curated_tbl_name} where batch_id in ('{batch_id}')""".replace(
+                    ", 'own-' || pt_file_id as file_tag", f", 'src-{source}' as data_src_nm"))
+            for _ in range(2 if batch == "2" else 1):
+                medallion.run_batch(t.spark, [obj], f"{batch}{source}", source, names["bat"], names["aud"])
+    return names
+
+
+LOADED = """r AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, 'src-' || CASE WHEN o_custkey % 2 = 0 THEN 'crm' ELSE 'erp' END AS src FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1),
+b AS (SELECT r.*, l AS load_no FROM r, (VALUES ('1', 1995, 1997), ('2', 1996, 1998), ('3', 1997, 1999)) v(l, lo, hi) WHERE year(o_orderdate) BETWEEN lo AND hi)"""
+NEWEST = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, load_no DESC) AS n FROM b"
+DAY = "strftime(o_orderdate, '%Y-%m-%d') AS day"
+MODE_SQL = {
+    "full": f"SELECT o_orderkey, {DAY}, src, load_no, '' AS state FROM b WHERE load_no = '3'",
+    "append": f"SELECT o_orderkey, {DAY}, src, load_no, '' AS state FROM b",
+    "upsert": f"SELECT o_orderkey, {DAY}, src, load_no, '' AS state FROM ({NEWEST}) WHERE n = 1",
+    "delete_flag": f"""SELECT o_orderkey, {DAY}, src, load_no, CASE WHEN load_no = '3' THEN 'N' ELSE 'Y' END AS state FROM (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY load_no DESC, o_orderdate DESC) AS n FROM b) WHERE n = 1""",
+    "roll_out": f"SELECT o_orderkey, {DAY}, src, load_no, '' AS state FROM b WHERE load_no IN ('2', '3')",
+    "scd2": f"""SELECT o_orderkey, day, src, load_no, CASE WHEN nxt IS NULL THEN 'open' ELSE strftime(nxt, '%Y-%m-%d') END AS state FROM (
+      SELECT *, {DAY}, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS nxt FROM (
+        SELECT *, lag((o_orderkey, o_orderstatus, load_no)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS prev FROM (
+          SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY load_no DESC) AS m FROM b) WHERE m = 1)
+      WHERE prev IS DISTINCT FROM (o_orderkey, o_orderstatus, load_no))""",
+}
+
+
+def register_mode(mode):
+    @query(f"run_batch_{mode}", f"WITH {LOADED} {MODE_SQL[mode]}")
+    def _(t):
+        names = batches_of(t, mode, MODES[mode])
+        out = t.spark.table(names["pub"])
+        state = F.col("is_deleted") if mode == "delete_flag" else F.lit("")
+        if mode == "scd2":
+            out, state = out.where("is_version"), F.when(F.col("is_current"), "open").otherwise(F.col("valid_to").cast("string"))
+        return out.select("o_orderkey", F.col("o_orderdate").cast("string").alias("day"), F.col("data_src_nm").alias("src"), "load_no", state.alias("state"))
+
+
+for _mode in MODES:
+    register_mode(_mode)
+
+
+@query("run_batch", """WITH y AS (SELECT o_custkey % 2 AS side, CAST(year(o_orderdate) AS VARCHAR) AS part, COUNT(*) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1 GROUP BY ALL)
+SELECT v.b || CASE WHEN side = 0 THEN 'crm' ELSE 'erp' END AS batch_id, CAST(SUM(n) AS BIGINT) AS rows, 'C' AS completion_status FROM y, (VALUES ('1', 1995, 1997), ('2', 1996, 1998), ('3', 1997, 1999)) v(b, lo, hi)
+WHERE CAST(part AS INT) BETWEEN lo AND hi GROUP BY 1""")
+def _(t):
+    names = batches_of(t, "append", MODES["append"])
+    state = ledger.batch_state(t.spark.table(names["bat"])).select(F.col("parent_batch_id").alias("batch_id"), "completion_status")
+    return t.spark.table(names["cur"]).where("_source_file is not null and pt_file_id is not null").groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("rows")).join(state, "batch_id")
+
+
+@query("config_filters", """SELECT event_id, 's3://x/' || event_type || '/y' AS path, 'kept' AS run FROM events WHERE event_type IN ('click', 'view') AND event_type <> 'view' AND value >= 5
+UNION ALL SELECT event_id, '', 'refreshed' FROM events""")
 def _(t):
-    suffix, path = uuid.uuid4().hex[:8], scratch_path(t.spark, "landed")
-    files.land_files(t.customer.where("c_mktsegment <> 'BUILDING'").withColumn("part", F.col("c_mktsegment")), path, "csv", by="part")
-    obj = medallion.SourceObject(
-        "account", path, "*.csv", f"cur_account_{suffix}", f"dim_account_{suffix}",
-        curated_query="select c_custkey as account_id, c_name as account_name, batch_id, pt_file_id from {raw_filename}",
-        publish_query="select account_id, account_name, cast(null as string) as account_sk from {curated_db}.{curated_tbl_name} where batch_id = '{batch_id}'")
-    for _ in range(2):  # a repeated batch must give the same tables
-        medallion.run_batch(t.spark, [obj], "b1", "crm", f"batches_{suffix}", f"audit_{suffix}")
-    from ..operators.ledger import batch_state
-    state = batch_state(t.spark.table(f"batches_{suffix}")).select("source_system", "process_status")
-    return t.spark.table(f"dim_account_{suffix}").groupBy("data_src_nm").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("account_id").alias("accounts")).join(
-        state, F.col("data_src_nm") == F.col("source_system")).drop("source_system")
+    sql = """select event_id, 's3://x/{kind}/y' as path from {raw_filename} where event_type in ('{kind}', '{other}') and event_type <> '{other}' and value >= {least}"""
+    kept = models.run_config_query(t.spark, sql, {"kind": "click", "other": "view", "least": 5}, t.events)
+    fresh = models.full_refresh_query(t.spark, sql, raw=t.events)
+    return kept.withColumn("run", F.lit("kept")).unionByName(fresh.select("event_id", F.lit("").alias("path"), F.lit("refreshed").alias("run")))
 
 
 # ---- streams --------------------------------------------------------------------------------

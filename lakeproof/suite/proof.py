@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import profile, reconcile
@@ -319,3 +319,42 @@ def _(t):
 @query("slice_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 2000")
 def _(t):
     return reconcile.slice_filter(t.orders, "o_orderstatus = 'F' and o_totalprice between 1000 and 2000").select("o_orderkey")
+
+
+# ---- large numbers, failures and drift that cancels out ---------------------------------------
+
+@query("column_fingerprint_wide", """WITH t AS (SELECT CAST(o_orderkey % 9 AS HUGEINT) * 1000000000000000000 + o_orderkey AS big, CAST(epoch_us(o_orderdate) AS HUGEINT) AS moment FROM orders),
+v AS (SELECT 'big' AS "column", big AS x FROM t UNION ALL SELECT 'moment', moment FROM t)
+SELECT "column", CAST(SUM(x) AS VARCHAR) AS sum, format('{:.9e}', SUM(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS sumsq, COUNT(DISTINCT x) AS n FROM v GROUP BY 1""")
+def _(t):
+    # squares of 64-bit numbers and of times in microseconds leave every decimal
+    big = (F.col("o_orderkey") % 9).cast("long") * F.lit(10 ** 18) + F.col("o_orderkey")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    found = profile.column_fingerprint(t.orders.select(big.alias("big"), at.alias("moment")))
+    value = lambda metric: F.max(F.when(F.col("metric") == metric, F.col("value")))
+    return found.where("column <> '*'").groupBy("column").agg(
+        value("sum").alias("sum"), F.format_string("%.9e", value("sumsq").cast("double")).alias("sumsq"), value("distinct").cast("long").alias("n"))
+
+
+@query("reconcile_failing_pair", """SELECT 'good' AS pair, true AS passed, '' AS failed UNION ALL SELECT 'broken', false, 'error' UNION ALL
+SELECT 'less', false, CASE WHEN (SELECT COUNT(*) FROM orders WHERE o_orderkey % 2 = 0) > 0 THEN 'row_count' ELSE '' END""")
+def _(t):
+    small = t.orders.select("o_orderkey", "o_totalprice")
+    broken = small.withColumn("o_totalprice", F.concat(F.lit("no number "), F.col("o_orderkey").cast("string")).cast("double"))
+    verdict = reconcile.reconcile_many(t.spark, [
+        {"name": "good", "source": small, "candidate": small, "key": "o_orderkey"},
+        {"name": "broken", "source": small, "candidate": broken, "key": "o_orderkey"},
+        {"name": "less", "source": small, "candidate": small.where("o_orderkey % 2 = 1"), "key": "o_orderkey"}])
+    failed = F.coalesce(F.max(F.when(~F.col("match") & F.col("check").isin("error", "row_count"), F.col("check"))), F.lit(""))
+    return verdict.checks.groupBy("pair").agg(F.bool_and("match").alias("passed"), failed.alias("failed"))
+
+
+@query("reconcile_rows_drift", """SELECT o_custkey FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) WHERE n > 1""")
+def _(t):
+    # the first and the last order of a customer drift in opposite directions: sums stay, prices do not
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    back = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
+    price = F.col("o_totalprice")
+    step = F.when(F.row_number().over(own) == 1, 1).otherwise(0) - F.when(F.row_number().over(back) == 1, 1).otherwise(0)
+    moved = t.orders.withColumn("o_totalprice", price + step * 1e6)
+    return reconcile.reconcile_rows(t.orders, moved, ["o_custkey"], ["o_totalprice"], tol=1e-6).select("o_custkey")

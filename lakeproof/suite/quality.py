@@ -283,3 +283,16 @@ def _(t):
     return quality.file_checks(t.orders.withColumn("file_name", name), expected_header=["1-Urgent"],
                                header_col="o_orderpriority", name_pattern="^orders_199[0-9]{3}", formats=("csv",),
                                min_rows=40, loaded_at="o_orderdate", as_of="2000-01-01 00:00:00")
+
+
+@query("run_tests_failing_spec", """SELECT 'orders' AS model, 'expression' AS kind, 'error' AS status, 0 AS violations FROM (SELECT 1 FROM orders LIMIT 1)
+UNION ALL SELECT 'orders', 'not_null', 'passed', 0 UNION ALL SELECT 'orders', 'range', 'failed', COUNT(*) FROM orders WHERE o_totalprice > 100000
+UNION ALL SELECT 'orders', 'unique', 'passed', 0 UNION ALL SELECT 'lineitem', 'not_null', 'error', 0""")
+def _(t):
+    specs = [{"model": "orders", "kind": "expression", "columns": [], "expression": "cast(o_orderpriority as int) > 0"},
+             {"model": "orders", "kind": "not_null", "columns": ["o_orderkey"]},
+             {"model": "orders", "kind": "range", "columns": ["o_totalprice"], "max": 100000},
+             {"model": "orders", "kind": "unique", "columns": ["o_orderkey"]},
+             {"model": "lineitem", "kind": "not_null", "columns": ["no_such_column"]}]
+    found = quality.run_tests(t.spark, specs, {"orders": t.orders, "lineitem": t.lineitem})
+    return found.select("model", "kind", "status", "violations")

@@ -164,12 +164,6 @@ def test_cyclic_models_are_refused(spark):
         models.build_models(spark, [{"name": "a", "sql": "select 1", "depends_on": ["b"]}, {"name": "b", "sql": "select 1", "depends_on": ["a"]}])
 
 
-def test_seed_rows_link_to_their_parents(spark):
-    data = models.seed_dataset(spark, {"account": ["id", "name"], "call": ["id", "account_vod__c", "call_date", "amount", "is_open"]}, 30)
-    assert data["call"].join(data["account"], F.col("account_vod__c") == data["account"]["id"], "left_anti").count() == 0
-    assert data["call"].first().asDict() == {"id": "call_1", "account_vod__c": "account_1", "call_date": "2024-02-15", "amount": "101", "is_open": "1"}
-
-
 def test_suggested_types_come_from_the_data_too(spark):
     df = spark.createDataFrame([("1", "y", "2024-01-01", "7.5", None), ("2", "n", "2024-02-01", "8", None)], "qty string, is_open string, ts string, ratio string, void string")
     got = {r["col_name"]: (r["category"], r["target_type"]) for r in suggest.suggest_types(df, "t").collect()}

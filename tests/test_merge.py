@@ -24,24 +24,44 @@ def versions(feed):
     return sorted(out, key=repr)
 
 
+def history_of(spark, parts):
+    history = None
+    for part in parts:
+        history = stitch.stitch_scd2(history, spark.createDataFrame(part, "k int, ts int, v int"), ["k"], "ts")
+    return rows(history.where("is_version"), "k", "v", "valid_from", "valid_to", "is_current")
+
+
 def test_late_rows_rebuild_the_history_of_their_key(spark):
-    """A late version lands between known ones; only versions the history kept can be compared again."""
     feed = [(1, 10, 0), (1, 30, 2), (2, 5, 7)]
-    history = stitch.stitch_scd2(None, spark.createDataFrame(feed, "k int, ts int, v int"), ["k"], "ts")
     late = [(1, 20, 1), (1, 40, 2), (1, 5, 0)]
-    for _ in range(2):
-        history = stitch.stitch_scd2(history, spark.createDataFrame(late, "k int, ts int, v int"), ["k"], "ts")
-    assert rows(history, "k", "v", "valid_from", "valid_to", "is_current") == versions(feed + late)
+    assert history_of(spark, [feed, late, late]) == versions(feed + late)
+
 
+def test_every_split_of_a_feed_gives_the_same_history(spark):
+    feed = [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 5, 0)]
+    for order in ((0, 3, 2, 1), (3, 0, 1, 2), (2, 1, 3, 0)):
+        assert history_of(spark, [[feed[i]] for i in order]) == versions(feed)
+    assert history_of(spark, [[feed[0], feed[3]], [feed[2]], [feed[1]]]) == versions(feed)
 
-@pytest.mark.parametrize("split_over", [100, 1_000_000])
-def test_history_equals_brute_force_on_ordered_batches(spark, split_over):
+
+def test_history_equals_brute_force_on_ordered_batches(spark):
     rng = random.Random(4)
     feed = sorted({(1 if rng.random() < 0.5 else rng.randint(2, 6), ts, rng.randint(0, 1)) for ts in range(800)}, key=lambda r: r[1])
-    history = None
-    for a, b in ((0, 300), (250, 600), (600, 800), (600, 800)):
-        history = stitch.stitch_scd2(history, spark.createDataFrame(feed[a:b], "k int, ts int, v int"), ["k"], "ts", split_over)
-    assert rows(history, "k", "v", "valid_from", "valid_to", "is_current") == versions(feed)
+    parts = [feed[a:b] for a, b in ((0, 300), (250, 600), (600, 800), (600, 800))]
+    assert history_of(spark, parts) == versions(feed)
+
+
+def test_tables_of_another_partitioning_are_refused_and_swaps_keep_theirs(spark):
+    df = spark.createDataFrame([("crm", "a", 1), ("erp", "b", 2)], "src string, p string, v int")
+    writers.write_partitioned(df, "guard_t", ["src"])
+    with pytest.raises(ValueError):
+        writers.write_partitioned(df, "guard_t", ["p"])
+    writers.replace_table(spark.table("guard_t").withColumn("v", F.col("v") + 1), "guard_t")
+    assert writers.partition_columns(spark, "guard_t") == ["src"]
+    writers.write_partitioned(spark.createDataFrame([("a", 9, "crm")], "p string, v int, src string"), "guard_t", ["src"])
+    assert rows(spark.table("guard_t"), "src", "v") == [("crm", 9), ("erp", 3)]
+    writers.drop_partitions(spark, "guard_t", [{"src": "crm"}, {"src": "it's not there"}])
+    assert rows(spark.table("guard_t"), "src", "v") == [("erp", 3)]
 
 
 def test_upsert_keeps_newer_target_rows_and_unseen_keys(spark):

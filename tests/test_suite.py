@@ -10,7 +10,8 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
-import __spark_entry__ as suite  # noqa: E402
+import __spark_entry__ as entry  # noqa: E402
+from lakeproof import suite  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -19,14 +20,15 @@ def con():
     return check.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(suite.queries()))
+@pytest.mark.parametrize("name", list(suite.QUERIES))
 def test_query(spark, con, name):
     import check
-    df = suite.queries()[name](spark, SF)
-    wrong = check.differences(df, df.collect(), con, suite.oracle_sql()[name])
+    df = suite.QUERIES[name](spark, SF)
+    wrong = check.differences(df, df.collect(), con, suite.SQL[name])
     assert wrong is None, wrong
 
 
 def test_every_query_has_sql_and_the_entry_runs(spark):
-    assert suite.queries().keys() == suite.oracle_sql().keys()
-    assert suite.entry(spark).count() > 0
+    assert suite.QUERIES.keys() == suite.SQL.keys() <= entry.queries().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+    assert entry.entry(spark).count() > 0
