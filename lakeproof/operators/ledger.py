@@ -60,9 +60,16 @@ def file_audit(spark: SparkSession, ledger: str, batch_id: str, source_system: s
     _append(small_frame(spark, [(batch_id, source_system, source_object, layer, row_count, status)], AUDIT_SCHEMA), ledger)
 
 
-def file_registry(rows: DataFrame, batch: str, start: int = 1, file_col: str = "_source_file_name") -> DataFrame:
-    """One row per landed file with a consecutive file id from ``start``, its pattern and record count."""
+def file_registry(rows: DataFrame, batch: str, start: int = 1, file_col: str = "_source_file_name",
+                  listing: DataFrame | None = None) -> DataFrame:
+    """One row per landed file with a consecutive file id from ``start``, its pattern and record count.
+
+    ``listing(file_name)`` are the files that landed; those without rows are registered with a count of 0.
+    """
     files = rows.groupBy(F.col(file_col).alias("file_name")).agg(F.count(F.lit(1)).alias("record_count"))
+    if listing is not None:
+        files = (listing.select("file_name").distinct().join(files, "file_name", "full_outer")
+                 .withColumn("record_count", F.coalesce("record_count", F.lit(0))))
     pattern = F.regexp_replace("file_name", r"\d+", "*")
     return (numbered(files, ["file_name"], "file_id", start)
             .withColumns({"pattern_name": pattern, "parent_batch_id": F.lit(batch)}))

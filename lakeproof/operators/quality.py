@@ -454,11 +454,14 @@ def reject_rate(df: DataFrame, rules: dict[str, str], max_rate: float) -> DataFr
 
 def file_checks(rows: DataFrame, file_col: str = "file_name", expected_header: list[str] | None = None,
                 header_col: str | None = None, name_pattern: str | None = None, formats: tuple[str, ...] = (),
-                min_rows: int | None = None, loaded_at: str | None = None, as_of=None, max_age_h: float = 48) -> DataFrame:
-    """Landing checks per file: row count, header, format, name and freshness.
+                min_rows: int | None = None, loaded_at: str | None = None, as_of=None, max_age_h: float = 48,
+                listing: DataFrame | None = None, expected_columns: list[str] | None = None) -> DataFrame:
+    """Landing checks per file: row count, header, schema, format, name and freshness.
 
     ``rows`` has one row per record with its file name; a file becomes one row by a map-side
-    combined aggregate. Output ``(file, check, passed, observed)``, one row per file and check.
+    combined aggregate. ``listing(file_name)`` are the files that landed (see sources.files.landed_files):
+    those without rows are checked too. The schema check looks for ``expected_columns`` in the header in
+    any order and shows those it lacks. Output ``(file, check, passed, observed)``, one row per file and check.
     """
     aggs = [F.count(F.lit(1)).alias("n")]
     if header_col:
@@ -466,6 +469,9 @@ def file_checks(rows: DataFrame, file_col: str = "file_name", expected_header: l
     if loaded_at:
         aggs.append(F.max(loaded_at).alias("newest"))
     files = rows.groupBy(F.col(file_col).alias("file")).agg(*aggs)
+    if listing is not None:
+        landed = listing.select(F.col("file_name").alias("file")).distinct()
+        files = landed.join(files, "file", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
     extension = F.lower(F.substring_index("file", ".", -1))
     checks = []
 
@@ -478,6 +484,10 @@ def file_checks(rows: DataFrame, file_col: str = "file_name", expected_header: l
     if expected_header is not None:
         wanted = ",".join(h.lower() for h in expected_header)
         add("header", F.lower("header") == wanted, F.col("header"))
+    if expected_columns is not None:
+        have = F.transform(F.split(F.lower("header"), ","), lambda c: F.trim(c))
+        lacking = F.array_except(F.array(*[F.lit(c.lower()) for c in expected_columns]), F.coalesce(have, F.array().cast("array<string>")))
+        add("schema", F.size(lacking) == 0, F.array_join(lacking, ","))
     if formats:
         add("file_format", extension.isin(*[f.lower() for f in formats]), extension)
     if name_pattern:

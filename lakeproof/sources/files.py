@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zipfile
 from collections import Counter
@@ -83,8 +84,11 @@ def _extract_archives(out: str, chunk: int = 8 << 20):
     return extract
 
 
-def _as_uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
+def _as_uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; without one it is on the session's default file system, as for Spark itself."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:///", files.makeQualified(place).toString())
 
 
 def expand_archives(spark: SparkSession, path: str, out: str, glob: str = "*.zip") -> DataFrame:
@@ -93,7 +97,7 @@ def expand_archives(spark: SparkSession, path: str, out: str, glob: str = "*.zip
     Spark spreads the archives over tasks by name; members stream through in blocks, so neither an
     archive nor a member has to fit in memory. The manifest is written first, then returned.
     """
-    out = _as_uri(out)
+    out = _as_uri(spark, out)
     archives = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
                 .load(path).select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:///"), "^s3[an]://", "s3://").alias("path")))
     manifest = f"{out}/_manifest"

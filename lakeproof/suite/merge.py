@@ -164,6 +164,15 @@ def _(t):
     return ledger.file_registry(t.events.withColumn("_source_file_name", name), "b9", start=101)
 
 
+@query("file_registry_listing", """WITH f AS (SELECT 'part_' || p_brand || '.csv' AS file_name, COUNT(*) AS record_count FROM part GROUP BY 1
+  UNION ALL SELECT DISTINCT 'empty_' || p_size || '.csv', 0 FROM part) SELECT file_name, record_count, row_number() OVER (ORDER BY file_name) AS file_id FROM f""")
+def _(t):
+    named = t.part.select(F.concat(F.lit("part_"), F.col("p_brand"), F.lit(".csv")).alias("_source_file_name"))
+    landed = named.select(F.col("_source_file_name").alias("file_name")).unionByName(
+        t.part.select(F.concat(F.lit("empty_"), F.col("p_size").cast("string"), F.lit(".csv")).alias("file_name")))
+    return ledger.file_registry(named, "b1", listing=landed).select("file_name", "record_count", "file_id")
+
+
 LEDGER = """e AS (SELECT 'f' || user_id AS file_name, CASE event_type WHEN 'signup' THEN 'landing' WHEN 'view' THEN 'raw' WHEN 'click' THEN 'curated'
   WHEN 'purchase' THEN 'published' ELSE 'warehouse' END AS layer, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, value FROM events),
 g AS (SELECT file_name, arg_max(n, ts) FILTER (WHERE layer = 'landing') AS a, arg_max(n, ts) FILTER (WHERE layer = 'raw') AS b,

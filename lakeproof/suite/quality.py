@@ -296,3 +296,13 @@ def _(t):
              {"model": "lineitem", "kind": "not_null", "columns": ["no_such_column"]}]
     found = quality.run_tests(t.spark, specs, {"orders": t.orders, "lineitem": t.lineitem})
     return found.select("model", "kind", "status", "violations")
+
+
+@query("file_checks_listing", """WITH l AS (SELECT DISTINCT 'part_' || p_brand || '.csv' AS file FROM part UNION SELECT 'empty_' || p_size || '.csv' FROM part),
+g AS (SELECT 'part_' || p_brand || '.csv' AS file, COUNT(*) AS n FROM part GROUP BY 1), f AS (SELECT l.file, coalesce(n, 0) AS n FROM l LEFT JOIN g USING (file))
+SELECT file, 'row_count' AS "check", n >= 1 AS passed, CAST(n AS VARCHAR) AS observed FROM f
+UNION ALL SELECT file, 'schema', n > 0, CASE WHEN n > 0 THEN '' ELSE 'id,price' END FROM f""")
+def _(t):
+    named = t.part.select(F.concat(F.lit("part_"), F.col("p_brand"), F.lit(".csv")).alias("file_name"), F.lit("Price, id,name").alias("header"))
+    landed = named.select("file_name").unionByName(t.part.select(F.concat(F.lit("empty_"), F.col("p_size").cast("string"), F.lit(".csv")).alias("file_name")))
+    return quality.file_checks(named, header_col="header", min_rows=1, listing=landed, expected_columns=["id", "price"])
