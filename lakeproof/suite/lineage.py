@@ -270,10 +270,10 @@ def _(t):
     return catalog.precheck_targets(planned, cat.where("p_size < 8")).select("p_partkey", "status", "required")
 
 
-@query("ensure_unique_names", """WITH s AS (SELECT DISTINCT lower(p_brand) AS sch, replace(p_name, ' ', '_') AS n FROM part WHERE p_size <= 2)
+@query("ensure_unique_names", """WITH s AS (SELECT DISTINCT lower(p_brand) AS sch, replace(p_name, ' ', '_') AS n FROM part)
 SELECT sch AS "schema", n AS name, CASE WHEN COUNT(*) OVER (PARTITION BY n) = 1 THEN n ELSE sch || '_' || n END AS target FROM s""")
 def _(t):
-    tables = t.part.where("p_size <= 2").select(F.lower("p_brand").alias("schema"), F.translate("p_name", " ", "_").alias("name")).distinct()
+    tables = t.part.select(F.lower("p_brand").alias("schema"), F.translate("p_name", " ", "_").alias("name")).distinct()
     return catalog.ensure_unique_names(tables)
 
 
@@ -344,7 +344,7 @@ def _(t):
 
 JOB = "'load_' || lower(replace(p_brand, '#', '_')) || '_' || lower(p_type)"
 OPS = f"""j AS (SELECT DISTINCT {JOB} AS k, 'load_' || lower(replace(p_brand, '#', '_')) || '_economy' AS up, p_type FROM part),
-c AS (SELECT p_partkey, {JOB} AS job, replace(p_name, ' ', '_') AS n, p_size, p_type FROM part WHERE p_size < 40),
+c AS (SELECT p_partkey, {JOB} AS job, replace(p_name, ' ', '_') AS n, p_size, p_type FROM part),
 cat AS (SELECT DISTINCT 'tbl:raw_' || replace(p_name, ' ', '_') AS id, 'crm_silver.raw_' || replace(p_name, ' ', '_') AS label FROM part WHERE p_size > 45
   UNION SELECT DISTINCT 'tbl:dim_' || replace(p_name, ' ', '_') || '_' || p_size, 'crm_gold.dim_' || replace(p_name, ' ', '_') || '_' || p_size FROM part WHERE p_size > 20),
 r AS (SELECT *, 'raw_' || n AS s, 'dim_' || n || '_' || p_size AS t FROM c),
@@ -362,7 +362,7 @@ def ops_of(t):
         F.col("p_type") == "ECONOMY", F.array(F.lit("never_there"))).otherwise(F.array(up)).alias("depends_on")).distinct()
     n = F.translate("p_name", " ", "_")
     dim = F.concat(F.lit("dim_"), n, F.lit("_"), F.col("p_size").cast("string"))
-    cfg = t.part.where("p_size < 40").select(
+    cfg = t.part.select(
         "p_partkey", F.when(F.col("p_type") == "LARGE", "???").otherwise(job).alias("job_name"), F.concat(F.lit("raw_"), n).alias("src_table"), dim.alias("target_tablename"))
     cells = catalog.config_cells(cfg, "query_config", "query_configuration", "p_partkey")
     cat = (t.part.where("p_size > 45").select(F.concat(F.lit("crm_silver.raw_"), n).alias("full_name"))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import ledger, measures, quality, reconcile, stitch
-from ..session import scratch_path
+from ..operators.skew import numbered
+from ..session import cut_lineage, scratch_path
 from ..sources import writers
 from .base import SQL, query
 from .proof import REBUILT, STRAY, rebuilt_orders, stray_orders
@@ -318,9 +319,23 @@ def _(t):
     return measures.recipient_list(t.documents, "text")
 
 
-@query("order_config", """SELECT CAST(p_size AS VARCHAR) AS step, p_name AS name FROM part""")
+def positions(ordered):
+    """The rows of an ordered frame with their place in it."""
+    return numbered(cut_lineage(ordered.withColumn("place", F.monotonically_increasing_id())), ["place"], "position").drop("place")
+
+
+@query("order_config", """SELECT step, name, row_number() OVER (ORDER BY step, name) AS position FROM (SELECT CAST(p_size AS VARCHAR) AS step, p_name AS name FROM part)""")
+def _(t):
+    rows = t.part.select(F.col("p_size").cast("string").alias("step"), F.col("p_name").alias("name"))
+    return positions(measures.order_config(rows, "step", "name"))
+
+
+@query("rank_duplicates", """SELECT base_name, cross_system, overlap, row_number() OVER (ORDER BY cross_system DESC, overlap DESC, base_name) AS position
+FROM (SELECT p_name AS base_name, p_size % 2 = 0 AS cross_system, CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE (p_size % 7) / 7.0 END AS overlap FROM part)""")
 def _(t):
-    return measures.order_config(t.part.select(F.col("p_size").cast("string").alias("step"), F.col("p_name").alias("name")), "step", "name")
+    overlap = F.when(F.col("p_size") % 5 != 0, (F.col("p_size") % 7) / 7.0)
+    groups = t.part.select(F.col("p_name").alias("base_name"), (F.col("p_size") % 2 == 0).alias("cross_system"), overlap.alias("column_overlap"))
+    return positions(measures.rank_duplicates(groups)).select("base_name", "cross_system", F.coalesce("column_overlap", F.lit(0.0)).alias("overlap"), "position")
 
 
 @query("sample_result", "SELECT least(COUNT(*), 50) AS rows FROM orders WHERE o_orderstatus = 'F'")

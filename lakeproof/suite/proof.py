@@ -256,11 +256,11 @@ def _(t):
 
 @query("column_set_diff", """SELECT name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS side FROM (
   SELECT coalesce(x.n, y.n) AS name, x.n IS NOT NULL AS a, y.n IS NOT NULL AS b
-  FROM (SELECT DISTINCT lower(p_name) AS n FROM part WHERE p_size < 10) x
-  FULL OUTER JOIN (SELECT DISTINCT lower(p_name) AS n FROM part WHERE p_size > 45) y ON x.n = y.n)""")
+  FROM (SELECT DISTINCT lower(p_name) AS n FROM part) x
+  FULL OUTER JOIN (SELECT DISTINCT lower(p_name) || CASE WHEN p_size > 25 THEN '_new' ELSE '' END AS n FROM part) y ON x.n = y.n)""")
 def _(t):
-    return profile.column_set_diff(t.part.where("p_size < 10").select("p_name"),
-                                   t.part.where("p_size > 45").select(F.upper("p_name")))
+    return profile.column_set_diff(t.part.select("p_name"),
+                                   t.part.select(F.upper(F.concat("p_name", F.when(F.col("p_size") > 25, "_new").otherwise("")))))
 
 
 # Column names as they appear in warehouses, made from the rows of part.
