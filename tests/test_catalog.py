@@ -153,7 +153,8 @@ def test_lineage_graph(spark):
     graph = lineage.build_lineage(cat, scripts, views, rels)
     assert rows(graph.edges) == sorted([
         ("ref:s3://in/landing/f", "job:load", ""), ("job:load", "lake:raw_db.call", ""), ("warehouse:crm.public.call", "warehouse:crm.public.v_call", "view"),
-        ("ref:dim_x", "warehouse:crm.public.v_call", "view"), ("lake:raw_db.call", "warehouse:crm.public.call", "load"),
+        ("ref:dim_x", "warehouse:crm.public.v_call", "view"), ("lake:raw_db.call", "name:call", "load"),
+        ("name:call", "warehouse:crm.public.call", "same_name"),
         ("warehouse:crm.public.call", "lake:raw_db.call", "fk")], key=repr)
     types = {r["id"]: r["type"] for r in graph.nodes.collect()}
     assert types["ref:dim_x"] == "source" and types["warehouse:crm.public.v_call"] == "gold" and types["lake:raw_db.call"] == "bronze"

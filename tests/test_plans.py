@@ -65,7 +65,12 @@ def test_containment_shrinks_both_sides_before_the_join(spark, tables):
 
 def test_row_tests_of_a_table_share_one_scan(spark, tables):
     specs = [{"model": "t", "kind": "not_null", "columns": [c]} for c in ("k", "v", "name")]
-    assert plan(quality.run_tests(spark, specs, {"t": tables})).count("FileScan") == 1
+    assert plan(quality._row_tests(tables, specs)).count("FileScan") == 1
+
+
+def test_a_side_of_a_reconciliation_is_scanned_twice(spark, tables):
+    checks = rec._checks(spark, "p", tables, tables.withColumn("v", F.col("v") + 1), ["k"], (), 1e-6, None, 0.0, None, None, None)
+    assert plan(checks).count("FileScan") <= 4
 
 
 def test_extraction_needs_no_shuffle_and_no_python(spark):
