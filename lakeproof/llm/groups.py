@@ -56,21 +56,24 @@ def edges_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what is connected among n members; ``near(i, rest)`` marks the linked of the rest.
+def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what is connected among n members.
 
-    A search from member to member: whoever was reached is not compared again, so members of one dense
-    group cost little, and at most n - 1 links come out however many there are.
+    ``linked(i, open)`` gives the members linked to i among those marked open. A search from member to
+    member: whoever was reached is not compared again, so members of one dense group cost little, and at
+    most n - 1 links come out however many there are.
     """
-    rest, out = np.arange(n), []
-    while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
+    waiting, left, out = np.ones(n, dtype=bool), n, []
+    for first in range(n):
+        if not waiting[first]:
+            continue
+        waiting[first], queue = False, [first]
+        left -= 1
+        while queue and left:
             i = queue.pop()
-            hit = near(i, rest)
-            if hit.any():
-                found = rest[hit].tolist()
-                out += [(i, j) for j in found]
-                queue += found
-                rest = rest[~hit]
+            found = linked(i, waiting).tolist()
+            waiting[found] = False
+            left -= len(found)
+            out += [(i, j) for j in found]
+            queue += found
     return out

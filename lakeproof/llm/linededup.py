@@ -156,38 +156,90 @@ def lines_with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links ``a, b`` of lines of one unit whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     for table, at in runs(batches, ["group", "unit", "id", "line"]):
-        ids, a, b = table.column("id").to_numpy(), [], []
-        for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
-            if end - start < 2:
-                continue
-            own, place = np.unique(ids[start:end], return_index=True)
-            if len(own) < 2:
-                continue
-            lines = table.column("line").slice(start, end - start).take(pa.array(place)).to_pylist()
-            for i, j in similar_pairs(lines):
-                a.append(int(own[i]))
-                b.append(int(own[j]))
-        yield edges_batch(a, b)
-
-
-def similar_pairs(lines: list[str]) -> list[tuple[int, int]]:
-    """Links that connect what pairs of similar lines connect, by exact counts of common shingles."""
-    hashes, line = shingle_hashes(lines)
-    pairs = np.unique(np.stack([line.astype(np.uint64), hashes]), axis=1)
-    owner, shingles = pairs[0].astype(np.int64), np.unique(pairs[1], return_inverse=True)[1]
-    sizes = np.bincount(owner, minlength=len(lines))
-    starts = np.r_[0, np.cumsum(sizes)]
-    by_shingle = np.argsort(shingles, kind="stable")
-    first = np.r_[0, np.cumsum(np.bincount(shingles, minlength=1))]
-
-    def near(i: int, rest: np.ndarray) -> np.ndarray:
-        own = shingles[starts[i]:starts[i + 1]]
-        counts = first[own + 1] - first[own]
-        at = np.repeat(first[own] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        common = np.bincount(owner[by_shingle[at]], minlength=len(lines))[rest]
-        return common >= SIMILARITY * (sizes[i] + sizes[rest] - common) - 1e-9
-
-    return forest(len(lines), near)
+        ids, unit = table.column("id").to_numpy(), np.repeat(np.arange(len(at) - 1), np.diff(at))
+        kept = np.unique(np.stack([unit, ids]), axis=1, return_index=True)[1]
+        unit, ids = unit[kept], ids[kept]
+        wide = np.bincount(unit, minlength=len(at) - 1)[unit] > 1
+        unit, ids, kept = unit[wide], ids[wide], kept[wide]
+        if len(ids):
+            sets = ShingleSets(table.column("line").take(pa.array(kept)).to_pylist())
+            found = np.array(sets.pairs(unit), dtype=np.int64).reshape(-1, 2)
+            yield edges_batch(ids[found[:, 0]], ids[found[:, 1]])
+
+
+class ShingleSets:
+    """The shingle sets of lines, one after the other, and which of them are similar."""
+
+    def __init__(self, lines: list[str]):
+        hashes, line = shingle_hashes(lines)
+        order = np.lexsort((hashes, line))
+        hashes, line = hashes[order], line[order]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])]
+        self.hashes, self.line = hashes[new], line[new]
+        self.sizes = np.bincount(self.line, minlength=len(lines))
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+
+    def pairs(self, unit: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect what pairs of similar lines of equal unit connect; the lines come unit by unit."""
+        at = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+        length = np.diff(at)
+        out = self.twos(at[:-1][length == 2])
+        for first, n in zip(at[:-1][length > 2].tolist(), length[length > 2].tolist()):
+            out += [(first + i, first + j) for i, j in self.of_unit(first, n)]
+        return out
+
+    def twos(self, first: np.ndarray) -> list[tuple[int, int]]:
+        """Which lines are similar to the line after them, for all units of two at once."""
+        head = np.full(len(self.sizes), -1)
+        head[first], head[first + 1] = first, first
+        mine = head[self.line]
+        mine, hashes = mine[mine >= 0], self.hashes[mine >= 0]
+        order = np.lexsort((hashes, mine))
+        mine, hashes = mine[order], hashes[order]
+        same = (mine[1:] == mine[:-1]) & (hashes[1:] == hashes[:-1])
+        common = np.bincount(mine[1:][same], minlength=len(self.sizes))[first]
+        a, b = self.sizes[first], self.sizes[first + 1]
+        return [(i, i + 1) for i in first[common >= SIMILARITY * (a + b - common) - 1e-9].tolist()]
+
+    def of_unit(self, first: int, n: int) -> list[tuple[int, int]]:
+        """The same for n lines of one unit. Sets that similar have one of their rarest shingles in common.
+
+        Of a set of m shingles, rarest first, those are the first m - ceil(SIMILARITY m) + 1: only lines
+        that share one, and are long enough, are counted in full.
+        """
+        span = slice(self.starts[first], self.starts[first + n])
+        sizes, starts = self.sizes[first:first + n], self.starts[first:first + n + 1] - self.starts[first]
+        shingles, times = np.unique(self.hashes[span], return_inverse=True, return_counts=True)[1:]
+        line = self.line[span] - first
+        rank = np.empty(len(times), dtype=np.int64)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+        mine = rank[shingles]
+        mine = mine[np.lexsort((mine, line))]
+        head = sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(int) + 1
+        rare = np.arange(len(mine)) - starts[line] < head[line]
+        order = np.argsort(mine[rare], kind="stable")
+        owner, known = line[rare][order], mine[rare][order]
+        marked = np.zeros(len(times), dtype=bool)
+
+        def linked(i: int, waiting: np.ndarray) -> np.ndarray:
+            own = mine[starts[i]:starts[i + 1]]
+            probe = own[:head[i]]
+            near = np.unique(owner[spread(np.searchsorted(known, probe), np.searchsorted(known, probe, "right"))])
+            near = near[waiting[near] & (sizes[near] >= SIMILARITY * sizes[i] - 1e-9) & (sizes[near] * SIMILARITY <= sizes[i] + 1e-9)]
+            if not len(near):
+                return near
+            marked[own] = True
+            common = np.add.reduceat(marked[mine[spread(starts[near], starts[near + 1])]], np.r_[0, np.cumsum(sizes[near])[:-1]], dtype=np.int64)
+            marked[own] = False
+            return near[common >= SIMILARITY * (sizes[i] + sizes[near] - common) - 1e-9]
+
+        return forest(n, linked)
+
+
+def spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    counts = end - start
+    return np.repeat(start - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", chunk_chars: int = CHUNK_CHARS) -> DataFrame:

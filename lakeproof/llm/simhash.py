@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -121,6 +122,11 @@ def keys_of(prints: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def near_bits(prints: np.ndarray, i: int, waiting: np.ndarray) -> np.ndarray:
+    rest = np.flatnonzero(waiting)
+    return rest[np.bitwise_count(prints[rest] ^ prints[i]) <= DISTANCE]
+
+
 def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links ``a, b`` that connect all distinct ``fp`` (long) connected by pairs of at most DISTANCE bits.
 
@@ -146,7 +152,7 @@ def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
             a, b = [values[two][linked]], [values[two + 1][linked]]
             for start, n in zip(at[:-1][length > 2].tolist(), length[length > 2].tolist()):
                 own = bits[start:start + n]
-                found = forest(n, lambda i, rest, own=own: np.bitwise_count(own[rest] ^ own[i]) <= DISTANCE)
+                found = forest(n, functools.partial(near_bits, own))
                 if found:
                     ends = np.array(found) + start
                     a.append(values[ends[:, 0]])
