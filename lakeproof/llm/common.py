@@ -102,13 +102,18 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([parent[x] for x in part], pa.int64()), pa.array(part, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Links that one task may unite at most (some 20 MB); more go through the distributed rounds.
+ONE_TASK_LINKS = 200_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """Connected components of the edges ``a, b`` (long): one row ``node, component`` per node that is not the smallest.
 
     ``component`` is the smallest node reachable; nodes without a row are their own component. Every
     partition first reduces its edges to a forest; then rounds of hooking each node's larger (large star)
     and smaller (small star) neighbours to its smallest one run until nothing changes. Minima are
     aggregates with map-side reduction and joins are of staged rows, so one hub of any degree is split.
+    Where no more than ``one_task`` links are left after the first step, one more union-find ends it.
     """
     out = "a long, b long"
 
@@ -119,8 +124,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = reduced(edges, "edges")
+    now = staged(edges.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").mapInArrow(local_forest, out), "edges")
     before = state(now)
+    if before[0] <= one_task:
+        return staged(now.coalesce(1).mapInArrow(local_forest, out), "forest").selectExpr("b node", "a component")
     for _ in range(max_rounds if before[0] else 0):
         both = now.unionByName(now.selectExpr("b a", "a b"))
         least = staged(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a u", "least(a, m) m"), "least")

@@ -34,16 +34,17 @@ def plain_classes(prints):
     return {(i, f): first.get(links.root(f)) for i, f in prints}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components(spark, one_task):
     r = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(-5, i) for i in range(500, 700)] + [(i, i + 1) for i in range(1000, 1100)]
     links = Union()
     for a, b in pairs:
         links.join(a, b)
     want = {x: links.root(x) for x in list(links.parent) if links.root(x) != x}
-    got = components(spark.createDataFrame(pairs, "a long, b long").repartition(7))
+    got = components(spark.createDataFrame(pairs, "a long, b long").repartition(7), one_task=one_task)
     assert {x["node"]: x["component"] for x in got.collect()} == want
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 def test_golay_keys_meet_for_every_pair_of_up_to_three_errors():
@@ -176,9 +177,29 @@ def test_units_let_every_two_members_of_a_hot_key_meet(spark):
 
 
 def test_forest_spans_what_is_linked():
-    near = lambda i, rest: np.abs(rest - i) == 2
+    near = lambda i, waiting: np.flatnonzero(waiting & (np.abs(np.arange(9) - i) == 2))
     links = forest(9, near)
     union = Union()
     for a, b in links:
         union.join(a, b)
     assert len(links) == 7 and len({union.root(i) for i in range(9)}) == 2
+
+
+def test_similar_pairs_equal_brute_force():
+    r, lines, unit = np.random.default_rng(9), [], []
+    for k, n in enumerate([2, 2, 3, 40, 2, 25]):
+        base = "".join(map(chr, r.integers(97, 123, 300)))
+        for _ in range(n):
+            at, length = int(r.integers(0, 250)), int(r.integers(1, 45))
+            lines.append(base[:at] + "".join(map(chr, r.integers(97, 123, length))) + base[at + int(r.integers(0, 45)):])
+            unit.append(k)
+    got, want = Union(), Union()
+    for a, b in linededup.ShingleSets(lines).pairs(np.array(unit)):
+        got.join(a, b)
+    sets = [{x[i:i + 8] for i in range(len(x) - 7)} for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            if unit[i] == unit[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.join(i, j)
+    assert [got.root(i) for i in range(len(lines))] == [want.root(i) for i in range(len(lines))]
+    assert 10 < len({want.root(i) for i in range(len(lines))}) < 70
