@@ -17,7 +17,7 @@ from ..operators.skew import quoted
 from .common import add_fields, bounded_batches, text_of
 
 #: Pieces of one generation that a worker remembers, the longest one in bytes, and how many are merged together.
-MEMO_PIECES, MEMO_BYTES, TOGETHER = 120_000, 64, 8192
+MEMO_PIECES, MEMO_BYTES, TOGETHER = 160_000, 64, 16384
 #: Characters of texts that are split at a time, and pieces of a longer text.
 CHUNK_CHARS, CHUNK_PIECES = 1 << 20, 1 << 17
 
@@ -108,7 +108,7 @@ class Pairs:
         return np.where(self.keys[place] == key, self.ranks[place] << 8 | at, FAR)
 
 
-def merge_many(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
     """``merge`` of many pieces of 2 to 64 bytes at once: one tree per piece, one merge in each per round."""
     size = 1 << max(len(p) for p in pieces).bit_length()
     rows = len(pieces)
@@ -156,7 +156,7 @@ def merge_many(pieces: list[bytes], pairs: Pairs) -> list[list[int]]:
         base = base[flat[root + 1] < FAR]
     out = ids[alive].tolist()
     ends = np.cumsum(alive.reshape(rows, size).sum(axis=1)).tolist()
-    return [out[a:b] for a, b in zip([0, *ends], ends)]
+    return [tuple(out[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 class Encoder:
@@ -168,8 +168,8 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern, self.pairs = ranks, regex.compile(pattern), Pairs(ranks)
-        self.memo: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def learn(self, unknown: set[str]) -> None:
         """Put short pieces into the memory, those of like length together."""
@@ -183,18 +183,20 @@ class Encoder:
                     if len(raw) <= MEMO_BYTES:
                         groups.setdefault(len(raw).bit_length(), []).append(piece)
                     continue
-                ids = [whole]
+                ids = (whole,)
             self.memo[piece] = ids
         for group in groups.values():
             for i in range(0, len(group), TOGETHER):
                 part = group[i:i + TOGETHER]
                 self.memo.update(zip(part, merge_many([p.encode("utf-8") for p in part], self.pairs)))
 
-    def assemble(self, pieces: list[str]) -> list[int]:
-        known, ids = self.memo.get, []
-        for p in pieces:
-            ids += known(p) or merge(p.encode("utf-8"), self.ranks)
-        return ids
+    def assemble(self, pieces: list[str]) -> np.ndarray:
+        try:
+            return np.array(list(itertools.chain.from_iterable(map(self.memo.__getitem__, pieces))), dtype=np.int32)
+        except KeyError:  # a piece too long to be remembered
+            known = self.memo.get
+            ids = itertools.chain.from_iterable(known(p) or merge(p.encode("utf-8"), self.ranks) for p in pieces)
+            return np.array(list(ids), dtype=np.int32)
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; short texts share a chunk, long ones are gone through in several."""
@@ -208,9 +210,9 @@ class Encoder:
                 yield self.encode_long(texts[start])
             else:
                 split = [self.pattern.findall(t) for t in texts[start:end]]
-                self.learn({p for pieces in split for p in pieces} - self.memo.keys())
+                self.learn(set().union(*split).difference(self.memo))
                 for pieces in split:
-                    yield np.array(self.assemble(pieces), dtype=np.int32)
+                    yield self.assemble(pieces)
             self.turn()
             start = end
 
@@ -218,8 +220,8 @@ class Encoder:
         parts = []
         found = (m.group() for m in self.pattern.finditer(text))
         while pieces := list(itertools.islice(found, CHUNK_PIECES)):
-            self.learn(set(pieces) - self.memo.keys())
-            parts.append(np.array(self.assemble(pieces), dtype=np.int32))
+            self.learn(set(pieces).difference(self.memo))
+            parts.append(self.assemble(pieces))
             self.turn()
         return np.concatenate(parts)
 
