@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from ..operators.skew import quoted
 from .common import bounded_batches, staged
 
-#: Pivots of the top level, which vectors are gathered around (a bounded sample; it bears on speed alone).
+#: Most pivots of the top level, which vectors are gathered around (no more than there are blocks to fill;
+#: a bounded sample, it bears on speed alone).
 PIVOTS = 64
 #: Vectors of a data block and of a query block, and of a leaf of their trees.
 DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 64
@@ -221,9 +222,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id"
     asked = staged(integer_vectors(queries, id_col, vec_col, scale).distinct(), "queries")
     width = max(whole.agg(F.max(F.size("v"))).first()[0] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     alike = Window.partitionBy("v").orderBy("id")
-    data = whole.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).select("id", "v")
+    data = staged(whole.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).select("id", "v"), "data")
     top = pivots(whole, width)
-    d, q = blocks(data, top, width, data_block), blocks(asked, top, width, query_block)
+    d, q = (blocks(side, top[:max(1, -(-side.count() // size))], width, size) for side, size in ((data, data_block), (asked, query_block)))
     bounds = staged(pair_bounds(q, d), "bounds")
     order = Window.partitionBy("qblock").orderBy(F.desc("middle"), "dblock")
     seeds = staged(bounds.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SEEDS), "seeds")
