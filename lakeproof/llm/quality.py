@@ -20,7 +20,7 @@ WORD_SHARE = 0.3
 #: Latent dimensions; labelled rows of each class that are kept at most (those of smallest hash).
 RANK, EXAMPLES_PER_LABEL = 48, 1000
 NEIGHBOURS, BLOCK_ROWS = 15, 256
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 REPEAT = FEATURES - 1
 
 

@@ -23,7 +23,7 @@ LEAST_LOG_RATIO, STANDARD_ERRORS = 1.0, 2.5
 #: Lengths of word beginnings that are terms as well, and how often a term must occur for each of its levels.
 PREFIXES, LEVELS = (4, 5, 6), (1, 2, 3, 5)
 HEAD = min(PREFIXES)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 def word_terms(word: str) -> list[str]:
