@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar lines one line stays; documents keep their row with the lines left."""
-    return linededup.dedup_lines(docs)
+    """Of each component of similar lines, short ones too, one line stays; documents keep their row with the lines left."""
+    return linededup.dedup_lines(docs, least_chars=1)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

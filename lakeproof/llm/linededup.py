@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,8 @@ from ..operators.skew import quoted
 from .common import bounded_batches, components, fresh, mixed, staged, text_of
 from .groups import edges_batch, forest, in_units, runs
 
-#: Characters of a shingle, the least Jaccard similarity, and the least characters of a line that is compared.
+#: Characters of a shingle, the least Jaccard similarity, and the least characters of a line that gets a row
+#: unless the caller asks for shorter ones.
 SHINGLE, SIMILARITY, LEAST_CHARS = 8, 0.8, 20
 #: Bands and rows of the signature: a pair of similarity 0.8 shares a band with a probability of 99.5 %.
 BANDS, ROWS = 10, 4
@@ -77,8 +79,8 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, hash, line_no, id`` of every line long enough to be compared."""
+def lines_of(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
+    """``key, hash, line_no, id`` of every line of so many characters."""
     for batch in batches:
         for start in range(0, len(batch), 100):
             part = batch.slice(start, 100)
@@ -86,7 +88,7 @@ def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, text in enumerate(part.column(2).to_pylist()):
                 for i, line in enumerate(text.split("\n")):
                     line = normal(line)
-                    if len(line) >= LEAST_CHARS:
+                    if len(line) >= least_chars:
                         own.append(row)
                         number.append(i)
                         ids.append(line_id(line))
@@ -95,13 +97,14 @@ def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["key", "hash", "line_no", "id"])
 
 
-def distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Blocks of the distinct lines of a batch with their ids."""
+def distinct_lines(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Blocks of the distinct lines of a batch with their ids; lines without a shingle have no others to be similar to."""
+    least_chars = max(least_chars, SHINGLE)
     for batch in batches:
         seen: dict[int, str] = {}
         for text in batch.column(0).to_pylist():
             for line in map(normal, text.split("\n")):
-                if len(line) >= LEAST_CHARS:
+                if len(line) >= least_chars:
                     seen.setdefault(line_id(line), line)
         ids, lines, room = [], [], BLOCK_CHARS
         for i, line in seen.items():
@@ -115,13 +118,13 @@ def distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int
             yield ids, lines
 
 
-def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keys_of(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
     """``key, id`` so that lines of equal band keys are linked by equal keys, with few rows for a hot key.
 
     Of the lines of a block that share a band key, only the first sends it; each other sends a key of its
     own for the link to the first, which sends that too.
     """
-    for ids, lines in distinct_lines(batches):
+    for ids, lines in distinct_lines(batches, least_chars):
         keys = band_keys(signatures(lines)).reshape(-1)
         owner = np.repeat(np.array(ids, dtype=np.int64), BANDS)
         order = np.argsort(keys, kind="stable")
@@ -148,8 +151,8 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges_batch(ids[:-1][same], ids[1:][same])
 
 
-def lines_with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, lines in distinct_lines(batches):
+def lines_with_text(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
+    for ids, lines in distinct_lines(batches, least_chars):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
 
@@ -242,23 +245,23 @@ def spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``key, hash, line_no, id, root, kept``: a row for every line long enough to be compared.
+def line_classes(docs: DataFrame, id_col: str = "doc_id", chunk_chars: int = CHUNK_CHARS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``key, hash, line_no, id, root, kept``: a row for every line of ``least_chars`` or more (1: every line that is not blank).
 
     ``key`` is the document's id, ``hash`` that of its text, ``line_no`` counts from 0, ``root`` names the
     component of similar lines; ``kept`` marks its first line, by document id (nulls last), line number and
-    hash. Lines are compared in lower case with white space folded; shorter ones than LEAST_CHARS have no
-    row and stay. Null texts have no lines. Rows that repeat both id and text are decided alike.
+    hash. Lines are compared in lower case with white space folded; those shorter than a shingle are similar
+    to equal ones only. Null texts have no lines. Rows that repeat both id and text are decided alike.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(quoted(id_col).cast("long").alias("key"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
     texts = own.select("text")
-    lines = staged(own.mapInArrow(lines_of, "key long, hash long, line_no int, id long"), "lines")
-    keys = texts.mapInArrow(keys_of, "key long, id long").repartition("key").sortWithinPartitions("key")
+    lines = staged(own.mapInArrow(partial(lines_of, least_chars=least_chars), "key long, hash long, line_no int, id long"), "lines")
+    keys = texts.mapInArrow(partial(keys_of, least_chars=least_chars), "key long, id long").repartition("key").sortWithinPartitions("key")
     candidates = components(keys.mapInArrow(chained, "a long, b long"))
     groups = candidates.selectExpr("component group", "node member")
     groups = staged(groups.unionByName(groups.selectExpr("group", "group member").distinct()), "groups")
-    found = texts.mapInArrow(lines_with_text, "id long, line string").join(groups, F.col("id") == F.col("member"))
+    found = texts.mapInArrow(partial(lines_with_text, least_chars=least_chars), "id long, line string").join(groups, F.col("id") == F.col("member"))
     found = staged(found.select("group", "id", "line", F.length("line").cast("long").alias("chars")), "candidates")
     verified = in_units(found, "group", "id", chunk_chars, "chars").select("group", "unit", "id", "line").mapInArrow(similar, "a long, b long")
     classes = staged(components(verified), "classes")
@@ -270,13 +273,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", chunk_chars: int = CHU
         *rooted.columns, (F.col("first") == rank).alias("kept"), F.col("first")["key"].alias("first_key"), F.col("first")["line_no"].alias("first_line"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """The documents with their own columns; of each component of similar lines only the first line is left.
 
-    Documents keep their row, with the text that is left, which may be empty; null texts stay null. Their
+    Lines of fewer characters than ``least_chars`` stay (1: only blank ones). Documents keep their row, with the
+    text that is left, which may be empty; null texts stay null. Their
     ``n_chars``, where they have such a column, is that of the new text.
     """
-    found = line_classes(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")))
+    found = line_classes(docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")), least_chars=least_chars)
     gone = (found.where(~F.col("kept")).select("key", "hash", "line_no").distinct()
             .groupBy("key", "hash").agg(F.array_sort(F.collect_list("line_no")).alias("gone")))
     gone = staged(gone, "gone").selectExpr("key _key", "hash _hash", "gone _gone")

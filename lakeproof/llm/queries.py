@@ -125,7 +125,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=1)
     return found.select(F.col("key").alias("doc_id"), "line_no", F.col("first_key").alias("class_doc_id"),
                         F.col("first_line").alias("class_line_no"), "kept")
 

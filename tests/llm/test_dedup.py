@@ -138,6 +138,36 @@ def test_line_classes(spark, chunk):
     assert all(r["kept"] == ((r["key"], r["line_no"]) == (r["first_key"], r["first_line"])) for r in got)
 
 
+def short_line_docs():
+    return [(2, "les.\nand ornd.\n\n  \nThe End"), (1, "LES.\nthe  end\nbut slyly ironic ide"), (3, "les.\nbut slyly ironic idea\nbut slyly ironic ides"),
+            (5, "x\nX\nabcdefgh\nabcdefgi\nabcdefg"), (None, "x\nabcdefgh\nles."), (6, None), (7, LINES[0] + "\nles."), (8, LINES[0])]
+
+
+def test_every_line_that_is_not_blank_has_a_class(spark):
+    docs = short_line_docs() + line_docs()[:1] + line_docs()[-3:]
+    lines = [((i is None, i or 0, n), linededup.normal(x)) for i, t in docs for n, x in enumerate((t or "").split("\n"))]
+    lines = [(at, x) for at, x in lines if x]
+    sets = {x: {x[i:i + 8] for i in range(len(x) - 7)} or {x} for _, x in lines}
+    links, first = Union(), {}
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.join(a, b)
+    for at, x in lines:
+        first[links.root(x)] = min(first.get(links.root(x), at), at)
+    got = linededup.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), least_chars=1).collect()
+    assert len(got) == len(lines)
+    assert {(r["key"] is None, r["key"] or 0, r["line_no"]): (r["first_key"] is None, r["first_key"] or 0, r["first_line"])
+            for r in got} == {at: first[links.root(x)] for at, x in lines}
+
+
+def test_copies_of_short_lines_are_removed(spark):
+    got = linededup.dedup_lines(spark.createDataFrame(short_line_docs(), "doc_id long, text string"), least_chars=1)
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert texts == {1: "LES.\nthe  end\nbut slyly ironic ide", 2: "and ornd.\n\n  ", 3: "", 5: "x\nabcdefgh\nabcdefgi\nabcdefg",
+                     None: "", 6: None, 7: LINES[0], 8: ""}
+
+
 def test_lines_are_removed_and_documents_stay(spark):
     docs = spark.createDataFrame([(*d, 5, "gone") for d in line_docs()], "doc_id long, text string, n_chars long, gone string")
     got = linededup.dedup_lines(docs)
