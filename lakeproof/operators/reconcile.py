@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import as_col
 from ..functions.types import is_numeric
-from ..session import small_frame
+from ..session import cut_lineage, small_frame
 from . import profile
 from .profile import TABLE
-from .skew import quoted
+from .skew import numbered, quoted
 
 # Statement separators, comment starts and verbs a row filter must not contain.
 FORBIDDEN_IN_FILTER = (r";|--|/\*|\b(DROP|TRUNCATE|DELETE|ALTER|GRANT|REVOKE|INSERT|UPDATE|MERGE|CREATE|CALL|EXECUTE"
@@ -307,14 +308,44 @@ def orphan_rows(child: DataFrame, parent: DataFrame, on) -> DataFrame:
 
 # ---- row-level differences ------------------------------------------------------------------
 
+def _within(x: Column, y: Column, tol: Column) -> Column:
+    return x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tol * F.greatest(F.lit(1.0), F.abs(x), F.abs(y)), F.lit(False))
+
+
+def _drifted(rows: DataFrame, grouped: DataFrame, key: list[str], inner: dict[int, tuple[float, Column]]) -> DataFrame:
+    """``grouped`` with ``_drifted``: the columns of which values of equal rank are not within the tolerance.
+
+    ``inner`` has the tolerance of each column ``_v<i>`` and what shows that a key is still undecided. Only keys
+    of three or more rows are ranked (the extremes decide the others). Both sides are numbered by key and value,
+    spread over range partitions, and meet by key and rank: two rows a group, however hot the key.
+    """
+    own = [f"_g{j}" for j in range(len(key))]
+    keyed = [quoted(k).alias(g) for k, g in zip(key, own)]
+    open_keys = grouped.where((F.col("source_rows") > 2) & reduce(lambda a, b: a | b, [same for _, same in inner.values()]))
+    left = rows.select(*keyed, "_sign", *[f"_v{i}" for i in inner])
+    right = open_keys.select(*[quoted(k).alias(f"_o{j}") for j, k in enumerate(key)])
+    kept = left.join(right, [F.col(g).eqNullSafe(F.col(f"_o{j}")) for j, g in enumerate(own)] or [F.lit(True)], "left_semi")
+    cells = kept.select(*own, "_sign", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_v{i}").alias("x")) for i in inner])).alias("_cell"))
+    cells = (cells.select(*own, "_sign", F.col("_cell.i").alias("_column"), F.col("_cell.x").alias("_value")).where("_value is not null")
+             .withColumn("_tie", F.monotonically_increasing_id()))  # equal values of a hot key are spread as well
+    ranked = numbered(cells, ["_value", "_tie"], "_rank", within=[*own, "_column", "_sign"])
+    pairs = ranked.groupBy(*own, "_column", "_rank").agg(
+        F.max(F.when(F.col("_sign") > 0, F.col("_value"))).alias("x"), F.max(F.when(F.col("_sign") < 0, F.col("_value"))).alias("y"))
+    room = F.create_map(*[F.lit(x) for i, (t, _) in inner.items() for x in (i, t)])[F.col("_column")]
+    found = pairs.where(~_within(F.col("x"), F.col("y"), room)).groupBy(*own).agg(F.collect_set("_column").alias("_found"))
+    joined = grouped.join(found, [quoted(k).eqNullSafe(F.col(g)) for k, g in zip(key, own)] or [F.lit(True)], "left")
+    return joined.select(*grouped.columns, F.coalesce("_found", F.array().cast("array<int>")).alias("_drifted"))
+
+
 def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[str] | None = None,
                    tol: float = 0.0, col_tol: dict[str, float] | None = None) -> DataFrame:
     """Keys that are missing, extra, repeated a different number of times, or changed (with the columns).
 
     One aggregate over the union of both sides, no join: repeated keys cannot fan out and a hot key
     is reduced on the map side. A column is compared through the sum of its 64-bit value hashes
-    (source positive, candidate negative); number columns with a tolerance through sum, sum of squares,
-    minimum and maximum of the key's rows on either side.
+    (source positive, candidate negative). Number columns with a tolerance are compared value by value: through
+    the minimum and maximum of the key's rows, and in keys with as many rows on both sides that agree in these,
+    by rank (see ``_drifted``). A tolerance column of a key with another number of rows has changed.
     NULL equals NULL, in keys too.
     """
     names = [c for c in (cols or src.columns) if c.lower() not in {k.lower() for k in key}]
@@ -339,18 +370,17 @@ def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[s
         return F.xxhash64(F.to_json(quoted(c)) if isinstance(both.schema[c].dataType, (T.MapType, T.VariantType)) else quoted(c))
 
     rows = both.select(*[quoted(k) for k in key], "_sign", *[compared(c).alias(f"_v{i}") for i, c in enumerate(names)])
-    aggs, changed = [], []
+    aggs, changed, inner = [], [], {}
     for i, c in enumerate(names):
         v, t = F.col(f"_v{i}"), near(c)
         if t:
-            # sum, sum of squares and extremes: a drift that cancels out within a repeated key shows in the last three
             aggs.append(F.sum(F.when(v.isNull(), F.col("_sign")).otherwise(0)).alias(f"_n{i}"))
-            same = F.col(f"_n{i}") == 0
-            for what, measure, room in (("s", F.sum, t), ("q", lambda x: F.sum(x * x), 2 * t), ("l", F.min, t), ("u", F.max, t)):
+            same = (F.col("source_rows") == F.col("candidate_rows")) & (F.col(f"_n{i}") == 0)
+            for what, measure in (("l", F.min), ("u", F.max)):
                 aggs += [measure(F.when(F.col("_sign") == sign, v)).alias(f"_{what}{i}_{side}") for side, sign in (("a", 1), ("b", -1))]
-                x, y = F.col(f"_{what}{i}_a"), F.col(f"_{what}{i}_b")
-                same = same & (x.eqNullSafe(y) | F.coalesce(
-                    F.abs(x - y) <= F.lit(float(room)) * F.greatest(F.lit(1.0), F.abs(x), F.abs(y)), F.lit(False)))
+                same = same & _within(F.col(f"_{what}{i}_a"), F.col(f"_{what}{i}_b"), F.lit(float(t)))
+            inner[i] = (float(t), same)
+            same = same & ~F.array_contains("_drifted", i)
         else:  # 22 + 21 + 21 bits of the hash: plain long sums that stay exact for 10^12 rows of one key
             parts = (v.bitwiseAND(0x3FFFFF), F.shiftright(v, 22).bitwiseAND(0x1FFFFF), F.shiftrightunsigned(v, 43))
             aggs += [F.sum(F.col("_sign") * part).alias(f"_h{i}_{j}") for j, part in enumerate(parts)]
@@ -359,6 +389,8 @@ def reconcile_rows(src: DataFrame, cand: DataFrame, key: list[str], cols: list[s
     grouped = rows.groupBy(*[quoted(k) for k in key]).agg(
         F.count_if(F.col("_sign") > 0).alias("source_rows"), F.count_if(F.col("_sign") < 0).alias("candidate_rows"),
         *aggs)
+    if inner:
+        grouped = _drifted(rows, cut_lineage(grouped), key, inner)
     columns = F.array_compact(F.array(*changed)) if changed else F.array().cast("array<string>")
     status = (F.when(F.col("candidate_rows") == 0, "missing").when(F.col("source_rows") == 0, "extra")
               .when(F.col("source_rows") != F.col("candidate_rows"), "recount")

@@ -115,6 +115,35 @@ def test_reconcile_rows_against_brute_force(spark):
     assert got == expected
 
 
+def test_one_inner_row_of_a_hot_key_drifts(spark):
+    base = spark.range(2400).selectExpr("if(id < 2000, null, id % 4) as k", "id as n", "if(id % 7 = 0, null, 1e6 + id % 50 - 25) as v", "id % 3 as w")
+    drift = base.withColumn("v", F.when(F.col("n").isin(1205, 2006), F.col("v") * 1.00002).otherwise(F.col("v") * (1 + 1e-7)))
+    got = rec.reconcile_rows(base, drift, ["k"], ["v", "w"], tol=1e-6)
+    assert rows(got, "k", "status", "changed_columns") == [(2, "changed", ["v"]), (None, "changed", ["v"])]
+    many = spark.range(10_000).selectExpr("1 as k", "100.0D + id % 2 as v", "id")
+    one = many.withColumn("v", F.when(F.col("id") == 5000, 100.9).otherwise(F.col("v")))
+    assert rows(rec.reconcile_rows(many, one, ["k"], ["v"], tol=1e-4), "k", "status", "changed_columns") == [(1, "changed", ["v"])]
+
+
+def test_row_tolerance_against_brute_force(spark):
+    rng = random.Random(8)
+    value = lambda: rng.choice([None, 0.0, 5.0, -5.0, 1e5, 2e5, float("nan")])
+    src = [(rng.randint(0, 30), value()) for _ in range(200)]
+    cand = [(k, x if x is None or rng.random() < 0.6 else x * rng.choice([1.0005, 1.01])) for k, x in src if k or rng.random() < 0.5]
+    a, b = (spark.createDataFrame(x, "k int, x double") for x in (src, cand))
+    got = {r["k"]: (r["status"], tuple(r["changed_columns"])) for r in rec.reconcile_rows(a, b, ["k"], tol=1e-3).collect()}
+    near = lambda x, y: x == y or x != x and y != y or abs(x - y) <= 1e-3 * max(1, abs(x), abs(y))
+    want = {}
+    for k in range(31):
+        s, c = ([x for i, x in side if i == k] for side in (src, cand))
+        p, q = (sorted((x for x in side if x is not None), key=lambda x: (x != x, x)) for side in (s, c))
+        if len(s) != len(c):
+            want[k] = ("recount" if c else "missing", ("x",) if c else ())
+        elif len(p) != len(q) or not all(map(near, p, q)):
+            want[k] = ("changed", ("x",))
+    assert got == want and 5 < len(want) < 29
+
+
 def test_rows_compare_across_types(spark):
     a = spark.sql("select 1 as k, 5 as n, '7' as s, cast(2.50 as decimal(5,2)) as d union all select 2, 6, 'x', null")
     b = spark.sql("select 1L as K, 5L as n, 7 as s, 2.5D as d union all select 2L, 6L, 8, null")
