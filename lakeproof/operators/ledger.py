@@ -60,6 +60,12 @@ def file_audit(spark: SparkSession, ledger: str, batch_id: str, source_system: s
     _append(small_frame(spark, [(batch_id, source_system, source_object, layer, row_count, status)], AUDIT_SCHEMA), ledger)
 
 
+def file_audits(counts: DataFrame, ledger: str, batch_id: str, source_system: str, layer: str, status: str = "SUCCEEDED") -> None:
+    """Append one audit row for each ``source_object_name, row_count`` of a frame; a null name is an object of its own."""
+    _append(counts.select(F.lit(batch_id).alias("batch_id"), F.lit(source_system).alias("source_system"), "source_object_name",
+                          F.lit(layer).alias("layer"), F.col("row_count").cast("long").alias("row_count"), F.lit(status).alias("status")), ledger)
+
+
 def file_registry(rows: DataFrame, batch: str, start: int = 1, file_col: str = "_source_file_name",
                   listing: DataFrame | None = None) -> DataFrame:
     """One row per landed file with a consecutive file id from ``start``, its pattern and record count.

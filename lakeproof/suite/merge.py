@@ -149,12 +149,9 @@ def _(t):
 
 @query("file_audit", """SELECT event_type AS source_object_name, 'bronze' AS layer, COUNT(*) AS row_count FROM events GROUP BY 1""")
 def _(t):
-    from ..sources import files
     name = f"audit_{uuid.uuid4().hex[:8]}"
-    for kind in ("click", "error", "purchase", "signup", "view"):
-        df, seen = files.counted(t.events.where(F.col("event_type") == kind))
-        df.write.mode("overwrite").parquet(scratch_path(t.spark, "audit"))
-        ledger.file_audit(t.spark, name, "b1", "app", kind, "bronze", seen.get["rows"])
+    counts = t.events.groupBy(F.col("event_type").alias("source_object_name")).agg(F.count(F.lit(1)).alias("row_count"))
+    ledger.file_audits(counts, name, "b1", "app", "bronze")
     return t.spark.table(name).select("source_object_name", "layer", "row_count")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakeproof.operators import ledger, stitch
 from lakeproof.operators.skew import newest_per_key, numbered
 from lakeproof.sources import writers
+from lakeproof.suite import QUERIES
 
 
 def versions(feed):
@@ -126,3 +127,10 @@ def test_batch_summary_does_not_fan_out(spark):
     files = spark.createDataFrame([("b1", 1), ("b1", 2), ("b1", 2)], "parent_batch_id string, file_id int")
     ing = spark.createDataFrame([("b1", 7), ("b1", 8), ("b1", 9)], "batch_id string, file_id int")
     assert rows(ledger.batch_summary(batches, files, ing)) == [("b1", 2, 3), ("b2", 0, 0)]
+
+
+def test_file_audit_counts_every_event_type(spark, tmp_path):
+    kinds = ["click", "refund", None, None, "view"]
+    spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["source_object_name"], r["layer"]): r["row_count"] for r in QUERIES["file_audit"](spark, str(tmp_path)).collect()}
+    assert got == {("click", "bronze"): 1, ("refund", "bronze"): 1, (None, "bronze"): 2, ("view", "bronze"): 1}
