@@ -18,8 +18,3 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
-
-
-def rows(df, *cols):
-    """All rows as sorted tuples."""
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)

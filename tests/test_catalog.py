@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from lakeproof.operators import catalog, lineage

@@ -1,7 +1,7 @@
 import zipfile
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from lakeproof.functions import scalar, types

@@ -4,7 +4,7 @@ import re
 from contextlib import contextmanager
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from lakeproof.operators import lineage, mapping, profile, quality, reconcile as rec, stitch
