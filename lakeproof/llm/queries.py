@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, linededup, quality, secrets, sharding, simhash, token_counts, topk, toxicity
+from . import bpe, decontaminate, divergence, linededup, negatives, packing, quality, secrets, sharding, simhash, token_counts, topk, toxicity
 from .common import training_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (~training_row()).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.cut_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+OP12_SQL = """
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{80}-\\x{10FFFF}]+') as w
+              from documents),
+words as (select r, lang, source, unnest(w) as t from docs),
+kept as (select lang, t from words group by lang, t having count(distinct r) >= 30),
+sizes as (select lang, count(*) as v from kept group by lang),
+places as (select distinct lang, source from docs),
+hits as (select lang, source, t, count(*) as c from words group by lang, source, t),
+grid as (select p.lang, p.source, k.t, coalesce(h.c, 0) as c, s.v
+         from places p join kept k using (lang) join sizes s using (lang) left join hits h using (lang, source, t)),
+shares as (select lang, source, t, c, 1 + (1000000000::hugeint * (c + 5)) // (sum(c) over (partition by lang, source) + 5 * v) as p,
+                  1 + (1000000000::hugeint * (sum(c) over (partition by lang, t) + 5)) // (sum(c) over (partition by lang) + 5 * v) as q
+           from grid),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.f, 0)::bigint as value
+          from places a join places b on a.lang = b.lang and a.source <> b.source
+          left join (select y.lang, y.source, z.source as other, sum(abs(y.p - z.p)) as f
+                     from shares y join shares z on y.lang = z.lang and y.t = z.t group by all) x
+               on x.lang = a.lang and x.source = a.source and x.other = b.source),
+terms as (select lang, source, 'term' as part, t as item, (p - q)::bigint as value from shares where c > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = """
+with rows as (select distinct vec_id as id, if(vec_id % 7 = 0, (label + 1) % 10, label) as label,
+                     list_transform(embedding, lambda x: floor(256 * x::double)::double) as v
+              from embeddings where vec_id is not null and label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.id as anchor_id, b.id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+           from rows a, rows b where a.id % 100 = 0 and a.id <> b.id),
+positives as (select * from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as integer) as rank,
+       n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+     and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+qualify rank <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
