@@ -53,7 +53,7 @@ class Residues:
             r = np.zeros((len(a), len(b)), np.int64)
             for i in range(0, a.shape[1], SLICE):
                 r += (a[:, i:i + SLICE] @ b[:, i:i + SLICE].T).astype(np.int64)
-            digit = (r if value is None else (r - value) * pow(radix, -1, p)) % p
+            digit = (r if value is None else (r - value) % p * pow(radix, -1, p)) % p
             digit = np.where(digit > p // 2, digit - p, digit)
             value = digit if value is None else value + digit * np.int64(radix)
             radix *= p

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -56,10 +57,15 @@ def test_planning_does_not_grow_with_the_counts():
     assert sequences >= sum(i * 3_000_000_000 for i in range(1, 1025)) / 1024
 
 
-def library_pieces(text, capacity, end):
+@lru_cache
+def library():
     from tokenizers import Tokenizer
 
-    ids = Tokenizer.from_file(JSON).encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(JSON)
+
+
+def library_pieces(text, capacity, end):
+    ids = library().encode(text or "", add_special_tokens=False).ids + [end]
     first = (len(ids) - 1) % capacity + 1
     cuts = [0, *range(first, len(ids) + 1, capacity)]
     return [(k, a, b - a, ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
