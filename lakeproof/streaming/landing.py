@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.skew import newest_per_key
 from ..operators.stitch import stitch_upsert, upsert_partitions
 from ..session import table_exists
+from ..sources import evolving
 from ..sources.writers import recover_table, replace_table
 
 
@@ -35,6 +36,29 @@ def stream_landing(spark: SparkSession, path: str, schema, out: str, checkpoint:
     return writer.start()
 
 
+def stream_evolving(spark: SparkSession, path: str, out: str, checkpoint: str, log_path: str | None = None, fmt: str = "json",
+                    glob: str = "*", mode: str = "add", hints: dict[str, str] | None = None, infer: bool = True, separator: str = ",",
+                    max_files: int = 1000, continuous: str | None = None) -> StreamingQuery:
+    """Append files that arrived since the last run to ``out``, whichever columns they have (see ``sources.evolving``).
+
+    The schema log is kept beside the checkpoint unless ``log_path`` says where. A batch replaces its own folder
+    ``_batch_id=n``, and logging a column twice changes nothing, so a batch delivered again after a crash is harmless.
+    ``sources.evolving.read_landed`` reads the result under the newest schema.
+    """
+    log_path = log_path or f"{checkpoint.rstrip('/')}-schema"
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        cells = evolving.landed_cells(batch, fmt, separator)
+        schema = evolving.evolve(cells, evolving.SchemaLog(batch.sparkSession, log_path), mode, hints, infer)
+        rows = evolving.shaped(cells, schema).withColumn("_ingestion_timestamp", F.current_timestamp())
+        rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/_batch_id={batch_id}")
+
+    lines = evolving.text_lines(spark.readStream.option("maxFilesPerTrigger", max_files), path, glob)
+    writer = lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def upsert_batch(target: str, keys: list[str], order_key: str, by: list[str] | None = None):
     """The per-batch merge; with partition columns ``by`` only the touched partitions are rewritten. Merging the same batch twice changes nothing (the newest row wins, ties go
     to an equal row), so a batch delivered again after a crash is harmless."""

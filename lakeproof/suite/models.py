@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger
 from ..plans import medallion, models, suggest
 from ..session import scratch_path
-from ..sources import files
+from ..sources import evolving, files
 from ..streaming import landing
 from .base import query
 
@@ -219,6 +219,43 @@ def _(t):
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("value").cast("decimal(18,2)")).cast("string").alias("total"))
 
 
+EVOLVED = """WITH e AS (SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id % 3 AS v FROM events)
+SELECT event_id, user_id, CASE WHEN v = 2 AND event_type = 'error' THEN NULL ELSE event_type END AS event_type,
+  CASE WHEN v > 0 AND NOT (v = 2 AND event_type = 'view') THEN round(value, 2) END AS amount, CASE WHEN v = 2 AND k % 2 = 0 THEN k END AS k,
+  CASE WHEN v = 2 AND event_type = 'view' THEN 'amount=n/a' END AS rescued FROM e"""
+
+
+@query("stream_evolving", EVOLVED)
+def _(t):
+    """Three versions of a feed's files: without an amount, with it, and with more columns, other case and cells that do not fit."""
+    inbox, out, mark = (scratch_path(t.spark, n) for n in ("inbox", "bronze", "mark"))
+    e = t.events.select("event_id", "user_id", "event_type", F.round("value", 2).alias("amount"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    kind = F.col("event_type")
+    versions = (e.select("event_id", "user_id", "event_type"), e.select("user_id", "event_id", "event_type", "amount"),
+                e.select(F.col("event_id").alias("Event_ID"), "user_id", F.when(kind != "error", kind).alias("event_type"),
+                         F.when(kind == "view", "n/a").otherwise(F.col("amount").cast("string")).alias("amount"), F.when(F.col("k") % 2 == 0, F.col("k")).alias("k")))
+    for i, rows in enumerate(versions):
+        rows.where(e["event_id"] % 3 == i).write.json(f"{inbox}/{i}")
+        landing.stream_evolving(t.spark, inbox, out, mark, glob="*.json").awaitTermination()
+    rescued = F.from_json("_rescued_data", evolving.CELL)
+    return evolving.read_landed(t.spark, out, f"{mark}-schema").select(
+        "event_id", "user_id", "event_type", "amount", F.col("k").cast("int").alias("k"),
+        F.array_join(F.transform(rescued, lambda c: F.concat(c["column"], F.lit("="), c["value"])), ",").alias("rescued"))
+
+
+@query("read_evolving_csv", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS priority,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS customer FROM orders""")
+def _(t):
+    """CSV files of two headers, the second with other columns in another order, under one schema."""
+    inbox, log = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "schema")
+    old = t.orders.select("o_orderkey", "o_orderstatus").where("o_orderkey % 2 = 0")
+    new = t.orders.where("o_orderkey % 2 = 1").select(F.col("o_orderpriority").alias("priority"), "o_orderstatus", F.col("o_custkey").alias("customer"), "o_orderkey")
+    old.write.option("header", "true").csv(f"{inbox}/old")
+    new.write.option("header", "true").csv(f"{inbox}/new")
+    read = evolving.read_evolving(t.spark, inbox, log, "csv", "*.csv")
+    return read.where("_rescued_data is null").select("o_orderkey", "o_orderstatus", "priority", "customer")
+
+
 @query("stream_upsert", """SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1""")
 def _(t):
