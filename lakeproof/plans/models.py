@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.buckets import create_bucketed, merge_bucketed, newest_merged
 from ..operators.quality import first_filled
 from ..operators.skew import quoted
 from ..operators.stitch import stitch_upsert
@@ -191,9 +192,22 @@ def build_models(spark: SparkSession, models: list[dict], schemas: dict[str, str
     return small_frame(spark, rows, "name string, target string, status string, message string")
 
 
-def incremental_model(spark: SparkSession, fn, table: str, keys: list[str], watermark: str) -> None:
+def incremental_model(spark: SparkSession, fn, table: str, keys: list[str], watermark: str, slices: int | None = None) -> None:
     """First build complete, later builds merged: ``fn(spark, since)`` returns the rows whose watermark
-    is at or after ``since`` (NULL on the first build)."""
+    is at or after ``since`` (NULL on the first build).
+
+    With ``slices`` the table is bucketed by its key (``operators.buckets``): a later build rewrites only the slices its
+    rows fall into and knows ``since`` without reading the table. Without, the whole table is written again.
+    """
+    if slices:
+        if not table_exists(spark, table):
+            create_bucketed(fn(spark, None), table, keys, watermark, slices)
+            return
+        kind = spark.table(table).schema[watermark].dataType
+        newest = newest_merged(spark, table)
+        since = spark.range(1).select(F.lit(newest).cast(kind)).first()[0]
+        merge_bucketed(table, fn(spark, since))
+        return
     if not table_exists(spark, table):
         fn(spark, None).write.format("parquet").saveAsTable(table)
         return

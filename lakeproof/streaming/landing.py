@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.buckets import upsert_bucketed
 from ..operators.skew import newest_per_key
 from ..operators.stitch import stitch_upsert, upsert_partitions
 from ..session import table_exists
@@ -59,11 +60,15 @@ def stream_evolving(spark: SparkSession, path: str, out: str, checkpoint: str, l
     return writer.start()
 
 
-def upsert_batch(target: str, keys: list[str], order_key: str, by: list[str] | None = None):
-    """The per-batch merge; with partition columns ``by`` only the touched partitions are rewritten. Merging the same batch twice changes nothing (the newest row wins, ties go
-    to an equal row), so a batch delivered again after a crash is harmless."""
+def upsert_batch(target: str, keys: list[str], order_key: str, by: list[str] | None = None, slices: int | None = None):
+    """The per-batch merge; with partition columns ``by`` only the touched partitions are rewritten, with ``slices`` the touched
+    slices of a bucketed table (see ``operators.buckets``), else the table. Merging the same batch twice changes nothing
+    (the newest row wins, ties go to an equal row), so a batch delivered again after a crash is harmless."""
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if slices:
+            upsert_bucketed(target, batch, keys, order_key, slices)
+            return
         if by:
             upsert_partitions(target, batch, keys, order_key, by)
             return
@@ -76,7 +81,8 @@ def upsert_batch(target: str, keys: list[str], order_key: str, by: list[str] | N
 
 
 def stream_upsert(stream: DataFrame, target: str, keys: list[str], order_key: str, checkpoint: str,
-                  repeats: str | None = None, by: list[str] | None = None, continuous: str | None = None) -> StreamingQuery:
+                  repeats: str | None = None, by: list[str] | None = None, continuous: str | None = None,
+                  slices: int | None = None) -> StreamingQuery:
     """Merge a change stream into a table, one micro-batch at a time.
 
     ``repeats`` (``'1 hour'``) drops events delivered again within that time of event time before they
@@ -85,6 +91,6 @@ def stream_upsert(stream: DataFrame, target: str, keys: list[str], order_key: st
     if repeats:
         timed = stream.withColumn("_event_time", F.col(order_key).cast("timestamp")).withWatermark("_event_time", repeats)
         stream = timed.dropDuplicatesWithinWatermark([*keys, order_key]).drop("_event_time")
-    writer = stream.writeStream.foreachBatch(upsert_batch(target, keys, order_key, by)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(upsert_batch(target, keys, order_key, by, slices)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
     return writer.start()

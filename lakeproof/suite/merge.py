@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger, measures, quality, reconcile, stitch
+from ..operators import buckets, ledger, measures, quality, reconcile, stitch
 from ..operators.skew import numbered
 from ..session import cut_lineage, scratch_path
 from ..sources import writers
@@ -72,6 +72,23 @@ def _(t):
     return t.spark.table(name).select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"))
 
 
+@query("merge_bucketed", f"""WITH {BATCH}, c AS (SELECT * REPLACE (o_totalprice + 1 AS o_totalprice, o_orderdate + INTERVAL 1 DAY AS o_orderdate) FROM orders WHERE o_custkey % 4 = 0),
+u AS (SELECT *, 0 AS f FROM orders UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c)
+SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, f DESC) AS rn FROM u)
+WHERE rn = 1 AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH')""")
+def _(t):
+    """Two batches and then deletions, merged into buckets that are never shuffled."""
+    name = f"orders_{uuid.uuid4().hex[:8]}"
+    buckets.create_bucketed(t.orders, name, ["o_orderkey"], "o_orderdate", slices=8, buckets=4)
+    buckets.merge_bucketed(name, order_batch(t.orders))
+    later = t.orders.where("o_custkey % 4 = 0").withColumns({"o_totalprice": F.col("o_totalprice") + 1, "o_orderdate": F.expr("o_orderdate + interval 1 day")})
+    buckets.merge_bucketed(name, later)
+    gone = t.orders.where("o_orderpriority = '2-HIGH'").select("o_orderkey", F.lit("2099-01-01").cast("timestamp_ntz").alias("o_orderdate"), F.lit(True).alias("gone"))
+    buckets.merge_bucketed(name, gone, deleted="gone")
+    return buckets.read_bucketed(t.spark, name).select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"))
+
+
 @query("stitch_delete_flag", f"""WITH {BATCH}, n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC) AS rn FROM b)
 SELECT o_orderkey, o_totalprice, 'N' AS is_deleted FROM n WHERE rn = 1
 UNION ALL SELECT o_orderkey, o_totalprice, 'Y' FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)""")

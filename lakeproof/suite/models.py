@@ -12,7 +12,7 @@ from ..plans import medallion, models, suggest
 from ..session import scratch_path
 from ..sources import evolving, files
 from ..streaming import landing
-from .base import query
+from .base import SQL, query
 
 
 def table_name(prefix):
@@ -66,6 +66,16 @@ def _(t):
 
 @query("incremental_model", """SELECT user_id, COUNT(DISTINCT event_type) AS kinds, 1 AS versions FROM events GROUP BY user_id""")
 def _(t):
+    return last_events(t, None)
+
+
+@query("incremental_model_bucketed", SQL["incremental_model"])
+def _(t):
+    return last_events(t, 4)
+
+
+def last_events(t, slices):
+    """One row for each user, built in three increments."""
     name = table_name("last_event")
 
     def build(upto):
@@ -76,7 +86,7 @@ def _(t):
         return fn
 
     for upto in ("2024-01-10", "2024-01-20", "2025-01-01"):
-        models.incremental_model(t.spark, build(upto), name, ["user_id"], "ts")
+        models.incremental_model(t.spark, build(upto), name, ["user_id"], "ts", slices)
     return t.spark.table(name).groupBy("user_id").agg(F.max("kinds").alias("kinds"), F.count(F.lit(1)).alias("versions"))
 
 

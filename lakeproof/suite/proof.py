@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import profile, reconcile
-from .base import query
+from ..operators import profile, ranges, reconcile
+from ..session import cut_lineage
+from .base import SQL, query
 
 ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
@@ -207,6 +208,41 @@ def _(t):
                                     col_tol={"o_totalprice": 1e-4}).select("o_orderkey", "status")
 
 
+@query("reconcile_rows_by_ranges", SQL["reconcile_rows"])
+def _(t):
+    found = ranges.reconcile_rows_by_ranges(t.orders, rebuilt_orders(t.orders), ["o_orderkey"])
+    return found.select("o_orderkey", "status", F.array_join("changed_columns", ",").alias("changed"))
+
+
+@query("reconcile_rows_by_ranges_repeated_keys", """WITH c AS (SELECT * REPLACE (CASE WHEN l_orderkey % 97 = 5 THEN l_tax + 1 ELSE l_tax END AS l_tax)
+  FROM lineitem WHERE NOT (l_orderkey % 89 = 3 AND l_returnflag = 'R')),
+s AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS n, SUM(CAST(l_tax AS DECIMAL(18,2))) AS x FROM lineitem GROUP BY ALL),
+k AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS m, SUM(CAST(l_tax AS DECIMAL(18,2))) AS y FROM c GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, CASE WHEN m IS NULL THEN 'missing' WHEN m <> n THEN 'recount' ELSE 'changed' END AS status,
+       n AS source_rows, coalesce(m, 0) AS candidate_rows FROM s LEFT JOIN k USING (l_orderkey, l_linenumber) WHERE m IS DISTINCT FROM n OR x <> y""")
+def _(t):
+    taxed = t.lineitem.withColumn("l_tax", F.when(F.col("l_orderkey") % 97 == 5, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    cand = taxed.where("not (l_orderkey % 89 = 3 and l_returnflag = 'R')")
+    return ranges.reconcile_rows_by_ranges(t.lineitem, cand, ["l_orderkey", "l_linenumber"]).drop("changed_columns")
+
+
+@query("range_digests", f"""WITH {REBUILT}, b AS (SELECT least(min(s), min(c)) AS low, greatest(max(s), max(c)) AS high FROM (
+    SELECT o_orderkey AS s, NULL AS c FROM orders UNION ALL SELECT NULL, o_orderkey FROM cand)),
+w AS (SELECT low, (high - low + 1 + 1023) // 1024 AS width FROM b),
+s AS (SELECT (o_orderkey - low) // width AS n, COUNT(*) AS source_rows, list(o_totalprice ORDER BY o_orderkey) AS v, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders, w GROUP BY 1),
+c AS (SELECT (o_orderkey - low) // width AS n, COUNT(*) AS candidate_rows, list(o_totalprice ORDER BY o_orderkey) AS v, list(o_orderkey ORDER BY o_orderkey) AS k FROM cand, w GROUP BY 1)
+SELECT CAST(n AS INTEGER) AS "range", coalesce(source_rows, 0) AS source_rows, coalesce(candidate_rows, 0) AS candidate_rows
+FROM s FULL OUTER JOIN c USING (n) WHERE s.k IS DISTINCT FROM c.k OR s.v IS DISTINCT FROM c.v""")
+def _(t):
+    """The ranges of orders that differ, and the rows of each side in them, from digests alone."""
+    cand = rebuilt_orders(t.orders)
+    plan = ranges.plan_ranges(t.orders, cand, ["o_orderkey"], fanout=32)
+    a, b = (cut_lineage(ranges.range_digests(df, plan)) for df in (t.orders, cand))
+    found, _ = ranges.differing_ranges(a, b, plan)
+    counts = a.select("range", F.col("rows").alias("source_rows")).join(b.select("range", F.col("rows").alias("candidate_rows")), "range", "full_outer")
+    return counts.where(F.col("range").isin(found)).na.fill(0)
+
+
 @query("reconcile_rows_repeated_keys", """WITH c AS (SELECT * FROM lineitem WHERE l_returnflag <> 'R'),
 s AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY ALL),
 k AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS m FROM c GROUP BY ALL)
