@@ -17,16 +17,16 @@ from .common import bounded_batches, staged, text_of
 LEAST_DOCS, TOP = 30, 50
 #: Added to every count, and what a share of one is worth.
 PRIOR, UNIT = 5, 1_000_000_000
-#: Terms of a chunk and sources of a tile that one task compares, and distinct terms a worker holds before it passes them on.
-CHUNK, TILE, HELD = 4096, 256, 200_000
+#: Terms of a chunk and sources of a tile that one task compares, and terms of groups that a worker holds (some 150 MB) before it passes them on.
+CHUNK, TILE, HELD = 4096, 256, 1_000_000
 
 #: Every byte that is no letter of ASCII and no part of a longer character becomes a blank; A-Z become a-z.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted_terms(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """``lang, source, term, n, d``: occurrences and documents of each term among the rows of a task; and one
-    row without term for each group, which stands for the group where no term does."""
+    row without term for each group, which stands for the group where no term does. At most ``most`` terms are held beyond a batch."""
     held: dict[tuple, tuple[Counter, Counter]] = {}
 
     def passed_on() -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             words = text.translate(LETTERS).split()
             n.update(words)
             d.update(set(words))
-        if sum(len(n) for n, _ in held.values()) > HELD:
+        if sum(len(n) for n, _ in held.values()) > most:
             yield from passed_on()
     yield from passed_on()
 
@@ -66,7 +66,8 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 def staged_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str, digest_bits: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
     read = docs.select(text_of(lang_col), text_of(source_col), text_of(text_col).cast("binary"))
-    counts = read.mapInArrow(counted_terms, "lang string, source string, term string, n long, d long")
+    most = HELD
+    counts = read.mapInArrow(lambda batches: counted_terms(batches, most), "lang string, source string, term string, n long, d long")
     digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits)
     return staged(counts.withColumn("digest", F.when(F.col("term").isNotNull(), digest)), "terms")
 
@@ -82,7 +83,7 @@ def kept_terms(found: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]
     wide = summed.withColumn("docs", F.sum("d").over(Window.partitionBy("lang", "digest")))
     candidates = staged(wide.where(F.col("docs") >= least_docs).select("lang", "source", "digest", "n"), "candidates")
 
-    wanted = candidates.select("lang", "digest").distinct()
+    wanted = staged(candidates.select("lang", "digest").distinct(), "wanted")  # a table of its own: Spark sends it to the tasks while it is small
     texts = staged(found.select("lang", "digest", "term").join(wanted, ["lang", "digest"], "left_semi")
                    .groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
     shared = texts.where("low <> high").select("lang", "digest")

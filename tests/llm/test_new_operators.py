@@ -167,6 +167,13 @@ def test_audit_without_kept_terms_without_rows_and_in_many_flushes(spark, monkey
     docs = spark.createDataFrame([(r["text"], r["lang"], r["source"]) for r in rows], "text string, lang string, source string")
     got = divergence.audit_sources(docs, least_docs=1000)
     assert sorted(map(tuple, got.collect())) == plain_audit(rows, 1000, 50)
+    monkeypatch.setattr(divergence, "HELD", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        passed_on = divergence.audit_sources(docs, least_docs=3)
+        assert sorted(map(tuple, passed_on.collect())) == plain_audit(rows, 3, 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert divergence.audit_sources(docs.where("false")).collect() == []
 
 
