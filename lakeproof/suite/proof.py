@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import profile, ranges, reconcile
-from ..session import cut_lineage
+from ..operators import profile, ranges, reconcile, states
+from ..session import cut_lineage, scratch_path, small_frame
+from ..sources import writers
 from .base import SQL, query
 
 ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -90,6 +91,37 @@ def _(t):
     return profile.column_fingerprint(t.documents, ["text", "lang", "source"])
 
 
+CHANGED_LINES = """changed AS (SELECT * REPLACE (CASE WHEN l_returnflag = 'R' THEN l_quantity + 1 ELSE l_quantity END AS l_quantity)
+  FROM lineitem WHERE NOT (l_returnflag = 'N' AND l_linestatus = 'F'))"""
+STATE_COLUMNS = [c for c in LINEITEM if c not in ("l_returnflag", "l_linestatus")]
+
+
+@query("fingerprint_states", f"""WITH {CHANGED_LINES}, p AS (SELECT COUNT(DISTINCT (l_returnflag, l_linestatus)) AS n FROM lineitem),
+r AS (SELECT COUNT(DISTINCT (l_returnflag, l_linestatus)) AS n FROM changed WHERE l_returnflag = 'R'), f AS (
+{TABLE_COUNT.format('changed')} UNION ALL {fingerprint_sql('changed', STATE_COLUMNS)})
+SELECT "column", metric, CASE WHEN metric = 'distinct' THEN 'within 5 %' ELSE value END AS value FROM f
+UNION ALL SELECT '*', 'partitions_read', n || ', ' || (SELECT n FROM r) FROM p""")
+def _(t):
+    """Lineitem by flag and status: one flag's partitions change, one partition goes, and only the changed are read again."""
+    path, kept = scratch_path(t.spark, "lines"), scratch_path(t.spark, "states")
+    by = ["l_returnflag", "l_linestatus"]
+    t.lineitem.write.partitionBy(*by).parquet(path)
+    _, first = states.refresh_states(t.spark, path, by, kept, STATE_COLUMNS, scale=2)
+    kinds = t.spark.read.parquet(path)
+    with writers.dynamic_overwrite(t.spark):
+        more = kinds.where("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") + 1)
+        cut_lineage(more).write.mode("overwrite").partitionBy(*by).parquet(path)
+    gone = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/l_returnflag=N/l_linestatus=F")
+    gone.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    held, second = states.refresh_states(t.spark, path, by, kept, STATE_COLUMNS, scale=2)
+    found = states.merged_fingerprint(held, STATE_COLUMNS)
+    exact = profile.distinct_counts(t.spark.read.parquet(path), STATE_COLUMNS).select("column", F.lit("distinct").alias("metric"), "n")
+    near = F.abs(F.col("value").cast("double") - F.col("n")) <= 3 * states.sketch_error() * F.col("n")
+    shown = F.when(F.col("metric") == "distinct", F.when(near, "within 5 %").otherwise(F.col("value"))).otherwise(F.col("value"))
+    reads = small_frame(t.spark, [("*", "partitions_read", f"{first}, {second}")], "column string, metric string, value string")
+    return found.join(exact, ["column", "metric"], "left").select("column", "metric", shown.alias("value")).unionByName(reads)
+
+
 def equal_sql(a: str, b: str, tol: str) -> str:
     na, nb = f"TRY_CAST({a} AS DOUBLE)", f"TRY_CAST({b} AS DOUBLE)"
     return (f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN true WHEN {a} IS NULL OR {b} IS NULL THEN false "
