@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import as_col, base_name, canonical_layer, norm_name
 from ..session import cut_lineage, small_frame
+from .order import condensed_levels, cycle_components, topo_levels  # noqa: F401  (the order of a lineage graph)
 
 NAME = r"([a-zA-Z_][\w$]*(?:\.[a-zA-Z_\"`][\w$\"`]*){0,2})"
 
@@ -346,41 +347,6 @@ def closure_edges(edges: DataFrame, closure: DataFrame) -> DataFrame:
             .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns))
 
 
-#: Rounds of levels after which the counts of freed edges are summed up.
-COMPACT_ROUNDS = 8
-
-
-def topo_levels(edges: DataFrame) -> DataFrame:
-    """Execution level of every node: 0 without predecessors, else one more than the deepest one.
-
-    The edges and the in-degree of every node are written once. Each round counts the edges that leave
-    the nodes just placed by their ends; an end is placed next when all its edges are accounted for.
-    Only these counts and the newly placed nodes are written, and the counts are summed up every few
-    rounds. Nodes that are never placed lie on or behind a cycle: level NULL, ``cyclic`` true.
-    """
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    degree = cut_lineage(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree")))
-    ready = cut_lineage(links.select(F.col("src").alias("id")).distinct().join(degree, "id", "left_anti"))
-    level, placed, freed = 0, [], None
-    while not ready.isEmpty():
-        placed.append(ready.select("id", F.lit(level).alias("level"), F.lit(False).alias("cyclic")))
-        step = cut_lineage(links.join(ready.withColumnRenamed("id", "src"), "src")
-                           .groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
-        freed = step if freed is None else freed.unionByName(step)
-        if level % COMPACT_ROUNDS == COMPACT_ROUNDS - 1:
-            freed = cut_lineage(freed.groupBy("id").agg(F.sum("n").alias("n")))
-        total = freed.join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
-        ready = cut_lineage(total.join(degree, "id").where("n = degree").select("id"))
-        level += 1
-    everyone = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
-    if placed:
-        everyone = everyone.join(reduce(DataFrame.unionByName, [p.select("id") for p in placed]), "id", "left_anti")
-    out = everyone.select("id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic"))
-    for part in placed:
-        out = out.unionByName(part)
-    return out
-
-
 # ---- jobs -----------------------------------------------------------------------------------
 
 def classify_jobs(io: DataFrame, catalog: DataFrame, scripts: DataFrame | None = None) -> DataFrame:

@@ -42,6 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet below the checkpoint folder and read again: cut lineage with pruned reads and a known size,
+    by which Spark chooses its joins (survives lost executors)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few configuration rows as literals in the plan (no Python data to ship to tasks)."""
     fields = T.StructType.fromDDL(schema).fields

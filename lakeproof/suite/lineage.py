@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, lineage, measures
@@ -243,6 +244,31 @@ def _(t):
     return lineage.topo_levels(key_edges(t))
 
 
+RINGS = """m AS (SELECT 'c' || c_custkey AS id, c_custkey AS k, c_nationkey AS n, c_custkey // 8 AS b, row_number() OVER (PARTITION BY c_custkey // 8 ORDER BY c_custkey) - 1 AS p,
+  COUNT(*) OVER (PARTITION BY c_custkey // 8) AS many FROM customer), g AS (SELECT *, b % 2 = 0 AND many > 1 AS ring, MIN(id) OVER (PARTITION BY b) AS least FROM m)"""
+
+
+def ring_edges(t):
+    """Customers in blocks of eight, every second block a ring, the others chains; their nation before, their orders behind."""
+    block = Window.partitionBy(F.expr("c_custkey div 8"))
+    c = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), "c_custkey", "c_nationkey", F.expr("c_custkey div 8").alias("b"),
+                          F.lead(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).over(block.orderBy("c_custkey")).alias("next"),
+                          F.min_by(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_custkey").over(block).alias("first"))
+    on = c.select(F.col("id").alias("src"), F.coalesce("next", F.when(F.expr("b % 2 = 0 and first <> id"), F.col("first"))).alias("dst")).where("dst is not null")
+    top = c.where("id = first").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("src"), F.col("id").alias("dst"))
+    orders = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
+    return on.unionByName(top).unionByName(orders)
+
+
+@query("condensed_levels", f"""WITH {RINGS}, o AS (SELECT 'o' || o_orderkey AS id, CASE WHEN k IS NULL THEN 1 WHEN ring THEN 2 ELSE 2 + p END AS level, k IS NULL AS stray, o_custkey
+  FROM orders LEFT JOIN g ON k = o_custkey)
+SELECT id, CASE WHEN ring THEN least ELSE id END AS component, CASE WHEN ring THEN many ELSE 1 END AS members, ring AS cyclic, CASE WHEN ring THEN 1 ELSE 1 + p END AS level FROM g
+UNION ALL SELECT DISTINCT 'n' || n, 'n' || n, 1, false, 0 FROM g WHERE p = 0
+UNION ALL SELECT id, id, 1, false, level FROM o UNION ALL SELECT DISTINCT 'c' || o_custkey, 'c' || o_custkey, 1, false, 0 FROM o WHERE stray""")
+def _(t):
+    return lineage.condensed_levels(ring_edges(t))
+
+
 # ---- catalogue analytics --------------------------------------------------------------------
 
 DUPS = f"""{CATALOG}, m AS (SELECT split_part(lower(full_name), '.', -1) AS base_name, system, cols FROM cat),
