@@ -44,6 +44,7 @@ def topo_levels(edges: DataFrame) -> DataFrame:
     kind = both.schema["src"].dataType.simpleString()
     links = both.select("src", "dst", F.lit(1).alias("w"), F.lit(NEVER).alias("c"))  # a level is at least c, and w beyond src
     degree = staged(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "degree")
+    behind = degree.select("id")
     placed = Rounds(spark, "placed", f"id {kind}, level int")
     counted = Rounds(spark, "counted", f"id {kind}, n long, level int, degree long")
     ready = placed.add(links.select(F.col("src").alias("id")).distinct().join(degree, "id", "left_anti").select("id", F.lit(0).alias("level")))
@@ -65,9 +66,8 @@ def topo_levels(edges: DataFrame) -> DataFrame:
     for more in reversed(hung):
         level = F.greatest("c", F.col("level") + F.col("w")).alias("level")
         known = staged(known.unionByName(more.join(known.withColumnRenamed("id", "head"), "head").select("id", level)), "known")
-    everyone = both.select(F.col("src").alias("id")).unionByName(both.select(F.col("dst").alias("id"))).distinct()
-    return (everyone.join(known.groupBy("id").agg(F.max("level").alias("level")), "id", "left")
-            .select("id", "level", F.col("level").isNull().alias("cyclic")))
+    never = behind.join(known, "id", "left_anti")  # a node without predecessors is placed at once
+    return known.select("id", "level", F.lit(False).alias("cyclic")).unionByName(never.select("id", F.lit(None).cast("int").alias("level"), F.lit(True).alias("cyclic")))
 
 
 def _contracted(links: DataFrame, placed: DataFrame, counted: DataFrame, ready: DataFrame) -> tuple:
