@@ -19,6 +19,8 @@ LEAST_DOCS, TOP = 30, 50
 PRIOR, UNIT = 5, 1_000_000_000
 #: Terms of a chunk and sources of a tile that one task compares, and terms of groups that a worker holds (some 150 MB) before it passes them on.
 CHUNK, TILE, HELD = 4096, 256, 1_000_000
+#: Kept digests that are sent to all tasks (some 20 MB); more are joined by a shuffle.
+SENT = 500_000
 
 #: Every byte that is no letter of ASCII and no part of a longer character becomes a blank; A-Z become a-z.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -68,24 +70,24 @@ def staged_terms(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
     read = docs.select(text_of(lang_col), text_of(source_col), text_of(text_col).cast("binary"))
     most = HELD
     counts = read.mapInArrow(lambda batches: counted_terms(batches, most), "lang string, source string, term string, n long, d long")
-    digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits)
-    return staged(counts.withColumn("digest", F.when(F.col("term").isNotNull(), digest)), "terms")
+    digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits)  # made again by each pass: cheaper than stored
+    return staged(counts, "terms").withColumn("digest", F.when(F.col("term").isNotNull(), digest))
 
 
 def kept_terms(found: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
     """``lang, source, digest, split, n`` of every kept term and group it occurs in, and ``lang, digest, low``.
 
-    Only digests travel to be added up. The least and greatest string of each kept digest of a language then
-    tell whether several terms share it; only such a digest is counted again by its strings (``split``, null elsewhere).
+    Counts travel by digest alone, in hash aggregates that every task reduces first: documents of each digest, then, for digests
+    that reach ``least_docs``, occurrences in each source. The least and greatest string of each kept digest tell whether several
+    terms share it; only such a digest is counted again by its strings (``split``, null elsewhere).
     """
-    digests = found.where("digest is not null").select("lang", "source", "digest", "n", "d").repartition("lang", "digest")
-    summed = digests.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    wide = summed.withColumn("docs", F.sum("d").over(Window.partitionBy("lang", "digest")))
-    candidates = staged(wide.where(F.col("docs") >= least_docs).select("lang", "source", "digest", "n"), "candidates")
-
-    wanted = staged(candidates.select("lang", "digest").distinct(), "wanted")  # a table of its own: Spark sends it to the tasks while it is small
-    texts = staged(found.select("lang", "digest", "term").join(wanted, ["lang", "digest"], "left_semi")
-                   .groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
+    docs = found.where("digest is not null").groupBy("lang", "digest").agg(F.sum("d").alias("docs"))
+    wanted = staged(docs.where(F.col("docs") >= least_docs).select("lang", "digest"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    near = found.join(wanted, ["lang", "digest"], "left_semi")
+    candidates = staged(near.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n")), "candidates")
+    spelt = near.select("lang", "digest", "term").distinct()  # a hash aggregate; extremes of strings would sort all rows
+    texts = staged(spelt.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "texts")
     shared = texts.where("low <> high").select("lang", "digest")
     apart = (found.join(shared, ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", "term")
              .agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
