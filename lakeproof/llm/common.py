@@ -102,47 +102,41 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([parent[x] for x in part], pa.int64()), pa.array(part, pa.int64())], ["a", "b"])
 
 
-#: Links that one task may unite at most (some 20 MB); more go through the distributed rounds.
-ONE_TASK_LINKS = 200_000
-
-
-def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 90) -> DataFrame:
     """Connected components of the edges ``a, b`` (long): one row ``node, component`` per node that is not the smallest.
 
-    ``component`` is the smallest node reachable; nodes without a row are their own component. Every
-    partition first reduces its edges to a forest; then rounds of hooking each node's larger (large star)
-    and smaller (small star) neighbours to its smallest one run until nothing changes. Minima are
-    aggregates with map-side reduction and joins are of staged rows, so one hub of any degree is split.
-    Where no more than ``one_task`` links are left after the first step, one more union-find ends it.
+    ``component`` is the smallest node reachable; nodes without a row are their own component. Every partition first reduces
+    its edges to a forest. Then rounds contract the graph: each node moves to its first neighbour if that comes before
+    itself, links are renamed and those within a node dropped, so the live links shrink; the moves are kept apart and composed at
+    the end. Two rounds of three go by number, which draws any star together, the third by a hash, which halves
+    any path. First neighbours are aggregates with map-side reduction and joins are of staged rows, so one hub of any degree is split.
     """
     out = "a long, b long"
-
-    def reduced(df: DataFrame, name: str) -> DataFrame:
-        forest = df.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").mapInArrow(local_forest, out)
-        return staged(forest.distinct(), name)
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    now = staged(edges.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").mapInArrow(local_forest, out), "edges")
-    before = state(now)
-    if before[0] <= one_task:
-        return staged(now.coalesce(1).mapInArrow(local_forest, out), "forest").selectExpr("b node", "a component")
-    for _ in range(max_rounds if before[0] else 0):
-        both = now.unionByName(now.selectExpr("b a", "a b"))
-        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a u", "least(a, m) m"), "least")
-        now = reduced(both.where("b > a").join(least, F.col("a") == F.col("u")).selectExpr("m a", "b"), "large")
-        least = staged(now.groupBy("b").agg(F.min("a").alias("m")).selectExpr("b u", "m"), "least")
-        linked = now.join(least, F.col("b") == F.col("u"))
-        now = reduced(linked.selectExpr("inline(array(struct(m a, a b), struct(m a, b b))) as (a, b)"), "small")
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
+    live = staged(edges.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").mapInArrow(local_forest, out), "edges")
+    moves: list[DataFrame] = []
+    while not live.isEmpty():
+        if len(moves) == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.selectExpr("b node", "a component")
+        by_hash = len(moves) % 3 == 2
+        place = [f"xxhash64({{0}}, {len(moves)})", "{0}"] if by_hash else ["{0}"]
+        of_v, of_u = (f"struct({', '.join(x.format(c) for x in place)})" for c in ("v", "u"))
+        both = live.selectExpr("a u", "b v").unionByName(live.selectExpr("b u", "a v"))
+        first = both.groupBy("u").agg(F.expr(f"min({of_v})").alias("first"), F.expr(f"min_by(v, {of_v})").alias("top"))
+        moved = staged(first.where(f"first < {of_u}").select("u", "top"), "moved")
+        left = live.join(moved, F.col("a") == F.col("u"), "left").selectExpr("coalesce(top, a) a", "b")
+        right = left.join(moved, F.col("b") == F.col("u"), "left").selectExpr("a", "coalesce(top, b) b")
+        live = staged(right.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "live")
+        moves.append(moved)
+    if not moves:
+        return live.selectExpr("b node", "a component")
+    known = moves[-1]
+    for moved in reversed(moves[:-1]):
+        after = known.selectExpr("u t", "top last")  # a node that others moved to has stayed, and its later move counts
+        gone = moved.join(after.select("t"), F.col("u") == F.col("t"), "left_anti")
+        known = staged(known.unionByName(gone.join(after, F.col("top") == F.col("t"), "left").selectExpr("u", "coalesce(last, top) top")), "known")
+    least = staged(known.groupBy("top").agg(F.min("u").alias("m")).selectExpr("top t", "least(top, m) component"), "least")
+    members = known.where("u <> top").unionByName(least.selectExpr("t u", "t top"))
+    return members.join(least, F.col("top") == F.col("t")).where("u <> component").selectExpr("u node", "component")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -16,8 +16,8 @@ from .common import bounded_batches, components, fresh, mixed, staged, text_of
 from .groups import edges_batch, forest, in_units, runs
 
 #: Characters of a shingle, the least Jaccard similarity, and the least characters of a line that gets a row
-#: unless the caller asks for shorter ones.
-SHINGLE, SIMILARITY, LEAST_CHARS = 8, 0.8, 20
+#: unless the caller asks for longer ones: every line that is not blank.
+SHINGLE, SIMILARITY, LEAST_CHARS = 8, 0.8, 1
 #: Bands and rows of the signature: a pair of similarity 0.8 shares a band with a probability of 99.5 %.
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
@@ -262,7 +262,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", chunk_chars: int = CHU
     groups = candidates.selectExpr("component group", "node member")
     groups = staged(groups.unionByName(groups.selectExpr("group", "group member").distinct()), "groups")
     found = texts.mapInArrow(partial(lines_with_text, least_chars=least_chars), "id long, line string").join(groups, F.col("id") == F.col("member"))
-    found = staged(found.select("group", "id", "line", F.length("line").cast("long").alias("chars")), "candidates")
+    once = found.select("group", "id", "line").dropDuplicates(["id"])  # a common line comes from many batches
+    found = staged(once.withColumn("chars", F.length("line").cast("long")), "candidates")
     verified = in_units(found, "group", "id", chunk_chars, "chars").select("group", "unit", "id", "line").mapInArrow(similar, "a long, b long")
     classes = staged(components(verified), "classes")
     rooted = staged(lines.join(classes, F.col("id") == F.col("node"), "left")
