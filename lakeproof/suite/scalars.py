@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as L
+from ..functions import variant
 from .base import query
 
 
@@ -85,6 +86,52 @@ def _(t):
                            F.coalesce(L.json_path("props", "$.none", "int"), F.lit(-1)).alias("absent"))
 
 
+@query("variant_access", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{"k":' || json_extract_string(props, '$.k') || '}' AS whole,
+  CAST(NULL AS INTEGER) AS absent FROM events""")
+def _(t):
+    v = variant.parse_variant("props")
+    return t.events.select("event_id", variant.variant_at(v, "k", "int").alias("k"), variant.variant_at(v, "$").alias("whole"), variant.variant_at(v, "k.z[0]", "int").alias("absent"))
+
+
+def event_documents(t):
+    """Every event as nested JSON: its user with the properties as an object, and a list."""
+    props = F.from_json("props", "k int")
+    return t.events.select("event_id", F.to_json(F.struct(
+        F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id"), props.alias("props")).alias("user"), F.array("event_type", F.lit("x")).alias("tags"))).alias("doc"))
+
+
+@query("variant_flatten", """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, unnest(['id', 'user', 'tags', 'user.id', 'user.props', 'tags[0]', 'tags[1]', 'user.props.k']) AS path,
+  unnest([NULL, NULL, NULL, NULL, NULL, 0, 1, NULL]) AS "index",
+  unnest([event_id::varchar, '{"id":' || user_id || ',"props":{"k":' || k || '}}', '["' || event_type || '","x"]', user_id::varchar, '{"k":' || k || '}', event_type, 'x', k::varchar]) AS value FROM e""")
+def _(t):
+    docs = event_documents(t).select("event_id", variant.parse_variant("doc").alias("doc"))
+    flat = variant.flatten_variant(docs, "doc", recursive=True)
+    return flat.select("event_id", "path", "index", variant.variant_at("value", "$").alias("value"))
+
+
+@query("variant_flatten_keyless", """SELECT i AS "index", COUNT(*) AS n, COUNT(DISTINCT v) AS kinds FROM (
+  SELECT unnest([0, 1, 2]) AS i, unnest([conv_id::varchar, turn::varchar, role]) AS v FROM conversations) GROUP BY 1""")
+def _(t):
+    """Conversations as lists without keys."""
+    lists = t.conversations.select(variant.parse_variant(F.concat(
+        F.lit("["), F.concat_ws(",", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.concat(F.lit('"'), F.col("role"), F.lit('"'))), F.lit("]"))).alias("doc"))
+    flat = variant.flatten_variant(lists, "doc")
+    return flat.groupBy("index").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(variant.variant_at("value", "$")).alias("kinds"))
+
+
+@query("variant_documents", """SELECT event_id, event_id AS id, user_id AS owner, event_type AS tag, CASE WHEN event_id % 2 = 0 THEN floor(value)::bigint::varchar ELSE 'n/a' END AS amount FROM events""")
+def _(t):
+    """Documents of two shapes, typed by one aggregate; a field of two kinds stays a variant."""
+    odd = F.col("event_id") % 2 == 1
+    doc = F.to_json(F.struct(F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id")).alias("user"), F.array("event_type").alias("tags"),
+                             F.when(~odd, F.floor("value").cast("long")).alias("amount")))
+    text = F.when(odd, F.concat(F.substring(doc, 1, 1), F.lit('"amount":"n/a",'), F.expr("substr(_d, 2)"))).otherwise(F.col("_d"))
+    docs = t.events.withColumn("_d", doc).select("event_id", variant.parse_variant(text).alias("doc"))
+    typed = variant.typed_documents(docs, "doc")
+    return typed.select("event_id", "id", F.col("user")["id"].alias("owner"), F.col("tags")[0].alias("tag"), variant.variant_at("amount", "$").alias("amount"))
+
+
 @query("listagg", "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1")
 def _(t):
     few = t.orders.select("o_orderstatus", "o_orderpriority").distinct()
