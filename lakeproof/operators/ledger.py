@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small_frame, table_exists
+from ..sources.writers import replace_table
 from .reconcile import Verdict, reconcile
 from .skew import numbered
 
@@ -19,7 +20,12 @@ AUDIT_SCHEMA = ("batch_id string, source_system string, source_object_name strin
 
 
 def _append(rows: DataFrame, ledger: str) -> None:
-    rows.withColumn("logged_at", F.current_timestamp()).coalesce(1).write.mode("append").format("parquet").saveAsTable(ledger)
+    rows.withColumn("logged_at", F.current_timestamp()).write.mode("append").format("parquet").saveAsTable(ledger)
+
+
+def compact_ledger(spark: SparkSession, ledger: str) -> None:
+    """Rewrite a ledger, which grows by a file for each event, as few files; its rows stay the same."""
+    replace_table(spark.table(ledger).hint("rebalance"), ledger)
 
 
 def batch_open(spark: SparkSession, ledger: str, batch_id: str, source_system: str) -> bool:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import record_hash
 from ..operators.skew import quoted
-from ..session import table_exists
+from ..session import staged, table_exists
 
 # Types a load may cast to, and the audit columns every loaded table carries.
 LOAD_TYPES = ("STRING", "BOOLEAN", "INT", "BIGINT", "DOUBLE", "DECIMAL(18,2)", "DATE", "TIMESTAMP")
@@ -181,10 +181,11 @@ def landed_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
             .load(path).select(F.col("path").alias("file_path"), "length", "modificationTime"))
 
 
-def copy_into_once(spark: SparkSession, path: str, table: str, ledger: str, fmt: str = "parquet", glob: str = "*") -> int:
+def copy_into_once(spark: SparkSession, path: str, table: str, ledger: str, fmt: str = "parquet", glob: str = "*", max_files: int = 10_000) -> int:
     """Append the files that were not loaded before; returns how many.
 
-    A load owns one ``_load_id`` partition. Its files are logged as started before the write and as
+    Files are loaded in the order of their paths, ``max_files`` at a time, which is all the names the driver holds; only new files are
+    read. A load owns one ``_load_id`` partition. Its files are logged as started before the write and as
     done after it; a run that finds a load started but not done drops that partition and loads its
     files again, so a lost driver neither loses nor repeats rows.
     """
@@ -193,25 +194,24 @@ def copy_into_once(spark: SparkSession, path: str, table: str, ledger: str, fmt:
                       F.current_timestamp().alias("logged_at"))
          .write.mode("append").format("parquet").saveAsTable(ledger))
 
+    found = landed_files(spark, path, glob).select("file_path")
     if table_exists(spark, ledger):
         seen = spark.table(ledger)
         done = seen.where("state = 'done'")
         broken = seen.where("state = 'started'").join(done, "load_id", "left_anti").select("load_id").distinct()
-        for row in broken.collect():
+        for row in broken.collect():  # one for each run that died
             if table_exists(spark, table):
                 spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (_load_id = '{row['load_id']}')")
-        fresh = landed_files(spark, path, glob).join(done, "file_path", "left_anti")
-    else:
-        fresh = landed_files(spark, path, glob)
-    names = [r["file_path"] for r in fresh.select("file_path").collect()]
-    if not names:
-        return 0
-    load_id = uuid.uuid4().hex
-    files = spark.createDataFrame([(n,) for n in names], "file_path string")
-    log(load_id, files, "started")
-    reader = spark.read.format(fmt)
-    rows = (reader.option("header", "true") if fmt == "csv" else reader).load(names)
-    (rows.withColumn("_load_id", F.lit(load_id)).write.mode("append").format("parquet")
-     .partitionBy("_load_id").saveAsTable(table))
-    log(load_id, files, "done")
-    return len(names)
+        found = found.join(done, "file_path", "left_anti")
+    fresh, loaded, last = staged(found, "fresh-files"), 0, ""
+    while names := [r["file_path"] for r in fresh.where(F.col("file_path") > last).orderBy("file_path").limit(max_files).collect()]:
+        load_id = uuid.uuid4().hex
+        files = spark.createDataFrame([(n,) for n in names], "file_path string")
+        log(load_id, files, "started")
+        reader = spark.read.format(fmt)
+        rows = (reader.option("header", "true") if fmt == "csv" else reader).load(names)
+        (rows.withColumn("_load_id", F.lit(load_id)).write.mode("append").format("parquet")
+         .partitionBy("_load_id").saveAsTable(table))
+        log(load_id, files, "done")
+        loaded, last = loaded + len(names), names[-1]
+    return loaded

@@ -175,8 +175,9 @@ def _(t):
 
 HEADERS = """names AS (SELECT lower(p_type) AS o, replace(p_name, ' ', '_') AS n, MIN(p_partkey) AS ord,
     upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || '_vod__c' AS h
-  FROM part WHERE p_size < 12 GROUP BY ALL),
-targets AS (SELECT DISTINCT lower(p_type) AS o, replace(p_name, ' ', '_') AS n, split_part(p_name, ' ', 1) AS w, p_size % 5 AS k FROM part WHERE p_size > 12),
+  FROM part GROUP BY ALL),
+targets AS (SELECT DISTINCT lower(p_type) AS o, replace(p_name, ' ', '_') || z AS n, split_part(p_name, ' ', 1) || z AS w, p_size % 5 AS k
+  FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'zz' ELSE '' END AS z FROM part)),
 named AS (SELECT *, CASE k WHEN 0 THEN n WHEN 1 THEN n || '_id' WHEN 2 THEN w WHEN 3 THEN o || '_id' ELSE 'dq_' || w END AS target FROM targets),
 pre AS (SELECT o, split_part(n, '_', 1) AS w, arg_min(h, ord) AS h FROM names GROUP BY ALL)"""
 
@@ -190,13 +191,14 @@ FROM named t LEFT JOIN names x ON x.o = t.o AND x.n = t.n LEFT JOIN pre p ON p.o
 def _(t):
     first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
     obj = F.lower("p_type").alias("object")
-    headers = t.part.where("p_size < 12").select(obj, F.concat(F.initcap(first), F.initcap(second), F.lit("_vod__c")).alias("header"),
+    headers = t.part.select(obj, F.concat(F.initcap(first), F.initcap(second), F.lit("_vod__c")).alias("header"),
                                                  F.col("p_partkey").alias("ord"))
     ids = t.part.select(obj, F.lit("ID").alias("header"), F.lit(-1).cast("long").alias("ord"))
-    name, k = F.translate("p_name", " ", "_"), F.col("p_size") % 5
+    unknown = F.when(F.col("p_partkey") % 3 == 0, "zz").otherwise("")  # no header is called like this
+    name, first, k = F.concat(F.translate("p_name", " ", "_"), unknown), F.concat(first, unknown), F.col("p_size") % 5
     target = (F.when(k == 0, name).when(k == 1, F.concat(name, F.lit("_id"))).when(k == 2, first)
               .when(k == 3, F.concat(F.lower("p_type"), F.lit("_id"))).otherwise(F.concat(F.lit("dq_"), first)))
-    targets = t.part.where("p_size > 12").select(obj, target.alias("target"))
+    targets = t.part.select(obj, target.alias("target"))
     return mapping.infer_mapping(headers.unionByName(ids), targets).select("object", "target", "rule", "expression")
 
 

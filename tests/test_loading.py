@@ -76,6 +76,11 @@ def test_load_once_recovers_a_broken_load(spark, tmp_path):
     spark.range(5, 8).withColumn("_load_id", F.lit("dead")).write.mode("append").partitionBy("_load_id").saveAsTable("once_t")
     files.copy_into_once(spark, path, "once_t", "once_l")
     assert [r[0] for r in rows(spark.table("once_t"), "id")] == list(range(8))
+    spark.range(8, 20, 1, 4).write.parquet(path + "/c")  # a few names at a time
+    assert files.copy_into_once(spark, path, "once_t", "once_l", max_files=3) == 4
+    assert sorted(r[0] for r in rows(spark.table("once_t"), "id")) == list(range(20))
+    loads = spark.table("once_l").where("state = 'done' and file_path like '%/c/%'").groupBy("load_id").count()
+    assert [r[0] for r in rows(loads, "count")] == [1, 3]
 
 
 def test_typed_load_never_raises(spark):
@@ -135,6 +140,7 @@ def test_header_names(spark):
     assert by_column == by_frame
     assert {k: by_column[k] for k in expected if k != "a.b/c\\d e"} == {k: v for k, v in expected.items() if k != "a.b/c\\d e"}
     assert mapping.snake_case_columns(spark.range(1).selectExpr("id as `A b`", "id as `a_b`", "id as AB")).columns == ["a_b", "a_b_1", "ab"]
+    assert mapping.snake_case_columns(spark.range(1).selectExpr("id as A", "id as `a `", "id as a_1", "id as `a__1`")).columns == ["a", "a_1", "a_1_1", "a_1_2"]
 
 
 def test_masking_keeps_null_and_empty(spark):

@@ -120,6 +120,9 @@ def test_batch_ledger(spark):
         ("b1", "crm", "Completed"), ("b2", "crm", "In Progress")]
     with pytest.raises(ValueError):
         ledger.batch_close(spark, "led", "b1", "X")
+    before, files = rows(spark.table("led")), len(spark.table("led").inputFiles())
+    ledger.compact_ledger(spark, "led")
+    assert rows(spark.table("led")) == before and len(spark.table("led").inputFiles()) < files
 
 
 def test_batch_summary_does_not_fan_out(spark):
