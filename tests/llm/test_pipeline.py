@@ -4,6 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
+from helpers import awkward, nothing
 
 from lakeproof.llm import bpe, decontaminate, linededup, simhash
 from lakeproof.llm.queries import QUERIES
@@ -40,3 +41,20 @@ def test_stages_agree_with_their_operators(spark):
 def test_run_gives_the_rows_of_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "benchmark decontamination", "byte-level BPE"]
+
+
+def test_stages_with_awkward_rows_and_columns_that_clash(spark):
+    docs = awkward(spark).selectExpr("*", "7 as predicted", "'e' as evidence", "3 as `a.b c`", "1 as component_id", "9 as decoded", "'k' as _hash")
+    columns, kept = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.staged(stage(spark, kept, SF), "stage")
+        assert kept.columns == columns, name
+        assert kept.where("predicted <> 7 or evidence <> 'e' or score <> 1.5 or decoded <> 9 or _hash <> 'k' or N_Tokens <> 7").isEmpty()
+    assert {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in docs.collect()} and kept.count() > 0
+    coded = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+    assert coded.columns == [c for c in columns if c != "N_Tokens"] + ["n_tokens", "token_ids", "round_trip"]
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in coded.collect())
+    kept = nothing(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.staged(stage(spark, kept, SF), "stage")
+        assert kept.count() == 0
