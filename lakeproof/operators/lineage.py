@@ -22,7 +22,7 @@ SQL_PART = r"(?:[a-zA-Z_][\w$]*+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
 SQL_NAME = SQL_PART + r"(?:\s*\.\s*" + SQL_PART + r")*+"
 FROM_LIST = (r"(?i)\b(?:from|join)\s+(" + SQL_NAME + r"(?!\s*\()(?:(?:\s+(?:as\s+)?[a-zA-Z_]\w*+)?\s*,\s*" + SQL_NAME + r"(?!\s*\())*)")
 QUOTED_COMMA = r"(?<=[\"`\[][^\"`\[\],]{0,100}),(?=[^\"`\[\],]{0,100}[\"`\]]\s*(?:[.,]|$))"
-CTE_NAME = r"(?i)([a-zA-Z_][\w$]*)\s+as\s*\("
+CTE_DEFINED = r"(?i)(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)(" + SQL_PART + r")(?:\s*\([^()]*\))?\s+as\s*(?:(?:not\s+)?materialized\s*)?\("
 CATALOG_READ = r"(?is)database\s*=\s*['\"]([^'\"]+)['\"][^)]*?table_name\s*=\s*['\"]([^'\"]+)['\"]"
 CATALOG_SINK = r"(?is)catalogDatabase\s*=\s*['\"]([^'\"]+)['\"][^)]*?catalogTableName\s*=\s*['\"]([^'\"]+)['\"]"
 READ_TABLE = r"(?i)\.(?:read\s*\.\s*)?table\(\s*['\"]([^'\"]+)['\"]"
@@ -95,20 +95,45 @@ def _in_context(text: Column, pattern: str, width: int) -> Column:
     return F.aggregate(F.arrays_zip(pieces.alias("p"), found.alias("m")), start, step, lambda acc: acc["out"])
 
 
+def _listed(tokens: Column) -> Column:
+    """The tables of a FROM or JOIN with the list that follows it."""
+    names = F.transform(F.split(F.regexp_replace(tokens, QUOTED_COMMA, "_"), ","), lambda n: norm_name(
+        F.regexp_extract(F.regexp_replace(n, r"(?i)^\s*(?:from|join)\s+", ""), "^\\s*(" + SQL_NAME + ")", 1)))
+    return F.filter(names, lambda n: (n != "") & ~n.isin("lateral", "unnest", "select", "values", "table"))
+
+
 def sql_tables(c) -> Column:
-    """FROM and JOIN targets of a statement in order of first use, without its own CTE names.
+    """FROM and JOIN targets of a text in order of first use, without the CTE names that are in scope there.
 
     Names may be quoted, and a FROM may list several. Comments and string literals are blanked first;
     the FROM of EXTRACT, TRIM and the like and of IS DISTINCT FROM names no table, nor does a function.
+
+    One fold over parentheses, definitions and FROMs keeps the depth and the CTEs in scope. A CTE is in scope from the end of its body,
+    with RECURSIVE from its start, to the parenthesis that closes the query of its WITH, or to the end of the statement. So a
+    table outside that shares the name is kept, in another statement, around a nested WITH or in the body itself.
     """
     sql = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), SQL_NOISE, " ")
     sql = F.regexp_replace(F.regexp_replace(sql, FROM_INSIDE_CALL, "$1 "), DISTINCT_FROM, " ")
-    lists = F.transform(_all(sql, FROM_LIST), lambda x: F.transform(
-        F.split(F.regexp_replace(x, QUOTED_COMMA, "_"), ","), lambda n: norm_name(F.regexp_extract(n, "^\\s*(" + SQL_NAME + ")", 1))))
-    named = F.filter(F.flatten(lists), lambda n: (n != "") & ~n.isin("lateral", "unnest", "select", "values", "table"))
-    ctes = F.when(sql.rlike(r"(?i)\bwith\b"), F.transform(_all(sql, CTE_NAME), lambda n: norm_name(n))).otherwise(
-        F.array().cast("array<string>"))
-    return F.array_except(F.array_distinct(named), ctes)
+    tokens = _all(sql, f"{CTE_DEFINED}|{FROM_LIST}|[();]", 0)
+    none = F.array().cast("array<struct<name:string,depth:int,recursive:boolean>>")
+    start = F.struct(F.lit(0).alias("depth"), none.alias("open"), none.alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        follows, ends = t.rlike(r"^\)\s*,"), t == ";"
+        closes, defines = (t == ")") | follows, t.rlike(r"(?i)^with\b") | follows
+        depth = F.when(ends, 0).when(closes, F.greatest(F.lit(0), acc["depth"] - 1)).otherwise(acc["depth"])
+        ready = F.concat(acc["seen"], F.filter(acc["open"], lambda o: o["depth"] == depth))
+        seen = F.when(ends, none).when(closes, F.filter(ready, lambda s: s["depth"] <= depth)).otherwise(acc["seen"])
+        waiting = F.when(ends, none).when(closes, F.filter(acc["open"], lambda o: o["depth"] < depth)).otherwise(acc["open"])
+        recursive = t.rlike(r"(?i)^with\s+recursive\b") | (follows & F.exists(seen, lambda s: (s["depth"] == depth) & s["recursive"]))
+        entry = F.array(F.struct(norm_name(F.regexp_extract(t, CTE_DEFINED, 1)).alias("name"), depth.alias("depth"), recursive.alias("recursive")))
+        used = F.filter(_listed(t), lambda n: ~F.exists(seen, lambda s: s["name"] == n))
+        return F.struct(
+            (depth + F.when(defines | (t == "("), 1).otherwise(0)).alias("depth"), F.when(defines & ~recursive, F.concat(waiting, entry)).otherwise(waiting).alias("open"),
+            F.when(defines & recursive, F.concat(seen, entry)).otherwise(seen).alias("seen"),
+            F.when(t.rlike(r"(?i)^(?:from|join)\b"), F.concat(acc["out"], used)).otherwise(acc["out"]).alias("out"))
+
+    return F.array_distinct(F.aggregate(tokens, start, step, lambda acc: acc["out"]))
 
 
 def extract_sql_tables(sqls: DataFrame, name: str = "name", sql: str = "sql") -> DataFrame:

@@ -59,6 +59,19 @@ def _(t):
     return lineage.extract_sql_tables(t.part.select(F.col("p_partkey").alias("name"), sql.alias("sql")))
 
 
+@query("extract_sql_scopes", """WITH p AS (SELECT p_partkey AS name, lower(replace(p_name, ' ', '_')) AS n, p_size % 2 = 0 AS even FROM part)
+SELECT name, unnest(['raw.' || n, 't_' || n || '_x', 'raw.k' || name, 'u', 'v', 't_' || n, CASE WHEN even THEN 'base' ELSE 'r' END]) AS "table" FROM p""")
+def _(t):
+    """Nested WITHs, several statements, and names of tables that are those of a CTE elsewhere."""
+    sql = """with t_{n} as (select * from raw.{n}), u(a, b) as (select * from T_{n} join t_{n}_x on true)
+select * from u where a in (with v as (select 1 from raw.k{k}) select * from v) and b > (1);
+select extract(day from d) from u join v, t_{n}; """
+    n = F.translate("p_name", " ", "_")
+    text = F.replace(F.replace(F.lit(sql), F.lit("{n}"), n), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    last = F.when(F.col("p_size") % 2 == 0, "with recursive r as (select * from base union all select * from r) select * from r").otherwise("with r as (select * from r) select * from r")
+    return lineage.extract_sql_tables(t.part.select(F.col("p_partkey").alias("name"), F.concat(text, last).alias("sql")))
+
+
 @query("extract_sql_tables_quoted", """SELECT p_partkey AS name, unnest(['raw.public.' || lower(p_brand[1:5]), 'db.t' || p_size, 'a.b', 'c.' || replace(p_name, ' ', '_')]) AS "table" FROM part""")
 def _(t):
     # view text as warehouses give it out: quoted names, comments, literals, lists, FROM inside calls

@@ -175,3 +175,19 @@ def test_review_marks(spark):
     assert rows(catalog.review_queue(art), "name", "tag", "line", "detail") == [
         ("m", "ASSUMPTION", 1, "check"), ("m", "TODO", 2, "# FIXME"), ("s", "NEEDS-AI", 0, "not translated")]
     assert catalog.review_queue(art).where(F.col("name") == "n").count() == 0
+
+
+@pytest.mark.parametrize(("sql", "tables"), [
+    ("with a as (select * from x), b as (select * from a) select * from b join a join c", ["x", "c"]),
+    ("with a as (select * from a) select * from a", ["a"]),
+    ("with recursive a as (select 1 union all select * from a), b as (select * from b) select * from a, b", []),
+    ("with a as (select 1) select * from a; select * from a", ["a"]),
+    ("select * from (with a as (select * from q) select * from a) s join a on s.k = a.k", ["q", "a"]),
+    ("with a as (with b as (select * from x) select * from b) select * from a join b", ["x", "b"]),
+    ("with a (k, v) as not materialized (select k, (select max(v) from y) from x) , B as (select 1) select * from \"b\" join `A`", ["y", "x"]),
+    ("insert into t select * from s where k in (select k from u) -- with s as (\n and 'from lies' = '(('", ["s", "u"]),
+    ("select * from a)) ; with a as (select 1) select * from a, b", ["a", "b"]),
+    ("", []), (None, [])])
+def test_cte_names_hide_tables_in_their_scope_only(spark, sql, tables):
+    df = spark.createDataFrame([(1, sql)], "name int, sql string")
+    assert df.select(lineage.sql_tables("sql")).first()[0] == tables
