@@ -19,8 +19,8 @@ LEAST_DOCS, TOP = 30, 50
 PRIOR, UNIT = 5, 1_000_000_000
 #: Terms of a chunk and sources of a tile that one task compares, and terms of groups that a worker holds (some 150 MB) before it passes them on.
 CHUNK, TILE, HELD = 4096, 256, 1_000_000
-#: Kept digests that are sent to all tasks (some 20 MB); more are joined by a shuffle.
-SENT = 500_000
+#: Kept digests that are sent to all tasks (some 30 MB); more are joined by a shuffle.
+SENT = 200_000
 
 #: Every byte that is no letter of ASCII and no part of a longer character becomes a blank; A-Z become a-z.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
