@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import profile, ranges, reconcile, states
+from ..operators import keys, profile, ranges, reconcile, states
 from ..session import cut_lineage, scratch_path, small_frame
 from ..sources import writers
 from .base import SQL, query
@@ -384,6 +386,18 @@ def _(t):
     return reconcile.confirm_key(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
+KEY_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+KEY_SETS = [c for n in (1, 2, 3) for c in combinations(KEY_COLUMNS, n)]
+UNIQUE_SETS = "\nUNION ALL ".join(
+    f"SELECT {list(s)} AS s FROM lineitem HAVING COUNT(DISTINCT ({', '.join(s)}{', 0' if len(s) == 1 else ''})) = COUNT(*)" for s in KEY_SETS)
+
+
+@query("minimal_keys", f"""WITH u AS ({UNIQUE_SETS}) SELECT array_to_string(s, ',') AS columns, CAST(len(s) AS INTEGER) AS size FROM u
+WHERE NOT EXISTS (SELECT 1 FROM u AS v WHERE len(v.s) < len(u.s) AND list_has_all(u.s, v.s))""")
+def _(t):
+    return keys.minimal_keys(t.lineitem, list(KEY_COLUMNS)).select(F.array_join("columns", ",").alias("columns"), "size")
+
+
 @query("slice_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 2000")
 def _(t):
     return reconcile.slice_filter(t.orders, "o_orderstatus = 'F' and o_totalprice between 1000 and 2000").select("o_orderkey")
