@@ -191,3 +191,15 @@ def test_review_marks(spark):
 def test_cte_names_hide_tables_in_their_scope_only(spark, sql, tables):
     df = spark.createDataFrame([(1, sql)], "name int, sql string")
     assert df.select(lineage.sql_tables("sql")).first()[0] == tables
+
+
+def test_long_references_go_by_number(spark):
+    filler = ".".join(f"x{i}" for i in range(60))
+    refs = [(f"{filler}.w{i % 3}.k{i}.t",) for i in range(300)] + [(None,), ("w1.t",), ("s3://b/w1.t",), (f"{filler}.u",)]
+    tables = spark.createDataFrame([("w0.t",), ("W1.t",), ("w2.t",), ("w2.\"T\"",), (None,)], "full_name string")
+    out = lineage.resolve_reference(spark.createDataFrame(refs + refs[:5], "ref string"), tables)
+    want = {r: f"w{i % 3}.t".replace("w1", "W1").replace("w2.t", 'w2."T"') for i, (r,) in enumerate(refs[:300])}
+    assert {r["ref"]: r["full_name"] for r in out.collect()} == {**want, None: None, "w1.t": "W1.t", "s3://b/w1.t": None, f"{filler}.u": None}
+    # no text of a reference is a key of an aggregate or join below the distinct references
+    grouped = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x or "Join" in x]
+    assert grouped and not any(word in x for x in grouped for word in ("asked", "parts", "norm"))
