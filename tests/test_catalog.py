@@ -203,3 +203,19 @@ def test_long_references_go_by_number(spark):
     # no text of a reference is a key of an aggregate or join below the distinct references
     grouped = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x or "Join" in x]
     assert grouped and not any(word in x for x in grouped for word in ("asked", "parts", "norm"))
+
+
+def test_texts_of_one_small_file_are_dealt_over_tasks(spark):
+    from lakeproof.suite.lineage import scripts_of
+    part = spark.range(40).selectExpr("id as p_partkey", "concat('name ', id) as p_name", "'PROMO' as p_type", "1 as p_size").coalesce(1)
+    assert lineage.extract_io(scripts_of(part)).rdd.getNumPartitions() > 1
+    views = part.select("p_name", F.lit("select * from a.b").alias("q"))
+    out = lineage.extract_sql_tables(views, "p_name", "q")
+    assert out.rdd.getNumPartitions() > 1 and rows(out) == sorted((f"name {i}", "a.b") for i in range(40))
+
+
+def test_jobs_are_extracted_once(spark):
+    scripts = spark.createDataFrame([("a", 'spark.table("x.y")'), ("a", 'spark.table("x.z")'), (None, None)], "name string, text string")
+    out = lineage.classify_jobs(lineage.extract_io(scripts), spark.createDataFrame([("x.y",)], "full_name string"), scripts)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 0
+    assert rows(out) == sorted([("a", "ingestion")] * 4 + [(None, "ingestion")], key=repr)
