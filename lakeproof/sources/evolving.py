@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import once
+
 RESCUED = "_rescued_data"
 MODES = ("add", "rescue", "fail")
 #: Types a new column can be found to have, narrowest first; text is what remains.
@@ -119,11 +121,15 @@ def _csv_cells(lines: DataFrame, separator: str) -> DataFrame:
         return lines.select("_file", F.array().cast(CELL).alias("cells"), F.array().cast(CELL).alias("broken"))
     names = [f"c{i}" for i in range(width // len(separator) + 1)]
     parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": separator, "mode": "PERMISSIVE", "escape": '"'})
-    read = lines.select("_file", "_first", "_at", parsed.alias("_row")).select("_file", "_first", "_at", F.array(*[F.col("_row")[n] for n in names]).alias("_cells"))
-    head = read.where("_first").groupBy(F.col("_file").alias("_of")).agg(F.min("_at").alias("_top"), F.min_by("_cells", "_at").alias("_names"))
-    named = F.zip_with("_names", "_cells", lambda n, v: F.struct(F.trim(n).alias("column"), v.alias("value")))
-    kept = read.join(head, F.col("_file") == F.col("_of")).where("_at > _top")
-    return kept.select("_file", F.filter(named, lambda e: e["value"].isNotNull()).alias("cells"), F.array().cast(CELL).alias("broken"))
+
+    def read(df: DataFrame, keep: list[str]) -> DataFrame:
+        return once(once(df, keep, {"_row": parsed}), keep, {"_cells": F.array(*[F.col("_row")[n] for n in names])})
+
+    tops = lines.where("_first").groupBy(F.col("_file").alias("_of")).agg(F.min("_at").alias("_top"), F.min_by("value", "_at").alias("value"))
+    head = read(tops, ["_of", "_top"]).select("_of", "_top", F.transform("_cells", F.trim).alias("_names"))  # of one line a file, not of all
+    named = F.zip_with("_names", "_cells", lambda n, v: F.struct(n.alias("column"), v.alias("value")))
+    kept = read(lines.join(head, F.col("_file") == F.col("_of")).where("_at > _top"), ["_file", "_names"])
+    return once(kept, ["_file"], {"cells": F.filter(named, lambda e: e["value"].isNotNull()), "broken": F.array().cast(CELL)})
 
 
 def landed_cells(lines: DataFrame, fmt: str, separator: str = ",") -> DataFrame:
@@ -148,9 +154,10 @@ def _fits(text: Column, kind: str) -> Column:
     value = text.try_cast(kind)
     if isinstance(T._parse_datatype_string(kind), T.NumericType):
         exact = text.try_cast("decimal(38,18)")
-        return value.isNotNull() & exact.isNotNull() & value.try_cast("decimal(38,18)").eqNullSafe(exact)
+        same = value.isNotNull() & exact.isNotNull() & value.try_cast("decimal(38,18)").eqNullSafe(exact)
+        return F.when(text.rlike("[A-DF-Za-df-z]"), False).otherwise(same)  # no decimal has other letters; a failing parse costs far more
     shape = {"date": r"^\d{4}-\d\d-\d\d$", "boolean": "(?i)^(true|false)$"}.get(kind, r"^\d{4}-\d\d-\d\d[ T]" if kind.startswith("timestamp") else "")
-    return F.coalesce(value.isNotNull() & text.rlike(shape), F.lit(False))
+    return F.when(text.rlike(shape), value.isNotNull()).otherwise(False)
 
 
 def new_columns(cells: DataFrame, known: T.StructType, hints: dict[str, str] | None = None, infer: bool = True) -> dict[str, str]:
@@ -190,17 +197,20 @@ def shaped(cells: DataFrame, schema: T.StructType) -> DataFrame:
     A column takes the first cell of its name (case aside) if that fits. All other cells are rescued, as a JSON array of
     ``{column, value}``; null where nothing is left over, so every cell of a line is in one place or the other.
     """
-    # one array holds, for each logged column, the position of its cell, or null
-    lower = F.transform("cells", lambda e: F.lower(e["column"]))
-    held = cells.select("_file", "cells", "broken", lower.alias("_lower"))
-    at = [F.nullif(F.array_position("_lower", F.lit(f.name.lower())), F.lit(0)) for f in schema]
-    found = held.select("_file", "cells", "broken", *[F.try_element_at("cells", p.cast("int"))["value"].alias(f"_t{i}") for i, p in enumerate(at)],
-                        *[p.alias(f"_p{i}") for i, p in enumerate(at)])
-    taken = F.array_compact(F.array(*[F.when(_fits(F.col(f"_t{i}"), f.dataType.simpleString()), F.col(f"_p{i}")) for i, f in enumerate(schema)]).cast("array<bigint>"))
-    typed = found.withColumn("_taken", taken).withColumn("_left", F.concat(
-        F.filter("cells", lambda e, i: ~F.array_contains(F.col("_taken"), i.cast("bigint") + 1)), F.col("broken")))
-    columns = [F.when(F.array_contains("_taken", F.col(f"_p{i}")), F.col(f"_t{i}").try_cast(f.dataType)).alias(f.name) for i, f in enumerate(schema)]
-    return typed.select(*columns, F.when(F.size("_left") > 0, F.to_json("_left", {"ignoreNullFields": "false"})).alias(RESCUED), F.col("_file").alias("_source_file_path"))
+    # one array holds, for each logged column, the position of its cell, or null; generators keep every step to once a row, as a
+    # filter on a column would else repeat all steps for each cell
+    held = once(cells, ["_file", "cells", "broken"], {"_lower": F.transform("cells", lambda e: F.lower(e["column"]))})
+    at = [F.nullif(F.array_position("_lower", F.lit(f.name.lower())), F.lit(0)).cast("int") for f in schema]
+    placed = once(held, ["_file", "cells", "broken"], {f"_p{i}": p for i, p in enumerate(at)} | {"_none": F.lit(None).cast("int")})
+    found = once(placed, ["_file", "cells", "broken", *[f"_p{i}" for i in range(len(at))]],
+                 {f"_t{i}": F.try_element_at("cells", f"_p{i}")["value"] for i in range(len(at))} | {"_none": F.lit(None).cast("int")})
+    texts = [f"_t{i}" for i in range(len(at))]
+    taken = F.array_compact(F.array(*[F.when(_fits(F.col(t), f.dataType.simpleString()), F.col(f"_p{i}")) for i, (t, f) in enumerate(zip(texts, schema))]).cast("array<int>"))
+    fitted = once(found, ["_file", "cells", "broken", *texts, *[f"_p{i}" for i in range(len(at))]], {"_taken": taken})
+    columns = {f"_v{i}": F.when(F.array_contains("_taken", F.col(f"_p{i}")), F.col(t).try_cast(f.dataType)) for i, (t, f) in enumerate(zip(texts, schema))}
+    left = F.concat(F.filter("cells", lambda e, i: ~F.array_contains(F.col("_taken"), i + 1)), F.col("broken"))
+    typed = once(fitted, ["_file"], columns | {RESCUED: F.when(F.size(left) > 0, F.to_json(left, {"ignoreNullFields": "false"}))})
+    return typed.select(*[F.col(f"_v{i}").alias(f.name) for i, f in enumerate(schema)], RESCUED, F.col("_file").alias("_source_file_path"))
 
 
 def read_evolving(spark: SparkSession, path: str, log_path: str, fmt: str = "json", glob: str = "*", mode: str = "add",

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from frames import rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeproof.sources import evolving
@@ -117,3 +118,21 @@ def test_nothing_to_read(spark, tmp_path):
     assert df.columns == ["_rescued_data", "_source_file_path"] and df.collect() == []
     with pytest.raises(ValueError):
         evolving.read_evolving(spark, str(tmp_path / "in"), str(tmp_path / "log"), "xml")
+
+
+def test_a_filter_on_the_rescue_column_repeats_no_step(spark, tmp_path):
+    put(tmp_path / "in", "a.csv", ["id,name,at", "1,x,2024-01-01", "2,1-HIGH,2024-01-02", "3,E,n/a"])
+    log = str(tmp_path / "log")
+    evolving.SchemaLog(spark, log).add({"id": "bigint", "name": "string", "at": "date"})
+    df = evolving.read_evolving(spark, str(tmp_path / "in"), log, "csv", "*.csv").where("_rescued_data is null")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") <= 2 * 2 and plan.count("as date") <= 2  # the lines and the header; fitted once, cast once
+    assert rows(df, "id", "name") == [(1, "x"), (2, "1-HIGH")]
+
+
+def test_texts_that_are_numbers_and_texts_that_are_not(spark):
+    texts = ["1", " 1 ", "1e3", "1E3", "-1.5", "0x1p3", "NaN", "Infinity", "1d", "E", "", "1-HIGH", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", *[evolving._fits(F.col("t"), k).alias(k) for k in ("bigint", "double", "date", "boolean")])
+    assert {r["t"]: (r["bigint"], r["double"], r["date"], r["boolean"]) for r in df.collect()} == {
+        t: (t in ("1", " 1 "), t in ("1", " 1 ", "1e3", "1E3", "-1.5"), False, False) for t in texts}
