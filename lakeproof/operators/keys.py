@@ -15,6 +15,8 @@ from .skew import quoted
 
 #: Deviation of the sketches that sets are pruned by, how many times of it a count may be off, and sketches in one aggregate.
 DEVIATION, SAFETY, AT_ONCE = 0.02, 5, 100
+#: A set with a value repeated in one slice of so many by digest is no key; only the others are counted in full.
+SLICES = 64
 
 
 def _digest(df: DataFrame, columns: tuple[str, ...]):
@@ -27,8 +29,9 @@ def minimal_keys(df: DataFrame, cols: list[str] | None = None, most: int = 3) ->
 
     Columns with nulls are in no key; a table without rows has none. One aggregate gives counts, nulls and sketches of all columns. A
     set is only looked at if the distinct values of its columns could, multiplied, tell all rows apart; sketches of the sets
-    of a level then leave those that come near the number of rows, and only these are counted exactly, together in one shuffle
-    of digests. The sketches prune by ``SAFETY`` times their deviation, so a key is missed about once in a million sets.
+    of a level then leave those that come near the number of rows. Of these, sets that repeat a value within one slice of
+    the digests are no keys, which shuffles a slice; only the rest are counted exactly, together in one
+    shuffle of 64-bit digests, and sets that repeat one of these again by 128 bits. The sketches prune by ``SAFETY`` times their deviation, so a key is missed about once in a million sets.
     """
     names = list(cols or df.columns)
     least = 1 - SAFETY * DEVIATION
@@ -51,8 +54,15 @@ def minimal_keys(df: DataFrame, cols: list[str] | None = None, most: int = 3) ->
                 near += [s for i, s in enumerate(part) if seen[i] >= least * rows]
             if near:
                 wide = df.select(*[_digest(df, s).alias(f"s{i}") for i, s in enumerate(near)])
-                exact = {r["column"]: r["n"] for r in distinct_counts(wide, wide.columns).collect()}
-                found += [s for i, s in enumerate(near) if exact.get(f"s{i}") == rows]
+                repeats = {r["column"] for r in distinct_counts(wide, wide.columns, slices=SLICES).where("repeated > 0").collect()}
+                wide = wide.select(*[c for c in wide.columns if c not in repeats])
+                if not wide.columns:
+                    continue
+                unlike = {r["column"] for r in distinct_counts(wide, wide.columns, short=True).where("repeated = 0").collect()}
+                rest = wide.select(*[c for c in wide.columns if c not in unlike])  # repeated, or of equal 64-bit digests
+                if rest.columns:
+                    unlike |= {r["column"] for r in distinct_counts(rest, rest.columns).where("repeated = 0").collect()}
+                found += [s for i, s in enumerate(near) if f"s{i}" in unlike]
     if not found:
         return df.sparkSession.createDataFrame([], "columns array<string>, size int")
     named = small_frame(df.sparkSession, [("\u0000".join(s), len(s)) for s in found], "columns string, size int")

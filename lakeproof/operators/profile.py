@@ -103,14 +103,16 @@ def _long(row: DataFrame, plan) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.lit(m).alias("metric"), F.col(a).alias("value")) for c, m, a in plan])))
 
 
-def distinct_counts(df: DataFrame, cols: list[str], key: list[str] = ()) -> DataFrame:
+def distinct_counts(df: DataFrame, cols: list[str], key: list[str] = (), slices: int = 1, short: bool = False) -> DataFrame:
     """Exact distinct count ``n`` of many columns, and how many values are ``repeated``, in one shuffle of digests.
 
     ``count(DISTINCT a), count(DISTINCT b), ...`` makes Spark shuffle one row as wide as all the
     columns per column and input row. Here a row becomes one ``(column number, digest)`` pair per
     column, reduced on the map side. Values of up to 64 bits map one-to-one to their 64-bit hash;
     wider values (text, decimals, nested) use two independent 64-bit hashes. The whole ``key`` (with
-    NULLs told apart) counts as one more column, listed as ``*``.
+    NULLs told apart) counts as one more column, listed as ``*``. ``slices`` of more than one count only the values
+    of one slice of that many by digest: a value repeated there is repeated, and only a slice is shuffled. ``short`` leaves
+    out the second hash of wide values: where then nothing is repeated, no value is, and else some may only seem to be.
     """
     narrow = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType,
               T.BooleanType)
@@ -122,7 +124,7 @@ def distinct_counts(df: DataFrame, cols: list[str], key: list[str] = ()) -> Data
 
     for i, name in enumerate(cols):
         c = shown(name)
-        second = F.lit(0).cast("long") if isinstance(df.schema[name].dataType, narrow) else F.xxhash64(F.lit("second"), c)
+        second = F.lit(0).cast("long") if short or isinstance(df.schema[name].dataType, narrow) else F.xxhash64(F.lit("second"), c)
         digests += [F.when(c.isNotNull(), F.xxhash64(c)).alias(f"h{i}"), second.alias(f"g{i}")]
     if key:
         parts = [x for k in key for x in (shown(k), quoted(k).isNull())]
@@ -131,7 +133,8 @@ def distinct_counts(df: DataFrame, cols: list[str], key: list[str] = ()) -> Data
     names = [f"(h{i}, g{i}) as `{i}`" for i in range(len(labels))]
     pairs = df.sparkSession.sql(f"select i, h, g from {{digests}} unpivot ((h, g) for i in ({', '.join(names)}))",
                                 digests=df.select(*digests))
-    return (pairs.where("h is not null").groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("copies"))
+    kept = pairs.where("h is not null") if slices == 1 else pairs.where(F.pmod("h", F.lit(slices)) == 0)
+    return (kept.groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("copies"))
             .groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("copies") > 1).alias("repeated"))
             .select(F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("i").cast("int") + 1).alias("column"), "n", "repeated"))
 

@@ -31,3 +31,16 @@ def test_one_column_repeated_rows_and_nothing(spark):
     assert keys.minimal_keys(df.unionByName(df)).collect() == []
     assert keys.minimal_keys(df.where("false")).collect() == []
     assert keys.minimal_keys(df, ["k"]).collect() == []
+
+
+def test_only_sets_without_a_repeat_in_a_slice_are_counted_in_full(spark, monkeypatch):
+    counted, plain = [], keys.distinct_counts
+
+    def seen(df, cols, **how):
+        counted.append((how.get("slices", 1), len(cols)))
+        return plain(df, cols, **how)
+
+    monkeypatch.setattr(keys, "distinct_counts", seen)
+    df = spark.range(6000).selectExpr("id", "cast(id * 0.98 as long) as near", "id % 1000 as k")  # near repeats some 2 %
+    assert {tuple(r["columns"]) for r in keys.minimal_keys(df, most=1).collect()} == {("id",)}
+    assert (1, 1) in counted and (1, 2) not in counted
