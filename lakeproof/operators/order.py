@@ -39,8 +39,12 @@ def topo_levels(edges: DataFrame) -> DataFrame:
     are resolved by pointer doubling, and their edges move to the head of the chain. So a chain of n nodes takes about log n
     rounds. Nodes that are never placed lie on or behind a cycle: level NULL, ``cyclic`` true.
     """
-    spark = edges.sparkSession
-    both = staged(edges.select("src", "dst").distinct(), "links")
+    return _levels(staged(edges.select("src", "dst").distinct(), "links"))
+
+
+def _levels(both: DataFrame) -> DataFrame:
+    """``topo_levels`` of distinct edges that are stored."""
+    spark = both.sparkSession
     kind = both.schema["src"].dataType.simpleString()
     links = both.select("src", "dst", F.lit(1).alias("w"), F.lit(NEVER).alias("c"))  # a level is at least c, and w beyond src
     degree = staged(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "degree")
@@ -119,7 +123,7 @@ def cycle_components(edges: DataFrame) -> DataFrame:
     links = staged(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "links")
     kind = links.schema["src"].dataType.simpleString()
     found = Rounds(spark, "components", f"id {kind}, component {kind}")
-    core = staged(_inside(_inside(links, False), True), "core")
+    core = _inside(_inside(links, True), False)
     while not core.isEmpty():
         colour = staged(core.select(F.col("src").alias("id")).unionByName(core.select(F.col("dst").alias("id"))).distinct().select("id", F.col("id").alias("colour")), "colour")
         while True:
@@ -140,7 +144,7 @@ def cycle_components(edges: DataFrame) -> DataFrame:
         found.add(members.join(members.groupBy("colour").agg(F.min("id").alias("component")), "colour").select("id", "component"))
         gone = members.select("id")
         rest = core.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        core = staged(_inside(_inside(staged(rest, "rest"), False), True), "core")
+        core = _inside(_inside(staged(rest, "rest"), True), False)
     everyone = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     named = everyone.join(found.all(), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     sizes = found.all().groupBy("component").agg(F.count(F.lit(1)).alias("many"))
@@ -150,12 +154,12 @@ def cycle_components(edges: DataFrame) -> DataFrame:
 
 
 def _inside(links: DataFrame, backward: bool) -> DataFrame:
-    """The links among nodes on or behind a cycle; ``backward``: on or before one."""
+    """The links among nodes on or behind a cycle; ``backward``: on or before one. Links are distinct and stored, before and after."""
     if links.isEmpty():
         return links
     way = links.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else links
-    kept = staged(topo_levels(way).where("cyclic").select("id"), "kept")
-    return links.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    kept = staged(_levels(way).where("cyclic").select("id"), "kept")
+    return staged(links.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi"), "inside")
 
 
 def condensed_levels(edges: DataFrame) -> DataFrame:

@@ -82,3 +82,13 @@ def test_a_plan_does_not_grow_with_the_rounds(spark):
     shallow = spark.range(2).selectExpr("id as src", "id + 1 as dst")
     size = lambda df: len(order.topo_levels(df).withColumn("x", F.lit(1))._jdf.queryExecution().optimizedPlan().toString().splitlines())
     assert size(deep) == size(shallow)
+
+
+def test_trimming_takes_distinct_edges_as_they_are(spark, monkeypatch):
+    from lakeproof.operators import order
+    def again(edges):
+        raise AssertionError("the edges are made distinct and stored again")
+    monkeypatch.setattr(order, "topo_levels", again)
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "a"), ("b", "c"), ("r", "a"), ("s", "s"), ("c", "d"), (None, "a")], "src string, dst string")
+    assert sorted(map(tuple, order.cycle_components(edges).collect())) == [
+        ("a", "a", 2, True), ("b", "a", 2, True), ("c", "c", 1, False), ("d", "d", 1, False), ("r", "r", 1, False), ("s", "s", 1, True)]
