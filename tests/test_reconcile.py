@@ -175,3 +175,22 @@ def test_reconcile_many_keeps_going_after_a_bad_pair(spark, good):
         {"name": "bad", "source": good, "candidate": good, "where": "drop table x"}])
     assert rows(verdict.summary(), "pair", "passed") == [("bad", False), ("ok", True)]
     assert rows(verdict.gate()) == [(1, 2, False)]
+
+
+def test_sums_of_single_columns_are_left_out_where_changed_columns_are_not_asked_for(spark):
+    names = [f"c{i}" for i in range(4)]
+    src = spark.createDataFrame([(k, *[k + i for i in range(4)]) for k in (1, 1, 2, 3, 4)], ", ".join(f"{c} int" for c in ["k", *names]))
+    cand = src.where("k <> 4").withColumns({"c0": F.when(F.col("k") == 2, F.col("c1")).otherwise(F.col("c0")),
+                                            "c1": F.when(F.col("k") == 2, F.col("c0")).otherwise(F.col("c1"))})
+    found = rec.reconcile_rows(src, cand, ["k"])
+    assert rows(found, "k", "status", "changed_columns") == [(2, "changed", ["c0", "c1"]), (4, "missing", [])]
+    short = found.drop("changed_columns")
+    assert rows(short) == [(2, "changed", 1, 1), (4, "missing", 1, 0)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (short, found)]
+    assert "AS _h3_0#" not in plans[0] and "AS _d2#" in plans[0] and "AS _h3_0#" in plans[1]
+
+
+def test_rows_of_a_key_that_only_swap_partners_are_no_change(spark):
+    src = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, None, "x")], "k int, p string, q string")
+    cand = spark.createDataFrame([(1, "a", "y"), (1, "b", "x"), (2, "x", None)], "k int, p string, q string")
+    assert rows(rec.reconcile_rows(src, cand, ["k"]), "k", "status", "changed_columns") == [(2, "changed", ["p", "q"])]
