@@ -17,7 +17,9 @@ from .common import bounded_batches, staged
 #: a bounded sample, it bears on speed alone).
 PIVOTS = 64
 #: Vectors of a data block and of a query block, and of a leaf of their trees.
-DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 64
+DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 256
+#: A centre that covers fewer than a leaf's rows by this part makes no child, and so many of them in a row end the search for centres.
+SMALL, FUTILE = 4, 16
 #: Data blocks that each query block searches first, to know a k-th score before it asks others.
 SEEDS = 2
 SCALE = 64
@@ -43,8 +45,9 @@ class CoverTree:
     """A cover tree over rows: the children's centres of a node are farther apart than half its scale, and cover it.
 
     Built from the top: of a node's rows the first not yet covered becomes a centre (its own centre comes
-    first), and takes all rows within half the scale; so on down to leaves. Nodes keep the largest distance of
-    a row from their centre, which is what bounds scores.
+    first), and takes all rows within half the scale; so on down to leaves. Rows that are about as far from each other as
+    from any centre would be nodes of one row each: what such centres cover is gathered into whole leaves around the mean.
+    Nodes keep the largest distance of a row from their centre, which is what bounds scores.
     """
 
     def __init__(self, rows: np.ndarray, leaf: int = LEAF):
@@ -61,15 +64,33 @@ class CoverTree:
         if len(members) > self.leaf and radius > 0:
             scale = radius / 2
             rest, at = members, centre
-            distances = far
+            distances, loose, futile = far, [], 0
             while len(rest):
                 near = distances <= scale
-                children.append(self.build(rest[near], at, distances[near]))
+                if near.sum() * SMALL >= self.leaf:
+                    children.append(self.build(rest[near], at, distances[near]))
+                    futile = 0
+                else:
+                    loose.append(rest[near])
+                    futile += 1
                 rest = rest[~near]
+                if futile == FUTILE:
+                    loose.append(rest)
+                    break
                 if len(rest):
                     at = int(rest[0])
                     distances = self.reach(rest, at)
-        middle = self.rows[centre]
+            if loose:
+                gathered = np.concatenate(loose)
+                children += [self.gathered(gathered[i:i + self.leaf]) for i in range(0, len(gathered), self.leaf)]
+        return self.node(self.rows[centre], radius, children, members)
+
+    def gathered(self, members: np.ndarray) -> int:
+        """A leaf around the mean of rows that no centre covers."""
+        middle = self.rows[members].mean(axis=0)
+        return self.node(middle, float(np.sqrt(((self.rows[members] - middle) ** 2).sum(axis=1)).max()), [], members)
+
+    def node(self, middle: np.ndarray, radius: float, children: list[int], members: np.ndarray) -> int:
         self.nodes.append((middle, float(np.linalg.norm(middle)), radius, children, members))
         return len(self.nodes) - 1
 
@@ -95,15 +116,21 @@ class Best:
 
     def add(self, members: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         scores = np.where(ids[None, :] == self.ids[members][:, None], -np.inf, scores)
-        useful = (scores >= np.maximum(self.score[members, -1], self.floor[members])[:, None]).any(axis=1)
-        members, scores = members[useful], scores[useful]
+        hit = scores >= np.maximum(self.score[members, -1], self.floor[members])[:, None]
+        useful = hit.any(axis=1)
+        members, scores, hit = members[useful], scores[useful], hit[useful]
         if not len(members):
             return
-        score = np.concatenate([self.score[members], scores], axis=1)
-        found = np.concatenate([self.found[members], np.broadcast_to(ids, scores.shape)], axis=1)
-        order = np.lexsort((found, -score), axis=1)[:, :self.k]
-        self.score[members] = np.take_along_axis(score, order, axis=1)
-        self.found[members] = np.take_along_axis(found, order, axis=1)
+        if scores.shape[1] > self.k:  # what is below the k-th of these rows alone is among the best of no query
+            hit &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+        owner, column = np.nonzero(hit)
+        held = np.repeat(np.arange(len(members)), self.k)
+        score = np.concatenate([self.score[members].ravel(), scores[owner, column]])
+        found = np.concatenate([self.found[members].ravel(), ids[column]])
+        order = np.lexsort((found, -score, np.concatenate([held, owner])))
+        counts = self.k + np.bincount(owner, minlength=len(members))
+        best = order[(np.cumsum(counts) - counts)[:, None] + np.arange(self.k)]
+        self.score[members], self.found[members] = score[best], found[best]
 
 
 def search(queries: CoverTree, data: CoverTree, data_ids: np.ndarray, best: Best) -> None:
@@ -184,13 +211,20 @@ def searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, width: int,
     """``query_id, vec_id, score`` of the k best in each pair of blocks, but for what the floors rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees: dict[str, tuple[str, CoverTree]] = {}  # the last one of either side
+
+        def tree(side: str, block: str, rows: np.ndarray) -> CoverTree:
+            if trees.get(side, ("",))[0] != block:
+                trees[side] = (block, CoverTree(rows))
+            return trees[side][1]
+
         for batch in batches:
             for row in batch.itertuples():
                 q_ids, d_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.d_ids, np.int64)
                 q_rows, d_rows = np.frombuffer(row.q_rows).reshape(-1, width), np.frombuffer(row.d_rows).reshape(-1, width)
                 floor = np.full(len(q_ids), -np.inf) if row.floors is None else np.frombuffer(row.floors)
                 best = Best(q_ids, min(k, len(d_ids)) if len(d_ids) else 1, floor)
-                search(CoverTree(q_rows), CoverTree(d_rows), d_ids, best)
+                search(tree("q", row.qblock, q_rows), tree("d", row.dblock, d_rows), d_ids, best)
                 real = best.score >= np.maximum(floor, np.finfo(float).min)[:, None]
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, best.k)[real.ravel()], "vec_id": best.found[real], "score": best.score[real].astype(np.int64)})
 

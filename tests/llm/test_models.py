@@ -141,6 +141,21 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(one, one).count() == 0
 
 
+def test_cover_tree_of_rows_that_are_all_as_far_apart_has_whole_leaves():
+    rows = np.floor(64 * np.random.default_rng(5).standard_normal((3000, 64)) / 8)
+    rows[7:27] = rows[7]  # twenty equal rows tie
+    tree = topk.CoverTree(rows)
+    leaves = [n for n in tree.nodes if not n[3]]
+    assert sorted(np.concatenate([n[4] for n in leaves]).tolist()) == list(range(3000)) and len(tree.nodes) < 60
+    for middle, _, radius, _, members in tree.nodes:
+        assert np.sqrt(((rows[members] - middle) ** 2).sum(axis=1)).max() <= radius + 1e-9
+    best = topk.Best(np.arange(100), 20, np.full(100, -np.inf))
+    topk.search(topk.CoverTree(rows[:100]), tree, np.arange(3000), best)
+    for i in range(100):
+        order = sorted((-float(rows[i] @ rows[j]), j) for j in range(3000) if j != i)[:20]
+        assert best.found[i].tolist() == [j for _, j in order] and best.score[i].tolist() == [-s for s, _ in order]
+
+
 def test_cover_tree_covers_and_prunes():
     r = np.random.default_rng(3)
     rows = np.concatenate([r.standard_normal((300, 3)) * 0.1 + c for c in (np.zeros(3), np.full(3, 9.0), np.full(3, -9.0))])
