@@ -17,7 +17,7 @@ from ..operators.skew import quoted
 from .common import add_fields, bounded_batches, text_of
 
 #: Pieces of one generation that a worker remembers, the longest one in bytes, and how many are merged together.
-MEMO_PIECES, MEMO_BYTES, TOGETHER = 120_000, 64, 8192
+MEMO_PIECES, MEMO_BYTES, TOGETHER = 240_000, 64, 8192
 #: Characters of texts that are split at a time, and pieces of a longer text.
 CHUNK_CHARS, CHUNK_PIECES = 1 << 20, 1 << 17
 
@@ -100,16 +100,37 @@ class Pairs:
                     found[left << 32 | right] = rank
         self.keys = np.array(sorted(found) or [-1], np.int64)
         self.ranks = np.array([found[k] for k in sorted(found)] or [0], np.int64)
+        pair = np.arange(256)
+        self.bytes = self.rank(self.byte[:, None], self.byte[pair])  # of any two bytes
 
-    def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The leaves of pairs that start at the given positions."""
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, FAR for no token."""
         key = left << 32 | right
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[place] == key, self.ranks[place] << 8 | at, FAR)
+        return np.where(self.keys[place] == key, self.ranks[place], FAR)
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaves of pairs that start at the given positions."""
+        return self.placed(self.rank(left, right), at)
+
+    def first(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaves of pairs of single bytes."""
+        return self.placed(self.bytes[left, right], at)
+
+    @staticmethod
+    def placed(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(rank < FAR, rank << 8 | at, FAR)
 
 
 def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
-    """``merge`` of many pieces of 2 to 64 bytes at once: one tree per piece, one merge in each per round."""
+    """``merge`` of many pieces of 2 to 64 bytes at once."""
+    ids, ends = merged(pieces, pairs)
+    out = ids.tolist()
+    return [tuple(out[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def merged(pieces: list[bytes], pairs: Pairs) -> tuple[np.ndarray, list[int]]:
+    """The ids of all pieces of 2 to 64 bytes behind each other, and where each piece ends: one tree per piece, one merge in each per round."""
     size = 1 << max(len(p) for p in pieces).bit_length()
     rows = len(pieces)
     n = np.array([len(p) for p in pieces])
@@ -117,7 +138,7 @@ def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
     raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(rows, size)
     ids = pairs.byte[raw]
     tree = np.full((rows, 2 * size), FAR)
-    tree[:, size:-1] = np.where(at[1:] < n[:, None], pairs.leaf(ids[:, :-1], ids[:, 1:], at[:-1]), FAR)
+    tree[:, size:-1] = np.where(at[1:] < n[:, None], pairs.first(raw[:, :-1], raw[:, 1:], at[:-1]), FAR)
     half = size // 2
     while half:
         tree[:, half:2 * half] = np.minimum(tree[:, 2 * half:4 * half:2], tree[:, 2 * half + 1:4 * half:2])
@@ -154,22 +175,24 @@ def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
                 low = root + 2 * node
                 flat[root + node] = np.minimum(flat[low], flat[low + 1])
         base = base[flat[root + 1] < FAR]
-    out = ids[alive].tolist()
-    ends = np.cumsum(alive.reshape(rows, size).sum(axis=1)).tolist()
-    return [tuple(out[a:b]) for a, b in zip([0, *ends], ends)]
+    return ids[alive], np.cumsum(alive.reshape(rows, size).sum(axis=1)).tolist()
+
+
+def packed(ids) -> bytes:
+    return np.asarray(ids, np.int32).tobytes()
 
 
 class Encoder:
     """Encodes texts by ranks; every match of the pattern is merged on its own.
 
-    The unknown pieces of a chunk of texts are merged together. Merged pieces are remembered in two
-    generations of bounded size: a full one becomes the old one, and what is met again moves to the new one.
+    The unknown pieces of a chunk of texts are merged together. Merged pieces are remembered, their ids as 32-bit integers in
+    bytes, in two generations of bounded size: a full one becomes the old one, and what is met again moves to the new one.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern, self.pairs = ranks, regex.compile(pattern), Pairs(ranks)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, unknown: set[str]) -> None:
         """Put short pieces into the memory, those of like length together."""
@@ -183,20 +206,22 @@ class Encoder:
                     if len(raw) <= MEMO_BYTES:
                         groups.setdefault(len(raw).bit_length(), []).append(piece)
                     continue
-                ids = (whole,)
+                ids = packed(whole)
             self.memo[piece] = ids
         for group in groups.values():
             for i in range(0, len(group), TOGETHER):
                 part = group[i:i + TOGETHER]
-                self.memo.update(zip(part, merge_many([p.encode("utf-8") for p in part], self.pairs)))
+                ids, ends = merged([p.encode("utf-8") for p in part], self.pairs)
+                flat, ends = packed(ids), [4 * n for n in ends]
+                self.memo.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
 
     def assemble(self, pieces: list[str]) -> np.ndarray:
         try:
-            return np.array(list(itertools.chain.from_iterable(map(self.memo.__getitem__, pieces))), dtype=np.int32)
+            ids = b"".join(map(self.memo.__getitem__, pieces))
         except KeyError:  # a piece too long to be remembered
             known = self.memo.get
-            ids = itertools.chain.from_iterable(known(p) or merge(p.encode("utf-8"), self.ranks) for p in pieces)
-            return np.array(list(ids), dtype=np.int32)
+            ids = b"".join([known(p) or packed(merge(p.encode("utf-8"), self.ranks)) for p in pieces])
+        return np.frombuffer(ids, np.int32)
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; short texts share a chunk, long ones are gone through in several."""

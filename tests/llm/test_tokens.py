@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -40,6 +41,16 @@ def test_texts_longer_than_a_chunk_and_a_small_memory_give_the_same(reference, m
     assert [x.tolist() for x in encoder.encode_all(texts)] == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_memory_holds_packed_ids_and_pairs_of_bytes_have_a_table(reference):
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [*random_texts(300, 60), "z" * 200 + " q"]  # one piece is too long to be remembered
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert encoder.memo and all(isinstance(x, bytes) and len(x) % 4 == 0 for x in encoder.memo.values())
+    two, at = np.arange(256), np.arange(65536).reshape(256, 256) % 64
+    one = encoder.pairs.byte
+    assert (encoder.pairs.first(two[:, None], two, at) == encoder.pairs.leaf(one[:, None], one[two], at)).all()
+
+
 def test_merging_alone_and_together_agree():
     ranks = bpe.read_ranks(RANKS)
     words = [w.encode() for w in {t[:20] for t in random_texts(800, 40)} if 1 < len(w.encode()) <= 64 and w.encode() not in ranks]
