@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, table_exists
+from ..session import scratch_path, staged, table_exists
 from .skew import newest_per_key, quoted
 
 KEY, SLICE, PROPERTY = "_key", "_slice", "lakeproof.buckets"
@@ -26,6 +27,18 @@ def _digested(df: DataFrame, keys: list[str], slices: int) -> DataFrame:
     return df.withColumn(KEY, digest).withColumn(SLICE, F.pmod(KEY, F.lit(slices)).cast("int"))
 
 
+def _by_slice(df: DataFrame) -> DataFrame:
+    """The frame stored with a folder for each slice, so that a slice is read alone."""
+    path = scratch_path(df.sparkSession, "slices")
+    df.write.partitionBy(SLICE).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _dealt(df: DataFrame, slices: int, buckets: int) -> DataFrame:
+    """A task for each bucket of each slice, which is one file of the table and all that a task has to sort."""
+    return df.repartitionById(slices * buckets, (quoted(SLICE) * buckets + F.pmod(F.hash(KEY), F.lit(buckets))).cast("int"))
+
+
 def _facts(spark: SparkSession, table: str) -> dict:
     found = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == PROPERTY).first()
     if found is None:
@@ -54,8 +67,8 @@ def create_bucketed(df: DataFrame, table: str, keys: list[str], order_key: str |
     taken = {KEY, SLICE} & {c.lower() for c in df.columns}
     if taken:
         raise ValueError(f"columns of these names are the table's own: {sorted(taken)}")
-    best = cut_lineage(_digested(newest_per_key(df, keys, [order_key] if order_key else []), keys, slices))
-    (best.repartition(buckets, KEY).write.format("parquet").partitionBy(SLICE).bucketBy(buckets, KEY).sortBy(KEY).saveAsTable(table))
+    best = staged(_digested(newest_per_key(df, keys, [order_key] if order_key else []), keys, slices), "newest")
+    (_dealt(best, slices, buckets).write.format("parquet").partitionBy(SLICE).bucketBy(buckets, KEY).sortBy(KEY).saveAsTable(table))
     _note(df.sparkSession, table, _later({"keys": list(keys), "order_key": order_key, "slices": slices, "buckets": buckets}, best, order_key))
 
 
@@ -99,7 +112,7 @@ def merge_bucketed(table: str, batch: DataFrame, deleted: str | None = None) ->
 
     ``deleted`` names a boolean column of the batch, not of the table: the newest row of a key that has it true removes the key.
     Columns the batch lacks are null in its rows. The touched slices are written beside the old ones and the table is then
-    pointed to them slice by slice, so a run that dies leaves each slice old or new, and running it again gives the same table.
+    pointed to them slice by slice (a task holds a bucket of one slice), so a run that dies leaves each slice old or new, and running it again gives the same table.
     ``vacuum_bucketed`` removes what the table no longer points to.
     """
     spark, facts = batch.sparkSession, _facts(batch.sparkSession, table)
@@ -111,12 +124,12 @@ def merge_bucketed(table: str, batch: DataFrame, deleted: str | None = None) ->
         raise ValueError(f"the batch lacks key columns of {keys}")
     known = [(quoted(have[c.lower()]) if c.lower() in have else F.lit(None)).cast(kinds[c]).alias(c) for c in own]
     given = batch.select(*known, *([quoted(deleted)] if deleted else []))
-    best = cut_lineage(_digested(newest_per_key(given, keys, [order_key] if order_key else []), keys, facts["slices"]))
+    best = _by_slice(_digested(newest_per_key(given, keys, [order_key] if order_key else []), keys, facts["slices"]))
     touched = sorted(r[0] for r in best.select(SLICE).distinct().collect())  # at most as many as the table has slices
     if not touched:
         return 0
-    target = spark.table(table).where(F.col(SLICE).isin(touched))
-    whole = merged_slices(target, best, keys, order_key, deleted)
+    slices = [[df.where(F.col(SLICE) == n) for df in (spark.table(table), best)] for n in touched]
+    whole = reduce(DataFrame.unionByName, [merged_slices(target, new, keys, order_key, deleted) for target, new in slices])
     version = f"{_folder(spark, table)}/_versions/{uuid.uuid4().hex}"
     stage = f"{table}__slices_{uuid.uuid4().hex[:8]}"
     (whole.write.format("parquet").option("path", version).partitionBy(SLICE).bucketBy(facts["buckets"], KEY).sortBy(KEY).saveAsTable(stage))

@@ -130,3 +130,22 @@ def test_streams_and_increments_merge_into_buckets(spark, table):
         models.incremental_model(spark, build, table + "_model", ["k"], "at", slices=2)
     assert asked == [None, 1, 2] and rows(buckets.read_bucketed(spark, table + "_model")) == [("k", 3)]
     spark.sql(f"DROP TABLE {table}_model")
+
+
+def test_a_task_holds_one_bucket_of_one_slice(spark, table, monkeypatch):
+    frame = spark.range(3000).selectExpr("id", "0L as at")
+    dealt = buckets._dealt(buckets._digested(frame, ["id"], 4), 4, 3)
+    held = dealt.selectExpr("spark_partition_id() as p", "_slice", "pmod(hash(_key), 3) as bucket").distinct()
+    assert sorted(r["p"] for r in held.collect()) == list(range(12))
+    buckets.create_bucketed(frame, table, ["id"], "at", slices=4, buckets=3)
+    seen, real = [], buckets.merged_slices
+
+    def noted(target, best, *rest):
+        seen.append({tuple(r) for df in (target, best) for r in df.select("_slice").distinct().collect()})
+        return real(target, best, *rest)
+
+    monkeypatch.setattr(buckets, "merged_slices", noted)
+    assert buckets.merge_bucketed(table, frame.selectExpr("id * 2 as id", "1L as at")) == 4
+    assert seen == [{(n,)} for n in range(4)]
+    files = spark.table(table).selectExpr("_slice", "_metadata.file_path as f").distinct()
+    assert files.count() == 12 and spark.table(table).count() == 4500
