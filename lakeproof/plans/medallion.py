@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger
 from ..operators.mapping import apply_mapping
 from ..operators.stitch import stitch, stitch_scd2
-from ..session import cut_lineage, table_exists
+from ..session import staged, table_exists
 from ..sources.files import counted, read_landing
 from ..sources.writers import drop_partitions, write_partitioned
 from .models import run_config_query
@@ -59,6 +59,7 @@ def publish(spark: SparkSession, obj: SourceObject, rows: DataFrame, batch_id: s
     The table is partitioned by source, and for ``append`` by load too: a batch replaces the partitions
     of its own sources (or loads), read first where the mode needs the old rows, and leaves all others
     alone. The first batch takes the same way over an empty target. Running a batch again changes nothing.
+    The rows are read several times, so they should be stored ones.
     """
     load_key = obj.load_key or "batch_id"
     if obj.stitching in ("append", "roll_out") and load_key not in rows.columns:
@@ -66,7 +67,6 @@ def publish(spark: SparkSession, obj: SourceObject, rows: DataFrame, batch_id: s
     if obj.stitching == "append":
         write_partitioned(rows, obj.publish_table, [SOURCE, load_key])
         return
-    rows = cut_lineage(rows)
     sources = [r[0] for r in rows.select(SOURCE).distinct().collect()] or [source_system]
     exists = table_exists(spark, obj.publish_table)
     target = spark.table(obj.publish_table) if exists else None
@@ -80,7 +80,7 @@ def publish(spark: SparkSession, obj: SourceObject, rows: DataFrame, batch_id: s
         if obj.stitching == "delete_flag" and own is None:
             empty = empty.withColumn("is_deleted", F.lit("N"))
         merged = stitch(empty, rows, obj.stitching, keys, obj.order_key, load_key, obj.window)
-    merged = cut_lineage(merged)
+    merged = staged(merged, "merged")
     write_partitioned(merged, obj.publish_table, [SOURCE])
     left = {r[0] for r in merged.select(SOURCE).distinct().collect()}
     drop_partitions(spark, obj.publish_table, [{SOURCE: s} for s in sources if s is not None and s not in left])
@@ -113,7 +113,7 @@ def run_object(spark: SparkSession, obj: SourceObject, batch_id: str, source_sys
         published = spark.table(obj.curated_table).where(F.col("batch_id") == batch_id).drop("batch_id", "pt_file_id")
     if SOURCE not in published.columns:
         published = published.withColumn(SOURCE, F.lit(source_system))
-    published = cut_lineage(published)
+    published = staged(published, "published")
     publish(spark, obj, published, batch_id, source_system)
     ledger.file_audit(spark, audit, batch_id, source_system, obj.name, "publish", published.count())
 

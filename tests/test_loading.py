@@ -189,6 +189,18 @@ def test_a_failing_object_fails_its_batch_only(spark, tmp_path):
     assert rows(spark.table("aud").where("layer = 'curated' and status = 'SUCCEEDED'"), "batch_id", "row_count") == [("b1", 2), ("b2", 2)]
 
 
+def test_the_rows_of_a_batch_are_stored_once_before_the_merge_and_once_after(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n")
+    obj = medallion.SourceObject("a", str(tmp_path), "a.csv", "cur_once", "pub_once", stitching="upsert", keys=("id",),
+                                 mapping=[{"target": "id", "source": "id"}, {"target": "name", "source": "name"}])
+    stored, real = [], medallion.staged
+    monkeypatch.setattr(medallion, "staged", lambda df, name: (stored.append(name), real(df, name))[1])
+    assert medallion.run_batch(spark, [obj], "b1", "crm", "bat_once", "aud_once") == "C"
+    assert stored == ["published", "merged"]
+    assert rows(spark.table("pub_once"), "id", "name") == [("1", "x"), ("2", "y")]
+    assert rows(spark.table("aud_once"), "layer", "row_count") == [("curated", 2), ("publish", 2)]
+
+
 def test_streamed_files_load_once_and_merges_repeat_safely(spark, tmp_path):
     schema, inbox = "k int, ts timestamp, v string", str(tmp_path / "in")
     write = lambda name, data: spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{inbox}/{name}")
