@@ -289,14 +289,25 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     return add_fields(found, F.struct(F.size("token_ids").cast("long").alias("n_tokens")), ["n_tokens"])
 
 
+def joined(lists: pa.ListArray, token: dict[int, bytes]) -> pa.Array:
+    """The bytes of each list of ids, null for a null list; the ids of all lists leave Arrow as one array, not as an object each."""
+    ids, out, end = lists.flatten().to_numpy(), [], 0
+    for n in lists.value_lengths().to_pylist():
+        if n is not None:
+            start, end = end, end + n
+            n = b"".join(map(token.__getitem__, ids[start:end].tolist()))
+        out.append(n)
+    return pa.array(out, pa.binary())
+
+
 def decode_documents(df: DataFrame, ranks_path: str, ids_col: str = "token_ids") -> DataFrame:
     """The frame with ``decoded`` (binary): the bytes of the ids. Null gives null; an unknown id fails the job."""
     bounded_batches(df.sparkSession)
 
     @F.arrow_udf("binary")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = {i: t for t, i in read_ranks(ranks_path).items()}.__getitem__
+        token = {i: t for t, i in read_ranks(ranks_path).items()}
         for lists in batches:
-            yield pa.array([None if x.as_py() is None else b"".join(map(token, x.values.to_numpy().tolist())) for x in lists], pa.binary())
+            yield joined(lists, token)
 
     return add_fields(df, F.struct(text(quoted(ids_col)).alias("decoded")), ["decoded"])

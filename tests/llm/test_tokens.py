@@ -1,9 +1,11 @@
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import AWKWARD, awkward, nothing
@@ -57,6 +59,31 @@ def test_merging_alone_and_together_agree():
     assert bpe.merge_many(words, bpe.Pairs(ranks)) == [tuple(bpe.merge(w, ranks)) for w in words]
 
 
+def test_lists_are_joined_without_an_object_for_every_id():
+    token = {i: t for t, i in bpe.read_ranks(RANKS).items()}
+    lists = pa.array([[7], [1, 2, 3], None, [], [4], [5, 6]], pa.list_(pa.int32()))
+    whole = [None if x is None else b"".join(token[i] for i in x) for x in lists.to_pylist()]
+    assert bpe.joined(lists, token).to_pylist() == whole and bpe.joined(lists[1:5], token).to_pylist() == whole[1:5]
+    hidden = pa.ListArray.from_arrays(pa.array([0, 2, 4], pa.int32()), pa.array([1, 2, 3, 4], pa.int32()), mask=pa.array([True, False]))
+    assert bpe.joined(hidden, token).to_pylist() == [None, token[3] + token[4]]
+    with pytest.raises(KeyError):
+        bpe.joined(pa.array([[1, -1]], pa.list_(pa.int32())), token)
+    with pytest.raises(pa.ArrowInvalid):
+        bpe.joined(pa.array([[1, None]], pa.list_(pa.int32())), token)
+
+    def least(work):
+        spent = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            spent.append(time.process_time() - began)
+        return min(spent)
+
+    ids = [[i % 50_000 for i in range(k, k + 400)] for k in range(1000)]
+    plain, many = least(lambda: [b"".join(map(token.__getitem__, x)) for x in ids]), pa.array(ids, pa.list_(pa.int32()))
+    assert least(lambda: bpe.joined(many, token)) < 4 * plain  # an object for every id takes some 10 times as long
+
+
 def test_documents_round_trip(spark, reference):
     coded = bpe.encode_documents(awkward(spark), RANKS, public_tokenizers.PATTERN)
     got = bpe.decode_documents(coded, RANKS).collect()
