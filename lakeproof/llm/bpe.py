@@ -17,9 +17,9 @@ from ..operators.skew import quoted
 from .common import add_fields, bounded_batches, text_of
 
 #: Pieces of one generation that a worker remembers, the longest one in bytes, and how many are merged together.
-MEMO_PIECES, MEMO_BYTES, TOGETHER = 240_000, 64, 8192
+MEMO_PIECES, MEMO_BYTES, TOGETHER = 160_000, 64, 8192
 #: Characters of texts that are split at a time, and pieces of a longer text.
-CHUNK_CHARS, CHUNK_PIECES = 1 << 20, 1 << 17
+CHUNK_CHARS, CHUNK_PIECES = 1 << 18, 1 << 16
 
 #: Children of a node of the tree; a leaf is rank and position in one number.
 FAN, SHIFT = 16, 40

@@ -24,6 +24,8 @@ LEAST_LOG_RATIO, STANDARD_ERRORS = 1.0, 2.5
 PREFIXES, LEVELS = (4, 5, 6), (1, 2, 3, 5)
 HEAD = min(PREFIXES)
 MEMO_WORDS = 200_000
+#: Terms of examples that a worker holds as Python objects before it gives them away.
+TERMS_AT_ONCE = 50_000
 
 
 def word_terms(word: str) -> list[str]:
@@ -69,15 +71,23 @@ class Terms:
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
-    """``doc_id, label, terms`` (all distinct terms with their counts) of labelled texts."""
+    """``doc_id, label, terms`` (all distinct terms with their counts) of labelled texts.
+
+    A text has several times its size in terms, so a batch of texts gives its rows in parts of about TERMS_AT_ONCE terms.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for i, label, text in zip(batch["doc_id"], batch["label"], batch["text"]):
                 found = levelled(Counter(t for w, n in Counter(text.split()).items() for t in word_terms(w) * n))
                 rows.append((i, label, list(found), list(found.values())))
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "terms", "counts"])
+                held += len(found)
+                if held >= TERMS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=["doc_id", "label", "terms", "counts"])
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "label", "terms", "counts"])
 
     return examples.select("doc_id", "label", "text").mapInPandas(count, "doc_id long, label int, terms array<string>, counts array<int>")
 

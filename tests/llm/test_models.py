@@ -1,7 +1,9 @@
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import AWKWARD, awkward, nothing
 
@@ -69,6 +71,25 @@ def test_models_without_labels_score_all_alike(spark):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, none)).count() == 0
 
 
+def test_terms_of_examples_leave_a_worker_in_small_parts():
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, function, _):
+            return function
+
+    texts = [" ".join(f"w{(i * 37 + k) % 5000:04d}x" for k in range(400)) for i in range(300)] + ["", "one one"]
+    batch = pd.DataFrame({"doc_id": range(len(texts)), "label": [i % 2 for i in range(len(texts))], "text": texts})
+    parts = list(toxicity.example_terms(Caught())(iter([batch, batch[:0], batch[:1]])))
+    expected = [toxicity.levelled(Counter(t for w in x.split() for t in toxicity.word_terms(w))) for x in texts]
+    most = max(map(len, expected))
+    assert sum(map(len, expected)) > 2 * toxicity.TERMS_AT_ONCE
+    assert all(0 < sum(map(len, p["terms"])) < toxicity.TERMS_AT_ONCE + most for p in parts)
+    rows = [(i, x, dict(zip(t, n))) for p in parts for i, x, t, n in p.itertuples(index=False)]
+    assert rows == [(i, i % 2, x) for i, x in [*enumerate(expected), (0, expected[0])]]
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(1)
     vectors = []

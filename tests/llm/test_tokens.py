@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,20 @@ def test_memory_holds_packed_ids_and_pairs_of_bytes_have_a_table(reference):
     assert (encoder.pairs.first(two[:, None], two, at) == encoder.pairs.leaf(one[:, None], one[two], at)).all()
 
 
+def test_an_encoder_holds_few_mb_over_ever_new_pieces():
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = [[" ".join("".join(chr(97 + i // 26 ** k % 26) for k in range(5)) + "qx" for i in range(at, at + 1000))
+              for at in range(first, first + 100_000, 1000)] for first in range(0, 600_000, 100_000)]
+    tracemalloc.start()
+    try:
+        for part in texts:
+            for ids in encoder.encode_all(part):
+                assert len(ids) >= 1000
+        assert tracemalloc.get_traced_memory()[1] < 70e6  # four workers of an executor may hold an encoder each
+    finally:
+        tracemalloc.stop()
+
+
 def test_merging_alone_and_together_agree():
     ranks = bpe.read_ranks(RANKS)
     words = [w.encode() for w in {t[:20] for t in random_texts(800, 40)} if 1 < len(w.encode()) <= 64 and w.encode() not in ranks]
