@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -21,7 +21,7 @@ SHINGLE, SIMILARITY, LEAST_CHARS = 8, 0.8, 1
 #: Bands and rows of the signature: a pair of similarity 0.8 shares a band with a probability of 99.5 %.
 BANDS, ROWS = 10, 4
 BINS = BANDS * ROWS
-#: Characters hashed at a time, and of the lines of one candidate group that a task compares at most twice as many of.
+#: Characters hashed at a time, and of the lines of a group (or, of a larger group, of a bucket) that a task compares at most twice as many of.
 BLOCK_CHARS, CHUNK_CHARS = 1 << 20, 2 << 20
 EMPTY = np.uint64(1 << 62)
 
@@ -106,16 +106,21 @@ def distinct_lines(batches: Iterator[pa.RecordBatch], least_chars: int) -> Itera
             for line in map(normal, text.split("\n")):
                 if len(line) >= least_chars:
                     seen.setdefault(line_id(line), line)
-        ids, lines, room = [], [], BLOCK_CHARS
-        for i, line in seen.items():
-            ids.append(i)
-            lines.append(line)
-            room -= len(line)
-            if room <= 0:
-                yield ids, lines
-                ids, lines, room = [], [], BLOCK_CHARS
-        if ids:
+        yield from blocks(seen.items())
+
+
+def blocks(known: Iterable[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
+    """The ids and lines in blocks of about BLOCK_CHARS characters."""
+    ids, lines, room = [], [], BLOCK_CHARS
+    for i, line in known:
+        ids.append(i)
+        lines.append(line)
+        room -= len(line)
+        if room <= 0:
             yield ids, lines
+            ids, lines, room = [], [], BLOCK_CHARS
+    if ids:
+        yield ids, lines
 
 
 def keys_of(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
@@ -156,6 +161,30 @@ def lines_with_text(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
 
+def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, id``: all band keys of the lines ``id, line``."""
+    for batch in batches:
+        for ids, lines in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(signatures(lines)).reshape(-1)), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], ["key", "id"])
+
+
+def buckets(found: DataFrame, chunk_chars: int) -> DataFrame:
+    """``group, id, line, chars`` with groups of more than ``chunk_chars`` characters parted into their buckets: lines that share a band key.
+
+    Chains of lines that are hardly similar join more and more of all lines to one group as the input grows; to compare each two
+    of its members would take the square of it. A line stands in at most BANDS buckets, and of buckets of the same lines one is kept.
+    """
+    large = staged(found.groupBy("group").agg(F.sum("chars").alias("n")).where(F.col("n") > chunk_chars).select("group"), "large")
+    if large.isEmpty():
+        return found
+    lines = staged(found.join(large, "group", "left_semi").select("id", "line", "chars"), "hot-lines")
+    keys = staged(lines.select("id", "line").mapInArrow(bands_of, "key long, id long").distinct(), "hot-keys")
+    same = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members")).where(F.col("n") > 1)
+    once = staged(same.groupBy("n", "members").agg(F.min("key").alias("group")).select("group"), "buckets")
+    parted = keys.join(once, F.col("key") == F.col("group")).select("group", "id").join(lines, "id")
+    return found.join(large, "group", "left_anti").select("group", "id", "line", "chars").unionByName(parted.select("group", "id", "line", "chars"))
+
+
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links ``a, b`` of lines of one unit whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     for table, at in runs(batches, ["group", "unit", "id", "line"]):
@@ -264,7 +293,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", chunk_chars: int = CHU
     found = texts.mapInArrow(partial(lines_with_text, least_chars=least_chars), "id long, line string").join(groups, F.col("id") == F.col("member"))
     once = found.select("group", "id", "line").dropDuplicates(["id"])  # a common line comes from many batches
     found = staged(once.withColumn("chars", F.length("line").cast("long")), "candidates")
-    verified = in_units(found, "group", "id", chunk_chars, "chars").select("group", "unit", "id", "line").mapInArrow(similar, "a long, b long")
+    verified = in_units(buckets(found, chunk_chars), "group", "id", chunk_chars, "chars").select("group", "unit", "id", "line").mapInArrow(similar, "a long, b long")
     classes = staged(components(verified), "classes")
     rooted = staged(lines.join(classes, F.col("id") == F.col("node"), "left")
                     .select("key", "hash", "line_no", "id", F.coalesce("component", "id").alias("root")), "rooted")
