@@ -24,6 +24,8 @@ BINS = BANDS * ROWS
 #: Characters hashed at a time, and of the lines of a group (or, of a larger group, of a bucket) that a task compares at most twice as many of.
 BLOCK_CHARS, CHUNK_CHARS = 1 << 20, 2 << 20
 EMPTY = np.uint64(1 << 62)
+#: Lines of a unit up to which all its pairs are counted, together with those of other such units.
+FEW = 8
 
 
 def normal(line: str) -> str:
@@ -215,29 +217,42 @@ class ShingleSets:
         """Links that connect what pairs of similar lines of equal unit connect; the lines come unit by unit."""
         at = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
         length = np.diff(at)
-        out = self.twos(at[:-1][length == 2])
-        for first, n in zip(at[:-1][length > 2].tolist(), length[length > 2].tolist()):
+        out = self.few(at[:-1][length <= FEW], length[length <= FEW])
+        for first, n in zip(at[:-1][length > FEW].tolist(), length[length > FEW].tolist()):
             out += [(first + i, first + j) for i, j in self.of_unit(first, n)]
         return out
 
-    def twos(self, first: np.ndarray) -> list[tuple[int, int]]:
-        """Which lines are similar to the line after them, for all units of two at once."""
-        head = np.full(len(self.sizes), -1)
-        head[first], head[first + 1] = first, first
-        mine = head[self.line]
-        mine, hashes = mine[mine >= 0], self.hashes[mine >= 0]
-        order = np.lexsort((hashes, mine))
-        mine, hashes = mine[order], hashes[order]
-        same = (mine[1:] == mine[:-1]) & (hashes[1:] == hashes[:-1])
-        common = np.bincount(mine[1:][same], minlength=len(self.sizes))[first]
-        a, b = self.sizes[first], self.sizes[first + 1]
-        return [(i, i + 1) for i in first[common >= SIMILARITY * (a + b - common) - 1e-9].tolist()]
+    def few(self, first: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+        """All similar pairs of small units (their first lines and numbers of lines), from one sort of the shingles of all of them."""
+        unit = np.full(len(self.sizes), -1)
+        unit[spread(first, first + n)] = np.repeat(np.arange(len(n)), n)
+        mine = unit[self.line]
+        line, hashes, mine = self.line[mine >= 0], self.hashes[mine >= 0], mine[mine >= 0]
+        order = np.lexsort((hashes, mine))  # lines stay in order
+        line, hashes, mine = line[order], hashes[order], mine[order]
+        run = np.cumsum(np.r_[True, (mine[1:] != mine[:-1]) | (hashes[1:] != hashes[:-1])])[:len(mine)]
+        base = np.r_[0, np.cumsum(n * n)]
+        common, at, step = np.zeros(base[-1], np.int64), np.arange(len(run)), 0
+        while len(at):
+            u, i, j = mine[at], line[at], line[at + step]
+            if step:
+                common += np.bincount(base[u] + (i - first[u]) * n[u] + j - first[u], minlength=len(common))
+            step += 1
+            at = at[at + step < len(run)]
+            at = at[run[at + step] == run[at]]
+        place = np.flatnonzero(common)
+        common, u = common[place], np.searchsorted(base, place, "right") - 1
+        i, j = np.divmod(place - base[u], n[u])
+        i, j = i + first[u], j + first[u]
+        near = common >= SIMILARITY * (self.sizes[i] + self.sizes[j] - common) - 1e-9
+        return list(zip(i[near].tolist(), j[near].tolist()))
 
     def of_unit(self, first: int, n: int) -> list[tuple[int, int]]:
         """The same for n lines of one unit. Sets that similar have one of their rarest shingles in common.
 
         Of a set of m shingles, rarest first, those are the first m - ceil(SIMILARITY m) + 1: only lines
-        that share one, and are long enough, are counted in full.
+        that share one, and are long enough, are counted in full. What two sets share beyond those shingles lies in the
+        rest of the one whose own end first, so few in common rule most pairs out before that.
         """
         span = slice(self.starts[first], self.starts[first + n])
         sizes, starts = self.sizes[first:first + n], self.starts[first:first + n + 1] - self.starts[first]
@@ -250,14 +265,24 @@ class ShingleSets:
         head = sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(int) + 1
         rare = np.arange(len(mine)) - starts[line] < head[line]
         order = np.argsort(mine[rare], kind="stable")
-        owner, known = line[rare][order], mine[rare][order]
+        last = mine[starts[:-1] + np.minimum(head, sizes) - 1] if len(mine) else head
+        owner, known, left = line[rare][order], mine[rare][order], n
         marked = np.zeros(len(times), dtype=bool)
 
         def linked(i: int, waiting: np.ndarray) -> np.ndarray:
+            nonlocal owner, known, left
+            if 2 * (now := np.count_nonzero(waiting)) < left:  # what was reached is not looked for again
+                still = waiting[owner]
+                owner, known, left = owner[still], known[still], now
             own = mine[starts[i]:starts[i + 1]]
             probe = own[:head[i]]
-            near = np.unique(owner[spread(np.searchsorted(known, probe), np.searchsorted(known, probe, "right"))])
-            near = near[waiting[near] & (sizes[near] >= SIMILARITY * sizes[i] - 1e-9) & (sizes[near] * SIMILARITY <= sizes[i] + 1e-9)]
+            start, end = np.searchsorted(known, probe), np.searchsorted(known, probe, "right")
+            meets = np.concatenate([owner[:0], *(owner[a:b] for a, b in zip(start.tolist(), end.tolist()))])
+            shared = np.bincount(meets, minlength=n)
+            near = np.flatnonzero((shared > 0) & waiting)
+            rest = np.where(last[i] <= last[near], sizes[i] - head[i], sizes[near] - head[near])
+            near = near[(shared[near] + rest) * (1 + SIMILARITY) >= SIMILARITY * (sizes[i] + sizes[near]) - 1e-6]
+            near = near[(sizes[near] >= SIMILARITY * sizes[i] - 1e-9) & (sizes[near] * SIMILARITY <= sizes[i] + 1e-9)]
             if not len(near):
                 return near
             marked[own] = True

@@ -205,6 +205,21 @@ def test_similar_lines_are_found_by_signature():
     assert sum(found) / len(found) >= 0.98
 
 
+def test_a_chain_of_hardly_similar_lines_is_not_compared_all_with_all(spark, monkeypatch):
+    """Lines that share 13 of 15 words with the next (a similarity of 0.75): one group of candidates, of which few are similar."""
+    units, cut, r = [], linededup.in_units, np.random.default_rng(5)
+    monkeypatch.setattr(linededup, "in_units", lambda *a: units.append(cut(*a)) or units[-1])
+    words = ["".join(map(chr, r.integers(97, 123, 7))) for _ in range(800)]
+    lines = [" ".join(words[i:i + 15]) for i in range(0, 780, 2)]
+    lines += [x + " end" for x in lines[::9]]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    got = linededup.line_classes(spark.createDataFrame(docs, "doc_id long, text string"), chunk_chars=1000).collect()
+    want = plain_line_classes(docs)
+    assert {(False, r["key"], r["line_no"]): (False, r["first_key"], r["first_line"]) for r in got} == want
+    assert len(set(want.values())) == 390
+    assert units[0].count() <= 5 * len(lines)
+
+
 def test_units_let_every_two_members_of_a_hot_key_meet(spark):
     rows = [(1, i) for i in range(50)] + [(2, i) for i in range(5)]
     got = in_units(spark.createDataFrame(rows, "k long, m long"), "k", "m", 10).collect()
@@ -226,6 +241,31 @@ def test_forest_spans_what_is_linked():
     assert len(links) == 7 and len({union.root(i) for i in range(9)}) == 2
 
 
+@pytest.mark.parametrize("few", [1, linededup.FEW, 50])
+def test_similar_pairs_are_the_same_in_units_of_any_size(monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    r, lines, unit = np.random.default_rng(11), [], []
+    for k, n in enumerate(r.integers(2, 40, 40).tolist()):
+        base = r.integers(97, 102, int(r.integers(12, 150))).tolist()
+        for _ in range(n):
+            x = list(base)
+            for _ in range(int(r.integers(0, 4))):
+                at = int(r.integers(0, len(x)))
+                x[at:at + int(r.integers(0, 2))] = r.integers(97, 102, int(r.integers(0, 3))).tolist()
+            lines.append("".join(map(chr, x if len(x) >= linededup.SHINGLE else base)))
+            unit.append(k)
+    got, want = Union(), Union()
+    for a, b in linededup.ShingleSets(lines).pairs(np.array(unit)):
+        got.join(a, b)
+    sets = [{x[i:i + 8] for i in range(len(x) - 7)} for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            if unit[i] == unit[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want.join(i, j)
+    assert [got.root(i) for i in range(len(lines))] == [want.root(i) for i in range(len(lines))]
+    assert 100 < len({want.root(i) for i in range(len(lines))}) < len(lines) - 100
+
+
 def test_similar_pairs_equal_brute_force():
     r, lines, unit = np.random.default_rng(9), [], []
     for k, n in enumerate([2, 2, 3, 40, 2, 25]):
